@@ -35,7 +35,8 @@ def heavy_candidates(digests: DataFrame, column: str, max_heavy: int = MAX_HEAVY
     parts = digests.groupBy((F.spark_partition_id() % SKETCHES).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(`{column}`, {counters})").alias("sketch")
     )
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {counters}), {max_heavy})").alias("top"))
+    # Grouped by a constant, not global: an empty partition of a global aggregate holds an empty sketch, which Spark can't merge.
+    top = parts.groupBy((F.col("part") < 0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {counters}), {max_heavy})").alias("top"))
     return top.select(F.explode("top").alias("top")).where(F.col("top.count") >= MIN_COPIES).select(F.col("top.item").alias(column))
 
 
