@@ -29,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, sized_broadcast
+from .common import free_name, materialize
 
 WINDOW = 50
 SEED_WORDS = 8
-#: Rows of a table that is broadcast instead of shuffled with the texts.
-BROADCAST_ROWS = 200_000
+#: Longs (list elements, and four a row) of a table that is broadcast instead of shuffled with the texts: 16 MB.
+BROADCAST_LONGS = 2_000_000
 CACHE = 300_000
 #: Multipliers of the two polynomial hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -87,6 +87,23 @@ class Sums:
         return x ^ (x >> np.uint64(29))
 
 
+def leftmost_smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the smallest value (its upper 42 bits; the first on ties) in each run of ``width`` values."""
+    mask = np.uint64((1 << 22) - 1)
+    out = []
+    for s in range(0, len(values) - width + 1, 1 << 21):
+        part = values[s : s + (1 << 21) + width - 1]
+        low = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while 2 * size <= width:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        n = len(part) - width + 1
+        low = np.minimum(low[:n], low[width - size : width - size + n])
+        out.append((low & mask).astype(np.int64) + s)
+    return np.concatenate(out)
+
+
 def paths(words: list[bytes], window: int = WINDOW, seed: int = SEED_WORDS) -> tuple[np.ndarray, ...] | None:
     """anchor, c1, c2, start, windows of each path of a document; None if it has no window."""
     n = len(words)
@@ -94,13 +111,7 @@ def paths(words: list[bytes], window: int = WINDOW, seed: int = SEED_WORDS) -> t
         return None
     sums = Sums(words)
     small = sums.runs(0, np.arange(n - seed + 1), seed)
-    lowest = np.concatenate(
-        [
-            np.lib.stride_tricks.sliding_window_view(small[s : s + 4096 + window - seed], window - seed + 1).argmin(axis=1) + s
-            for s in range(0, n - window + 1, 4096)
-        ]
-    )
-    lowest += np.arange(n - window + 1) % 4096
+    lowest = leftmost_smallest(small, window - seed + 1)
     start = np.concatenate([[0], np.flatnonzero(np.diff(lowest)) + 1])
     count = np.diff(np.append(start, n - window + 1))
     length = count + window - 1
@@ -123,23 +134,49 @@ def all_paths(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def branch_windows(docs: DataFrame, sources: DataFrame, window: int) -> DataFrame:
-    """w1, w2, c1, c2, at, src: each window of the paths in ``sources`` (doc, start, windows, c1, c2), read at its coordinates."""
-    plan = materialize(sources.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "c1", "c2")).alias("plan")))
-    plan, _ = sized_broadcast(plan, BROADCAST_ROWS)
+    """w1, w2, src, at: each window of the paths in ``sources`` (src, start, windows), read at its coordinates.
+
+    ``at`` is start * 64 + the window's place in its path, so (src, start) names the path; a path has
+    fewer than 64 windows.
+    """
+    plan = sources.groupBy("src").agg(F.collect_list(F.col("start").cast("long") * 64 + F.col("windows")).alias("plan"))
+    plan = small_enough(materialize(plan), "plan")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, text, plan in zip(b["doc"].tolist(), b["text"], b["plan"], strict=True):
                 sums = Sums(text.encode().split())
-                for p in plan:
-                    at = np.arange(p["windows"])
-                    w = [sums.runs(side, at + p["start"], window).view(np.int64) for side in (0, 1)]
-                    out.append(pd.DataFrame({"w1": w[0], "w2": w[1], "c1": p["c1"], "c2": p["c2"], "at": at, "src": doc}))
+                first, count = np.divmod(np.asarray(plan, np.int64), 64)
+                path = np.repeat(np.arange(len(first)), count)
+                place = np.arange(len(path)) - np.repeat(np.cumsum(count) - count, count)
+                start = first[path] + place
+                out.append((sums.runs(0, start, window), sums.runs(1, start, window), np.full(len(path), doc), first[path] * 64 + place))
             if out:
-                yield pd.concat(out)
+                w1, w2, src, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "src": src, "at": at})
+
+    return docs.join(plan, F.col("doc") == F.col("src")).mapInPandas(run, "w1 long, w2 long, src long, at long")
+
+
+def small_enough(df: DataFrame, lists: str) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and the elements of its ``lists`` are few; else it is shuffled with the texts."""
+    n = df.agg(F.coalesce(F.sum(F.size(lists) + 4), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_LONGS else df
+
 
-    return docs.join(plan, "doc").mapInPandas(run, "w1 long, w2 long, c1 long, c2 long, at int, src long")
+def merged(lists: pd.Series) -> pd.Series:
+    """Sorted ranges without touching or overlapping ones."""
+    out = []
+    for ranges in lists:
+        found: list[dict] = []
+        for a, b in sorted((r["a"], r["b"]) for r in ranges):
+            if found and a <= found[-1]["b"]:
+                found[-1]["b"] = max(b, found[-1]["b"])
+            else:
+                found.append({"a": a, "b": b})
+        out.append(found)
+    return pd.Series(out)
 
 
 def removed_ranges(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -152,33 +189,33 @@ def removed_ranges(docs: DataFrame, window: int, seed: int) -> DataFrame:
         .select("anchor", (F.col("single1") & F.col("single2")).alias("single"))
     )
     found = materialize(everything.join(shared, "anchor"))
-    edges = found.groupBy("single", "c1", "c2", "windows").agg(F.min("doc").alias("src"), F.min_by("start", "doc").alias("start"))
-    edges = materialize(edges)
-    plain = edges.where("single").select("c1", "c2", F.array(F.struct(F.lit(0).alias("at"), F.col("windows").alias("n"), "src")).alias("sources"))
-    singles = materialize(branch_windows(docs, edges.where("NOT single").select(F.col("src").alias("doc"), "start", "windows", "c1", "c2"), window))
-    first = singles.groupBy("w1", "w2").agg(F.min("src").alias("first"))
-    branched = (
-        singles.join(first, ["w1", "w2"])
-        .groupBy("c1", "c2", F.col("first").alias("src"))
-        .agg(F.collect_list("at").alias("ats"))
-        .groupBy("c1", "c2")
-        .agg(F.flatten(F.collect_list(F.transform("ats", lambda a: F.struct(a.alias("at"), F.lit(1).alias("n"), F.col("src"))))).alias("sources"))
+    edges = materialize(
+        found.groupBy("single", "c1", "c2", "windows").agg(F.min(F.struct("doc", "start")).alias("first")).select("single", "c1", "c2", "windows", "first.*")
+    ).withColumnsRenamed({"doc": "src"})
+    singles = materialize(branch_windows(docs, edges.where("NOT single").select("src", "start", "windows"), window))
+    # Windows that one source alone has keep that source; only the others are joined.
+    several = singles.groupBy("w1", "w2").agg(F.min("src").alias("low"), F.max("src").alias("high")).where("low < high").select("w1", "w2", "low")
+    earlier = (
+        singles.join(several, ["w1", "w2"])
+        .where("low < src")
+        .groupBy("src", F.shiftright("at", 6).cast("int").alias("start"))
+        .agg(F.collect_list(F.struct(F.col("at").bitwiseAND(63).cast("int").alias("at"), "low")).alias("earlier"))
     )
-    lost = (
-        found.join(plain.unionAll(branched), ["c1", "c2"])
-        .select("doc", "start", F.filter("sources", lambda s: s["src"] < F.col("doc")).alias("lost"))
-        .where(F.size("lost") > 0)
-        .select(
-            "doc",
-            F.transform("lost", lambda s: F.struct((F.col("start") + s["at"]).alias("a"), (F.col("start") + s["at"] + s["n"] + window - 1).alias("b"))).alias("r"),
-        )
+    # Of each path of more than one document or with earlier windows: its source, and where windows have an earlier one.
+    known = edges.join(earlier, ["src", "start"], "left").select("c1", "c2", "src", "earlier")
+    held = found.join(known, ["c1", "c2"]).where((F.col("src") < F.col("doc")) | F.col("earlier").isNotNull())
+    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b")))
+    part = F.transform(
+        F.filter("earlier", lambda e: e["low"] < F.col("doc")),
+        lambda e: F.struct((F.col("start") + e["at"]).alias("a"), (F.col("start") + e["at"] + window).alias("b")),
     )
-    return materialize(lost.groupBy("doc").agg(F.flatten(F.collect_list("r")).alias("ranges")))
+    lost = held.select("doc", F.when(F.col("src") < F.col("doc"), whole).otherwise(part).alias("r"))
+    return materialize(lost.groupBy("doc").agg(F.flatten(F.collect_list("r")).alias("ranges")).select("doc", F.pandas_udf(merged, "array<struct<a:int,b:int>>")("ranges").alias("ranges")))
 
 
 def removed_mask(n: int, ranges: list) -> np.ndarray:
     """Which of ``n`` words lie in one of the ranges."""
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     if ranges is not None and len(ranges):
         np.add.at(edge, [r["a"] for r in ranges], 1)
         np.add.at(edge, [r["b"] for r in ranges], -1)
@@ -189,7 +226,7 @@ def with_ranges(df: DataFrame, id_col: str, text_col: str, window: int, seed: in
     """``df`` and a column of the word ranges to remove (null: none)."""
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     ranges = removed_ranges(docs, window, seed)
-    ranges, _ = sized_broadcast(ranges, BROADCAST_ROWS)
+    ranges = small_enough(ranges, "ranges")
     mine, name = free_name(df.columns, "doc"), free_name(df.columns, "ranges")
     joined = df.join(ranges.select(F.col("doc").alias(mine), F.col("ranges").alias(name)), F.col(id_col) == F.col(mine), "left").drop(mine)
     return joined, name
