@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -21,6 +22,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -33,6 +40,21 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sp_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page takes the label whose doc_id is its page_id; quality 0 marks a URL to block."""
+    from .url_filter import judged
+
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    label = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("block"))
+    return judged(pages, pages.select("page_id", "url").join(label, "page_id").select("url", "block"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 #: Bounds of the sample of labelled rows, by class.
-MAX_TOXIC = 3000
-MAX_CLEAN = 4000
+MAX_TOXIC = 800
+MAX_CLEAN = 3000
 DECAY = 0.7
 SPAN = 6
 LANDMARKS = 320
@@ -159,7 +159,7 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.
     return out, index, base
 
 
-@functools.lru_cache(maxsize=100_000)
+@functools.lru_cache(maxsize=40_000)
 def subsequences(word: str) -> tuple[np.ndarray, np.ndarray]:
     """A word's subsequences (repeats included) and their normalised weights."""
     code = np.array([MARK, *(int(TABLE[ord(c)]) if c < "\u0250" else 37 + ord(c) % 26 for c in word), MARK], np.int64)
@@ -226,7 +226,7 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 2) -> Machine:
         return empty
     clean = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     rng = np.random.default_rng(7)
-    common = clean[:3000] + [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), 20_000), replace=False).tolist())]
+    common = clean[:3000] + [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), 12_000), replace=False).tolist())]
     common = [w for w in dict.fromkeys(common) if w not in witness]
     machine = empty
     hard: list[str] = []
@@ -260,6 +260,7 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 2) -> Machine:
         d = decisions(machine, new)
         witness |= {w: in_toxic[w] for w, x in zip(new, d, strict=True) if x > 0.5}
     x = np.array([machine.features(t) for t in tests[0]])
+    subsequences.cache_clear()
     machine.slope = tuple(logistic(x, np.array(tests[1], float)).tolist())
     return machine
 
@@ -338,18 +339,25 @@ def spread(words: list[str], n: int) -> list[str]:
     return [pool[i] for i in picked]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[bool]]:
-    """Texts and labels of at most MAX_TOXIC and MAX_CLEAN labelled rows outside the held-out part, lowest hash first."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[bool], float]:
+    """Toxic share of all labelled rows outside the held-out part; texts and labels of at most MAX_TOXIC and MAX_CLEAN of them, lowest hash first."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64(F.col(id_col))
     picked = known.where("toxic = 1").orderBy(rank).limit(MAX_TOXIC).unionAll(known.where("toxic = 0").orderBy(rank).limit(MAX_CLEAN))
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).where(F.col(text_col).isNotNull()).orderBy(id_col)
     found = rows.select(F.col(text_col).alias("text"), F.col("toxic").alias("toxic")).toPandas()
-    return found["text"].tolist(), (found["toxic"] == 1).tolist()
+    share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    return found["text"].tolist(), (found["toxic"] == 1).tolist(), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    return train(*training_sample(docs, labels, id_col, text_col))
+    texts, toxic, share = training_sample(docs, labels, id_col, text_col)
+    machine = train(texts, toxic)
+    if 0 < sum(toxic) < len(toxic):
+        # The sample holds more toxic rows than the labels do: correct the intercept for it.
+        odds = lambda p: float(np.log(p / (1 - p)))
+        machine.slope = (machine.slope[0] + odds(share) - odds(sum(toxic) / len(toxic)), *machine.slope[1:])
+    return machine
 
 
 def score_column(machine: Machine, text: Column, spark) -> Column:
