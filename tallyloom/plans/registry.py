@@ -14,6 +14,7 @@ from tallyloom.operators import ledger as L
 from tallyloom.streaming import jobs
 
 from . import bindings as B
+from . import more
 from .duck import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,3 +260,4 @@ query("cull_losers", _GROUPS + "SELECT id, root FROM groups2 WHERE tag = 'DUPLIC
 
 edits.register(query)
 jobs.register(query)
+more.register(query)
