@@ -86,7 +86,11 @@ def shifted(spark: SparkSession, sf_dir: str, step: int, days: int, source: int)
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per attempt; ``k`` of an error's properties picks its status."""
-    events = table(spark, sf_dir, "events")
+    return request_log_of(table(spark, sf_dir, "events"))
+
+
+def request_log_of(events: DataFrame) -> DataFrame:
+    """The same over any table or stream of events."""
     k = F.get_json_object("props", "$.k").cast("int") % 5
     status = F.when(F.col("event_type") != "error", 200).when(k == 0, 429).when(k == 1, 503).when(k == 2, 500).when(k == 4, 401)
     error = F.when(F.col("event_type") == "error", F.when(k == 3, "Request timed out").otherwise(F.concat(F.lit("HTTP "), status.cast("string"))))

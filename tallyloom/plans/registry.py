@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import failures, text
 from tallyloom.operators import cards as C
-from tallyloom.operators import dedupe, edits, profile, telemetry
+from tallyloom.operators import dedupe, edits, profile, scoring, telemetry
 from tallyloom.operators import ledger as L
 from tallyloom.streaming import jobs
 
@@ -261,3 +261,4 @@ query("cull_losers", _GROUPS + "SELECT id, root FROM groups2 WHERE tag = 'DUPLIC
 edits.register(query)
 jobs.register(query)
 more.register(query)
+scoring.register(query)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.failures import failure_scope
 from tallyloom.operators.dedupe import written
 from tallyloom.plans import bindings as B
 
@@ -62,7 +64,36 @@ def scored_stream(s: SparkSession, d: str) -> DataFrame:
     return landed.groupBy("doc_id", "hash").agg(F.max_by("score", "batch").alias("score"))
 
 
+def live_outages(s: SparkSession, d: str, least: int = 2) -> DataFrame:
+    """Runs of consecutive connectivity failures of a provider, kept as state: a run is told when it ends.
+
+    The state of a provider is its streak's length and ends. Attempts of a micro-batch are taken in order of time;
+    a run that is open at the end of the input isn't told.
+    """
+    events = B.request_log_of(table_stream(s, d, "events")).withColumn("down", F.coalesce(failure_scope(F.col("status"), F.col("error")) == "connectivity", F.lit(False)))
+
+    def step(key, batches, state):
+        length, started, ended = state.get if state.exists else (0, None, None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "log_id"])
+        told = []
+        for ts, down in zip(rows["ts"], rows["down"], strict=True):
+            if down:
+                length, started, ended = length + 1, started if length else ts, ts
+            elif length:
+                if length >= least:
+                    told.append((key[0], started, ended, length))
+                length, started, ended = 0, None, None
+        state.update((length, started, ended))
+        yield pd.DataFrame(told, columns=["provider", "started", "ended", "failures"])
+
+    kept = events.select("provider", "ts", "log_id", "down").groupBy("provider").applyInPandasWithState(
+        step, "provider string, started timestamp, ended timestamp, failures long", "length long, started timestamp, ended timestamp", "append", "NoTimeout"
+    )
+    return drained(kept)
+
+
 def register(query) -> None:
     query("stream_run_counters", "+ h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS done, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")(run_counters)
     query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")(deduplicated)
+    query("stream_outages")(live_outages)
     query("stream_scoring", "SELECT doc_id, sha256(coalesce(text, '')) AS hash, CAST(1 + length(text) * 7 % 10 AS DOUBLE) AS score FROM documents")(scored_stream)
