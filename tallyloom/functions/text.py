@@ -99,13 +99,13 @@ def detail_terms(c: Column) -> Column:
     """Distinct details of a passage, sorted: numbers with units, names, distinctive words."""
     text = F.coalesce(c, F.lit(""))
     numbers = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){NUMBER}"), F.lit(0)), lambda x: F.regexp_replace(F.lower(x), r"\s+", " "))
-    common = F.array(*[F.lit(w) for w in dict.fromkeys([*COMMON_WORDS, *COMMON_SHORT])])
+    common = list(dict.fromkeys([*COMMON_WORDS, *COMMON_SHORT]))
     pairs = F.transform(
         F.regexp_extract_all(text, F.lit(r"\p{L}[\p{L}']*"), F.lit(0)), lambda w: F.struct(w.alias("w"), F.regexp_replace(F.lower(w), "'s$", "").alias("l"))
     )
     telling = F.filter(
         pairs,
-        lambda p: ~F.array_contains(common, p["l"])
+        lambda p: ~p["l"].isin(common)  # a hashed set once optimised
         & ((p["w"].rlike(r"^\p{Lu}") & (F.length(p["l"]) >= 3)) | (F.length(p["l"]) >= 4) | p["l"].isin(*COLOURS)),
     )
     return F.array_sort(F.array_distinct(F.concat(numbers, F.transform(telling, lambda p: p["l"]))))

@@ -14,7 +14,7 @@ from tallyloom.operators import ledger as L
 from tallyloom.streaming import jobs
 
 from . import bindings as B
-from . import more
+from . import more, rest
 from .duck import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,3 +262,4 @@ edits.register(query)
 jobs.register(query)
 more.register(query)
 scoring.register(query)
+rest.register(query)

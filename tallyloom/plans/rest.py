@@ -1,0 +1,100 @@
+"""Queries over edit requests and impact, word marks, snapshots and exported files."""
+
+from __future__ import annotations
+
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.functions import text as T
+from tallyloom.operators import edits
+from tallyloom.operators import ledger as L
+from tallyloom.operators.scoring import default_ideas, sample_ideas, validate_ideas
+from tallyloom.sources import files as S
+from tallyloom.streaming.jobs import folder
+
+from . import bindings as B
+
+
+def texts(s: SparkSession, d: str) -> DataFrame:
+    return B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def edit_requests(ideas: DataFrame, cards: DataFrame) -> DataFrame:
+    """One request a card: its chosen ideas, numbered, with their quotes, and the fields that may be edited."""
+    line = F.concat(F.col("number").cast("string"), F.lit(". ["), F.col("target"), F.lit("] "), F.col("change"), F.when(F.col("quote") != "", F.concat(F.lit(' — "'), F.col("quote"), F.lit('"'))).otherwise(""))
+    lists = ideas.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))).alias("l"), F.array_sort(F.collect_set("target")).alias("targets"))
+    body = F.concat_ws("\n", F.concat(F.lit("Name: "), F.col("name")), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.concat(F.lit("Edit only: "), F.array_join("targets", ", ")))
+    return cards.join(lists, "id").select("id", body.alias("request"))
+
+
+def edit_impact(placed: DataFrame, changes: DataFrame, before: DataFrame) -> DataFrame:
+    """id and, with all placed edits on, the details that the card loses; edits are on by default where it loses none."""
+    after = edits.apply_edits(before, placed, changes).withColumnRenamed("text", "after")
+    pairs = before.withColumnRenamed("text", "before").join(after, "id").where("before <> after")
+    lost = F.array_sort(F.array_except(T.detail_terms(F.col("before")), T.detail_terms(F.col("after"))))
+    return pairs.select("id", F.array_join(lost, ",").alias("lost"), (F.size(lost) == 0).alias("on"))
+
+
+def word_diff(changes: DataFrame) -> DataFrame:
+    """id, ord, old_words, new_words: how many words of each changed passage are new or gone."""
+
+    def marks(old: str, new: str) -> tuple[int, int]:
+        a, b = old.split(), new.split()
+        same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        return len(a) - same, len(b) - same
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = [marks(a, b) for a, b in zip(x["old"], x["new"], strict=True)]
+            yield pd.DataFrame({"id": x["id"], "ord": x["ord"], "gone": [f[0] for f in found], "added": [f[1] for f in found]})
+
+    return changes.where("kind = 'change'").select("id", "ord", "old", "new").mapInPandas(run, "id long, ord int, gone int, added int")
+
+
+def snapshot_cycle(s: SparkSession, d: str) -> DataFrame:
+    """A ledger is snapshotted, rewritten, and restored; the restore snapshots the current one first. An empty one is never kept."""
+    root, live = folder(s), B.ledger(s, d).select("id", "score")
+    kept = S.publish(live, f"{root}/snapshots")
+    changed = live.where("score > 5")
+    if not changed.isEmpty():
+        S.publish(changed, f"{root}/snapshots")
+    return s.read.parquet(kept)
+
+
+def card_file_cycle(s: SparkSession, d: str) -> DataFrame:
+    """Payloads written as text files and read again: their digests, and which are flat."""
+    root = folder(s)
+    S.raw_cards(B.cards(s, d)).select("payload").write.text(f"{root}/cards")
+    read = s.read.text(f"{root}/cards").withColumnRenamed("value", "payload")
+    return read.select(F.sha2("payload", 256).alias("payload_sha"), F.get_json_object("payload", "$.data").isNull().alias("flat"))
+
+
+def card_listing(s: SparkSession, d: str) -> DataFrame:
+    """Payloads of the card files of a folder that also holds other files: one digest a payload."""
+    root = f"{folder(s)}/listed"
+    rows = S.raw_cards(B.cards(s, d))
+    rows.select(F.col("payload").alias("value"), (F.xxhash64("id") % 4).alias("part")).repartition(4, "part").drop("part").write.format("text").save(f"{root}/a")
+    rows.limit(1).write.format("parquet").save(f"{root}/b")
+    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("name", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", ".json"))
+    return files.where(F.col("name").rlike(r"(?i)\.(png|json)$")).select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''").select(F.sha2("line", 256).alias("payload_sha"))
+
+
+def import_report(outcomes: DataFrame) -> DataFrame:
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def register(query) -> None:
+    from .registry import ORACLES, imported
+
+    query("edit_requests")(lambda s, d: edit_requests(default_ideas(validate_ideas(sample_ideas(s, d), texts(s, d))), B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"))))
+    query("edit_impact")(lambda s, d: edit_impact(edits.place_edits(edits.sample_edits(s, d), texts(s, d)), edits.sample_edits(s, d), texts(s, d)))
+    query("word_diff")(lambda s, d: word_diff(edits.diff_versions(edits.versions(s, d))))
+    query("snapshot_cycle", "SELECT id, score FROM ledger", "ledger")(snapshot_cycle)
+    query("src_card_files")(card_listing)
+    query("card_json_export")(card_file_cycle)
+    query("import_report")(lambda s, d: import_report(L.import_scores(imported(s, d), B.cards(s, d), B.ledger(s, d))))
+    ORACLES["import_report"] = f"SELECT outcome, count(*) AS n FROM ({ORACLES['import_scores']}) GROUP BY 1"
