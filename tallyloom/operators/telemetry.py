@@ -13,12 +13,25 @@ def scoped(log: DataFrame) -> DataFrame:
     return log.withColumn("scope", failure_scope(F.col("status"), F.col("error")))
 
 
+def hour(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts) / 3_600_000_000)
+
+
 def outages(log: DataFrame, least: int = 2) -> DataFrame:
-    """Runs of at least ``least`` consecutive connectivity failures of a provider."""
-    w = Window.partitionBy("provider").orderBy("ts", "log_id")
-    rows = scoped(log).withColumn("down", F.coalesce(F.col("scope") == "connectivity", F.lit(False)))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("down"), 0).otherwise(1)).over(w)).where("down")
-    runs = rows.groupBy("provider", "island").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("failures"))
+    """Runs of at least ``least`` consecutive connectivity failures of a provider.
+
+    A run is named by the last other outcome before it. That is a running maximum, taken within an hour's rows
+    and, over the hours before, in a table of one row an hour: no task holds all rows of a provider.
+    """
+    at = F.struct("ts", "log_id")
+    rows = scoped(log).withColumns({"down": F.coalesce(F.col("scope") == "connectivity", F.lit(False)), "hour": hour(F.col("ts"))})
+    up = F.when(~F.col("down"), at)
+    hours = rows.groupBy("provider", "hour").agg(F.max(up).alias("last_up"))
+    before = Window.partitionBy("provider").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("provider", "hour", F.max("last_up").over(before).alias("earlier"))
+    within = Window.partitionBy("provider", "hour").orderBy("ts", "log_id")
+    named = rows.withColumn("own", F.max(up).over(within)).where("down").join(hours, ["provider", "hour"])
+    runs = named.groupBy("provider", F.coalesce("own", "earlier").alias("island")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("failures"))
     return runs.where(F.col("failures") >= least).select("provider", "started", "ended", "failures")
 
 
@@ -44,11 +57,12 @@ def upper_middle(values: Column) -> Column:
 def run_telemetry(log: DataFrame, last: int = 200, slow_ms: int = 30_000) -> DataFrame:
     """Per provider: done, errors, rate an hour, median of the last latencies, requests slower than 30 s."""
     rank = F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("ts"), F.desc("log_id")))
-    one = log.withColumn("rank", rank).groupBy("provider").agg(
+    # A filter on a rank is applied before the shuffle too: each task passes on ``last`` rows a provider at most.
+    newest = log.withColumn("rank", rank).where(F.col("rank") <= last).groupBy("provider").agg(F.collect_list("took_ms").alias("latest"))
+    one = log.groupBy("provider").agg(
         F.count_if(F.col("error").isNull()).alias("done"), F.count("error").alias("errors"),
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span"),
-        F.collect_list(F.when(F.col("rank") <= last, F.col("took_ms"))).alias("latest"), F.count_if(F.col("took_ms") > slow_ms).alias("slow"),
-    )
+        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span"), F.count_if(F.col("took_ms") > slow_ms).alias("slow"),
+    ).join(newest, "provider")
     rate = F.when(F.col("span") >= 3_000_000, half_up((F.col("done") + F.col("errors")) * 3.6e9 / F.col("span")))
     return one.select("provider", "done", "errors", rate.alias("per_hour"), upper_middle(F.col("latest")).alias("median_ms"), "slow")
 
@@ -65,13 +79,20 @@ def diagnose(log: DataFrame) -> DataFrame:
 
 
 def rate_audit(log: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Per provider: most attempts in any span of ``seconds``, and the least spacing in microseconds."""
-    w = Window.partitionBy("provider").orderBy(F.unix_micros("ts"))
-    rows = log.select(
-        "provider", F.count("*").over(w.rangeBetween(-seconds * 1_000_000 + 1, 0)).alias("n"),
-        (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)).alias("gap"),
-    )
-    return rows.groupBy("provider").agg(F.max("n").alias("most"), F.min("gap").alias("least_gap"))
+    """Per provider: most attempts in any span of ``seconds``, and the least spacing in microseconds.
+
+    Rows are windowed in buckets of one span, each with the rows of the bucket before it as context; spacing across
+    longer silences comes from a table of one row a bucket.
+    """
+    micros = seconds * 1_000_000
+    rows = log.select("provider", F.unix_micros("ts").alias("us")).withColumn("bucket", F.floor(F.col("us") / micros))
+    shown = rows.select("provider", "us", F.explode(F.array(F.struct("bucket", F.lit(True).alias("own")), F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("own")))).alias("b")).select("provider", "us", "b.*")
+    w = Window.partitionBy("provider", "bucket").orderBy("us")
+    counted = shown.select("provider", "own", F.count("*").over(w.rangeBetween(-micros + 1, 0)).alias("n"), (F.col("us") - F.lag("us").over(w)).alias("gap")).where("own")
+    edge = rows.groupBy("provider", "bucket").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    silence = (F.col("first") - F.lag("last").over(Window.partitionBy("provider").orderBy("bucket"))).alias("gap")
+    every = counted.select("provider", "n", "gap").unionAll(edge.select("provider", F.lit(0).cast("long").alias("n"), silence))
+    return every.groupBy("provider").agg(F.max("n").alias("most"), F.min("gap").alias("least_gap"))
 
 
 def failure_scopes(log: DataFrame) -> DataFrame:
