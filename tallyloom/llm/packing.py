@@ -7,7 +7,7 @@ its checksum, so ids never cross a shuffle: what moves is one narrow row a piece
 Group side: pieces are dealt by a hash into groups of about ``GROUP_PIECES``. In a group, pieces go in
 descending length to the sequence with the lowest cost so far (linear plus quadratic attention cost) that
 still has room. As halves and quarters fill evenly and the small pieces come last, the gaps that remain are
-far below one per cent; pieces that fit nowhere open further sequences by the same rule.
+far below one per cent; a piece that fits nowhere opens a further sequence.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ CAPACITY = 1024
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 1024
 GROUP_PIECES = 20_000
+#: Sequences without room that are passed over before the emptiest one is taken.
+LOOKS = 16
 #: Entries of a worker's cache of encoded words.
 CACHE = 200_000
 SEPARATOR = 0
@@ -102,34 +104,54 @@ def cut(tokens: int, capacity: int = CAPACITY, cuts: tuple[int, ...] = (2, 4)) -
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(sequence, offset) of each piece; no piece may be longer than ``capacity``."""
+    """(sequence, offset) of each piece; no piece may be longer than ``capacity``.
+
+    A piece goes to the lowest-cost sequence with room. Few are passed over as a rule; after ``LOOKS`` of them the
+    emptiest sequence is taken, so that a new one is opened only if no open one has room.
+    """
+    if max(lengths, default=0) > capacity:
+        raise ValueError("a piece is longer than a sequence")
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     place: list[tuple[int, int]] = [(0, 0)] * len(lengths)
-    opened = 0
-    while order:
-        total = sum(lengths[i] for i in order)
-        heap = [(0.0, opened + s, 0) for s in range(-(-total // capacity))]
-        opened += len(heap)
-        over = []
-        for i in order:
-            n, full = lengths[i], []
-            # The lowest-cost sequence is nearly always the emptiest: those passed over are few.
-            while heap and heap[0][2] + n > capacity and len(full) < 64:
-                full.append(heapq.heappop(heap))
-            if heap and heap[0][2] + n <= capacity:
-                cost, sequence, used = heap[0]
-                place[i] = (sequence, used)
-                if used + n < capacity:
-                    heapq.heapreplace(heap, (cost + n + n * n / QUADRATIC, sequence, used + n))
-                else:
-                    heapq.heappop(heap)
+    used: list[int] = []
+    cost: list[float] = []
+    by_cost: list[tuple[float, int]] = []  # entries of an older cost are stale and dropped when met
+    by_use: list[tuple[int, int]] = []
+
+    def opened(n: int) -> None:
+        for s in range(len(used), len(used) + n):
+            used.append(0)
+            cost.append(0.0)
+            heapq.heappush(by_cost, (0.0, s))
+            heapq.heappush(by_use, (0, s))
+
+    opened(sum(lengths) // capacity)
+    for i in order:
+        n, found, passed = lengths[i], -1, []
+        while by_cost and len(passed) < LOOKS:
+            c, s = by_cost[0]
+            if c != cost[s] or used[s] == capacity:
+                heapq.heappop(by_cost)
+            elif used[s] + n <= capacity:
+                found = s
+                break
+            else:
+                passed.append(heapq.heappop(by_cost))
+        if found < 0:
+            while by_use and by_use[0][0] != used[by_use[0][1]]:
+                heapq.heappop(by_use)
+            if not by_use or by_use[0][0] + n > capacity:
+                opened(1)
+                found = len(used) - 1
             else:
-                over.append(i)
-            for x in full:
-                heapq.heappush(heap, x)
-        if len(over) == len(order):
-            raise ValueError("a piece is longer than a sequence")
-        order = over
+                found = by_use[0][1]
+        place[i] = (found, used[found])
+        used[found] += n
+        cost[found] += n + n * n / QUADRATIC
+        heapq.heappush(by_cost, (cost[found], found))
+        heapq.heappush(by_use, (used[found], found))
+        for x in passed:
+            heapq.heappush(by_cost, x)
     return place
 
 
