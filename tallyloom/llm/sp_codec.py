@@ -4,7 +4,7 @@ The lattice is over UTF-8 bytes: every piece of the vocabulary is an edge (its w
 byte has its byte piece, so each text has a path and decoding gives back each byte. Edges weigh
 1 / (1 + rank of the piece), ``sharpness`` times over; byte pieces weigh as the rarest. A piece never crosses a
 blank, so a document's lattice falls apart into its words: forward sums are made once for each distinct word
-of a slice, and all occurrences are then sampled backwards together, a step at a time, with numpy.
+of a slice, all words together, and all occurrences are then sampled backwards together, a step at a time, with numpy.
 
 The random number of a step depends on the row key, the word's place and the step alone: the same key and text
 give the same ids on any cluster, in any batch.
@@ -24,9 +24,14 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 SHARPNESS = 2.0
 #: Characters whose words are sampled together.
-SLICE = 2_000_000
+SLICE = 3_000_000
 #: Longest stretch of bytes without a cut; longer words are cut, which keeps sums in range.
 STRETCH = 30
+#: Marks the key of a word without a blank; no UTF-8 text has this byte.
+BARE = b"\xff"
+#: Multiplier of the hash that the trie is kept by.
+BASE = 0x9E3779B97F4A7C15
+MASK = (1 << 64) - 1
 
 
 class Codec:
@@ -51,54 +56,89 @@ class Codec:
                 self.weight[self.bytes_of[i]] = (i, (1 + ranked) ** -sharpness)
                 ranked += 1
         self.rare = (1 + ranked) ** -sharpness
-        self.longest = max(map(len, self.weight))
-
-    def lattice(self, word: bytes) -> list[tuple[list[int], list[int], list[float]]]:
-        """For each end position: starts, ids and cumulative shares of the edges that end there."""
-        get, rare, byte_id = self.weight.get, self.rare, self.byte_id
-        alpha, out = [1.0], []
-        for j in range(1, len(word) + 1):
-            starts, ids, cumulative = [j - 1], [byte_id[word[j - 1]]], [alpha[j - 1] * rare]
-            total = cumulative[0]
-            for i in range(max(0, j - self.longest), j):
-                found = get(word[i:j])
-                if found is not None:
-                    total += alpha[i] * found[1]
-                    starts.append(i)
-                    ids.append(found[0])
-                    cumulative.append(total)
-            alpha.append(total)
-            out.append((starts, ids, [c / total for c in cumulative]))
-        return out
+        # A trie as sorted hashes: for each length, every prefix of a piece, with the piece that it is (or -1).
+        self.trie: list[tuple[np.ndarray, np.ndarray]] = []
+        prefixes: dict[int, dict[int, int]] = {}
+        for piece, (i, _) in self.weight.items():
+            h = 0
+            for n, byte in enumerate(piece[:STRETCH], 1):
+                h = (h * BASE + byte + 1) & MASK
+                level = prefixes.setdefault(n, {})
+                if level.setdefault(h, -1) < 0 and n == len(piece):
+                    level[h] = i
+        for n in range(1, max(prefixes, default=0) + 1):
+            keys = np.array(sorted(prefixes[n]), np.uint64)
+            self.trie.append((keys, np.array([prefixes[n][int(k)] for k in keys], np.int64)))
+        self.weights = np.full(len(self.bytes_of), self.rare)
+        for i, x in self.weight.values():
+            self.weights[i] = x
+        self.byte_ids = np.array(self.byte_id, np.int64)
+
+    def lattices(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """First and last node of each word; cumulative shares, starts and ids of the edges, by the node that they end at.
+
+        A word of n bytes has n + 1 nodes. The cumulative share of an edge is its end node's number plus its place
+        between 0 and 1, so that one sorted array serves every node.
+        """
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        base = np.cumsum(size + 1) - size - 1
+        word = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        node = base[word] + place  # where an edge from this byte starts
+        left = size[word] - place
+        starts, ends, ids = [node], [node + 1], [self.byte_ids[data]]
+        at, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        for n, (keys, piece) in enumerate(self.trie, 1):
+            h = h * np.uint64(BASE) + (data[at + n - 1] + 1).astype(np.uint64)
+            found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[found] == h
+            at, h, found = at[hit], h[hit], piece[found[hit]]
+            whole = found >= 0
+            starts.append(node[at[whole]])
+            ends.append(node[at[whole]] + n)
+            ids.append(found[whole])
+            more = left[at] > n
+            at, h = at[more], h[more]
+            if not len(at):
+                break
+        starts, ends, ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+        order = np.argsort(ends, kind="stable")
+        starts, ends, ids = starts[order], ends[order], ids[order]
+        owner = np.repeat(np.arange(len(words)), size + 1)
+        depth = ends - base[owner[ends]]
+        by_depth = np.argsort(depth, kind="stable")
+        bounds = np.searchsorted(depth[by_depth], np.arange(1, depth.max() + 2))
+        alpha = np.zeros(int(size.sum()) + len(words))
+        alpha[base] = 1.0
+        weight = self.weights[ids]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            e = by_depth[a:b]
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(ends[e]) != 0]))
+            alpha[ends[e[heads]]] = np.add.reduceat(alpha[starts[e]] * weight[e], heads)
+        share = np.cumsum(alpha[starts] * weight / alpha[ends])
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(ends) != 0]))
+        before = np.concatenate([[0.0], share])[heads]
+        cumulative = ends + np.minimum(share - np.repeat(before, np.diff(np.append(heads, len(ends)))), 1.0)
+        cumulative[np.append(heads[1:], len(ends)) - 1] = ends[heads] + 1.0
+        return base, base + size, cumulative, starts, ids
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Sampled ids of each text; the same key and text give the same ids."""
-        number: dict[bytes, int] = {}
+        number = Numbers()
         words, place, owner = [], [], []
         for d, text in enumerate(texts):
-            mine = [number.setdefault(w, len(number)) for w in cuts(text.encode())]
+            mine = list(map(number.__getitem__, cuts(text.encode())))
             words.append(np.array(mine, np.int64))
             place.append(np.arange(len(mine), dtype=np.uint64))
             owner.append(np.full(len(mine), d, np.int64))
         if not number:
             return [np.empty(0, np.int64) for _ in texts]
         word, place, owner = np.concatenate(words), np.concatenate(place), np.concatenate(owner)
-        base, last, cumulative, starts, ids = [], [], [], [], []
-        node = 0
-        for w in number:  # in order of their numbers
-            base.append(node)
-            for s, i, c in self.lattice(w):
-                node += 1
-                starts += [base[-1] + x for x in s]
-                ids += i
-                cumulative += [node + x for x in c]
-                cumulative[-1] = node + 1.0
-            last.append(node)
-            node += 1
-        base, last, cumulative, starts, ids = np.array(base), np.array(last), np.array(cumulative), np.array(starts), np.array(ids)
+        base, last, cumulative, starts, ids = self.lattices([k[1:] if k[:1] == BARE else b" " + k for k in number])
         seed = np.array(keys, np.int64).view(np.uint64)[owner]
         at, begin = last[word], base[word]
-        live = np.arange(len(word))
+        live = np.argsort(word, kind="stable")  # so that look-ups go through the lattices in order
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
             u = uniform(seed[live], place[live], len(steps))
@@ -118,16 +158,28 @@ class Codec:
         return b"".join([table[i] for i in ids.tolist()]).decode()
 
 
-def cuts(data: bytes) -> Iterator[bytes]:
-    """Words of a text with the blank before them, stretches of at most STRETCH bytes; joined they are the text."""
+class Numbers(dict):
+    """Keys numbered as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def cuts(data: bytes) -> list[bytes]:
+    """Words of a text, cut before each blank and after STRETCH bytes: a word's key is what follows its blank, or BARE and the word."""
     parts = data.split(b" ")
+    first = parts[0]
+    if len(max(parts, key=len)) < STRETCH:
+        parts[0] = BARE + first
+        return parts if first else parts[1:]
+    out = []
     for n, p in enumerate(parts):
         w = b" " + p if n else p
-        if len(w) <= STRETCH:
-            if w:
-                yield w
-        else:
-            yield from (w[i : i + STRETCH] for i in range(0, len(w), STRETCH))
+        for i in range(0, len(w), STRETCH):
+            x = w[i : i + STRETCH]
+            out.append(x[1:] if n and not i else BARE + x)
+    return out
 
 
 def uniform(seed: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
