@@ -46,7 +46,7 @@ def route_failures(log: DataFrame, allowance: int = 3) -> DataFrame:
 def recent_outcomes(log: DataFrame, n: int = 12) -> DataFrame:
     """The latest ``n`` attempts of each provider, newest first."""
     rank = F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("ts"), F.desc("log_id")))
-    return log.withColumn("rank", rank).where(F.col("rank") <= n).select("provider", "rank", "log_id", "item", F.col("error").isNull().alias("ok"))
+    return log.withColumn("rank", rank).where(F.col("rank") <= n).select("provider", F.col("rank").cast("long").alias("rank"), "log_id", "item", F.col("error").isNull().alias("ok"))
 
 
 def upper_middle(values: Column) -> Column:
