@@ -36,6 +36,8 @@ SEED_WORDS = 8
 #: Longs (list elements, and four a row) of a table that is broadcast instead of shuffled with the texts: 16 MB.
 BROADCAST_LONGS = 2_000_000
 CACHE = 300_000
+#: Most windows of a path.
+LONGEST = 4096
 #: Multipliers of the two polynomial hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PATHS = "doc long, anchor long, c1 long, c2 long, start int, windows int"
@@ -112,7 +114,10 @@ def paths(words: list[bytes], window: int = WINDOW, seed: int = SEED_WORDS) -> t
     sums = Sums(words)
     small = sums.runs(0, np.arange(n - seed + 1), seed)
     lowest = leftmost_smallest(small, window - seed + 1)
-    start = np.concatenate([[0], np.flatnonzero(np.diff(lowest)) + 1])
+    # A path ends where the anchor's value changes, not its place: text that repeats itself keeps one path, up to LONGEST windows.
+    first = np.concatenate([[True], np.diff(small[lowest]) != 0])
+    place = np.arange(len(first)) - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    start = np.flatnonzero(place % LONGEST == 0)
     count = np.diff(np.append(start, n - window + 1))
     length = count + window - 1
     return small[lowest[start]].view(np.int64), sums.runs(0, start, length).view(np.int64), sums.runs(1, start, length).view(np.int64), start, count
@@ -134,29 +139,35 @@ def all_paths(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def branch_windows(docs: DataFrame, sources: DataFrame, window: int) -> DataFrame:
-    """w1, w2, src, at: each window of the paths in ``sources`` (src, start, windows), read at its coordinates.
+    """w1, w2, src, start, at, more: each distinct window of the paths in ``sources`` (src, start, windows), read there.
 
-    ``at`` is start * 64 + the window's place in its path, so (src, start) names the path; a path has
-    fewer than 64 windows.
+    (src, start) names the path, ``at`` is the window's first place in it and ``more`` its other places, null if none:
+    a path of text that repeats itself gives one row for each window of its period.
     """
-    plan = sources.groupBy("src").agg(F.collect_list(F.col("start").cast("long") * 64 + F.col("windows")).alias("plan"))
+    plan = sources.groupBy("src").agg(F.collect_list(F.col("start").cast("long") * (2 * LONGEST) + F.col("windows")).alias("plan"))
     plan = small_enough(materialize(plan), "plan")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("w1", "w2", "src", "start", "at")
         for b in batches:
-            out = []
+            out, more = [], []
             for doc, text, plan in zip(b["doc"].tolist(), b["text"], b["plan"], strict=True):
                 sums = Sums(text.encode().split())
-                first, count = np.divmod(np.asarray(plan, np.int64), 64)
+                first, count = np.divmod(np.asarray(plan, np.int64), 2 * LONGEST)
                 path = np.repeat(np.arange(len(first)), count)
                 place = np.arange(len(path)) - np.repeat(np.cumsum(count) - count, count)
-                start = first[path] + place
-                out.append((sums.runs(0, start, window), sums.runs(1, start, window), np.full(len(path), doc), first[path] * 64 + place))
+                w1, w2 = (sums.runs(side, first[path] + place, window).view(np.int64) for side in (0, 1))
+                order = np.lexsort((place, w2, w1, path))
+                same = (np.diff(path[order]) == 0) & (np.diff(w1[order]) == 0) & (np.diff(w2[order]) == 0)
+                heads = np.flatnonzero(np.concatenate([[True], ~same]))
+                keep = order[heads]
+                sizes = np.diff(np.append(heads, len(order)))
+                more += [place[order[h + 1 : h + n]].tolist() if n > 1 else None for h, n in zip(heads.tolist(), sizes.tolist(), strict=True)]
+                out.append((w1[keep], w2[keep], np.full(len(keep), doc), first[path[keep]], place[keep]))
             if out:
-                w1, w2, src, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "src": src, "at": at})
+                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*out, strict=True), strict=True)} | {"more": pd.Series(more, dtype=object)})
 
-    return docs.join(plan, F.col("doc") == F.col("src")).mapInPandas(run, "w1 long, w2 long, src long, at long")
+    return docs.join(plan, F.col("doc") == F.col("src")).mapInPandas(run, "w1 long, w2 long, src long, start int, at int, more array<int>")
 
 
 def small_enough(df: DataFrame, lists: str) -> DataFrame:
@@ -198,17 +209,15 @@ def removed_ranges(docs: DataFrame, window: int, seed: int) -> DataFrame:
     earlier = (
         singles.join(several, ["w1", "w2"])
         .where("low < src")
-        .groupBy("src", F.shiftright("at", 6).cast("int").alias("start"))
-        .agg(F.collect_list(F.struct(F.col("at").bitwiseAND(63).cast("int").alias("at"), "low")).alias("earlier"))
+        .groupBy("src", "start")
+        .agg(F.collect_list(F.struct(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>"))).alias("ats"), "low")).alias("earlier"))
     )
     # Of each path of more than one document or with earlier windows: its source, and where windows have an earlier one.
     known = edges.join(earlier, ["src", "start"], "left").select("c1", "c2", "src", "earlier")
     held = found.join(known, ["c1", "c2"]).where((F.col("src") < F.col("doc")) | F.col("earlier").isNotNull())
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b")))
-    part = F.transform(
-        F.filter("earlier", lambda e: e["low"] < F.col("doc")),
-        lambda e: F.struct((F.col("start") + e["at"]).alias("a"), (F.col("start") + e["at"] + window).alias("b")),
-    )
+    places = F.flatten(F.transform(F.filter("earlier", lambda e: e["low"] < F.col("doc")), lambda e: e["ats"]))
+    part = F.transform(places, lambda at: F.struct((F.col("start") + at).alias("a"), (F.col("start") + at + window).alias("b")))
     lost = held.select("doc", F.when(F.col("src") < F.col("doc"), whole).otherwise(part).alias("r"))
     return materialize(lost.groupBy("doc").agg(F.flatten(F.collect_list("r")).alias("ranges")).select("doc", F.pandas_udf(merged, "array<struct<a:int,b:int>>")("ranges").alias("ranges")))
 
