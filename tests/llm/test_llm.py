@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallyloom.llm import exact_dedup, graph, html_extract, packing, quality_classifier, quality_rules, simhash, sp_codec, substring_dedup, toxicity, url_filter
+from tallyloom.llm import exact_dedup, graph, html_extract, near_copies, packing, quality_classifier, quality_rules, simhash, sp_codec, substring_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, sha string, fp long, key string, ranges string, kept string, part int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -334,3 +334,40 @@ def test_pipeline(spark, docs, labels, tmp_path):
     want = sorted((r.doc_id is None, r.doc_id, r.start, r.length, r.ids_crc32) for r in at.collect() if r.doc_id is not None)
     got = sorted((r.doc_id is None, r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id is not None)
     assert got == want
+
+
+def near_table():
+    """Texts at many similarities, chains of edits, short texts, case and white space, ids that repeat."""
+    rng, words = random.Random(12), vocabulary(2000, 13)
+    rows = [(None, "only"), (0, ""), (1, None), (2, " \n"), (3, "one two"), (4, "One  two"), (5, "one two three")]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.choice([30, 80, 300]))
+        for _ in range(4):
+            rows.append((len(rows), " ".join(base)))
+            for _ in range(rng.choice([1, 1, 2, len(base) // 40 + 1])):
+                base[rng.randrange(len(base))] = rng.choice(words)
+    return rows + [(20, "a text of its own that no other row has"), (21, rows[10][1])]
+
+
+@pytest.mark.parametrize("tile", [3, 512])
+def test_near_copies_against_all_pairs(spark, monkeypatch, tmp_path, tile):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rows = near_table()
+    sets = []
+    for _, t in rows:
+        w = [x.lower() for x in words_of(t)]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    assert len(set(group)) < len(rows) - 30
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()]
+    assert len(kept) == len(set(group)) == len({group[rows.index(r)] for r in kept})
+    lowest = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        lowest[g] = min([x for x in (i, lowest.get(g)) if x is not None], default=None)
+    assert all(r[0] == lowest[group[rows.index(r)]] for r in kept)
