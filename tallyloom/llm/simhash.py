@@ -161,16 +161,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint zero and links like any other. Rows with a null id get their component's smallest id, null
     if no member has one. Equal texts, and rows that repeat an id, share a component.
     """
-    prints = materialize(fingerprints(df.select(F.col(id_col).alias("id"), text_col), text_col, words, "id"))
+    found = placed(df.select(F.col(id_col).alias("id"), text_col), text_col, words, radius, "id")
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def placed(df: DataFrame, text_col: str, words: int, radius: int, *carried: str) -> DataFrame:
+    """``carried`` columns (id among them), fp and component_id of each row of ``df``."""
+    prints = materialize(fingerprints(df, text_col, words, *carried))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
     roots = components(links(nodes.where("node IS NOT NULL"), radius))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the row with its smallest id (rows with a null id stay where none has an id)."""
-    found = near_duplicates(df, id_col, text_col, words, radius)
-    mine, lost = free_name(df.columns, "id"), free_name([*df.columns, "__id"], "lost")
-    drop = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(mine), F.lit(True).alias(lost)).distinct()
-    return df.join(drop, F.col(id_col).eqNullSafe(F.col(mine)), "left").where(F.col(lost).isNull()).select(*df.columns)
+    """The rows of ``df`` that stay: of each component those with its smallest id (rows with a null id stay where none has an id).
+
+    An id that recurs with other texts counts in each component by itself.
+    """
+    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = placed(df.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text")), "text", words, radius, "id", "row")
+    mine, hashed, lost = free_name(df.columns, "id"), free_name(df.columns, "row"), free_name(df.columns, "lost")
+    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(mine), F.col("row").alias(hashed), F.lit(True).alias(lost)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(mine)) & (row == F.col(hashed))
+    return df.join(drop, same, "left").where(F.col(lost).isNull()).select(*df.columns)

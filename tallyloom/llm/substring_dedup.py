@@ -6,7 +6,7 @@ the text, so paths are moved instead:
 
 1. Each window names its anchor, its smallest hashed ``seed``-word k-mer. The choice depends on the words
    alone, so equal windows name equal anchors. Consecutive windows of a document with one anchor form a
-   path, stored as one row: anchor, 128-bit content, document, first word, number of windows.
+   path, stored as one row: anchor, 128-bit content, document and hash of its text, first word, number of windows.
 2. Anchors that only one document has are dropped by a join with a grouped table. All windows equal to
    a remaining one lie on paths of the same anchor.
 3. If an anchor has a single content, its path doesn't branch anywhere in the corpus: it is compacted to one
@@ -40,7 +40,7 @@ CACHE = 300_000
 LONGEST = 4096
 #: Multipliers of the two polynomial hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-PATHS = "doc long, anchor long, c1 long, c2 long, start int, windows int"
+PATHS = "doc long, row long, anchor long, c1 long, c2 long, start int, windows int"
 
 
 class WordHashes(dict):
@@ -127,31 +127,32 @@ def all_paths(docs: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("anchor", "c1", "c2", "start", "windows")
         for b in batches:
-            ids, found = [], []
-            for doc, text in zip(b["doc"].tolist(), b["text"], strict=True):
+            ids, rows, found = [], [], []
+            for doc, row, text in zip(b["doc"].tolist(), b["row"].tolist(), b["text"], strict=True):
                 if (x := paths(text.encode().split(), window, seed)) is not None:
                     found.append(x)
                     ids.append(np.full(len(x[0]), doc, np.int64))
+                    rows.append(np.full(len(x[0]), row, np.int64))
             if found:
-                yield pd.DataFrame({"doc": np.concatenate(ids)} | {c: np.concatenate([x[i] for x in found]) for i, c in enumerate(names)})
+                yield pd.DataFrame({"doc": np.concatenate(ids), "row": np.concatenate(rows)} | {c: np.concatenate([x[i] for x in found]) for i, c in enumerate(names)})
 
     return docs.mapInPandas(run, PATHS)
 
 
 def branch_windows(docs: DataFrame, sources: DataFrame, window: int) -> DataFrame:
-    """w1, w2, src, start, at, more: each distinct window of the paths in ``sources`` (src, start, windows), read there.
+    """w1, w2, src, src_row, start, at, more: each distinct window of the paths in ``sources`` (src, src_row, start, windows), read there.
 
-    (src, start) names the path, ``at`` is the window's first place in it and ``more`` its other places, null if none:
+    (src, src_row, start) names the path, ``at`` is the window's first place in it and ``more`` its other places, null if none:
     a path of text that repeats itself gives one row for each window of its period.
     """
-    plan = sources.groupBy("src").agg(F.collect_list(F.col("start").cast("long") * (2 * LONGEST) + F.col("windows")).alias("plan"))
+    plan = sources.groupBy("src", "src_row").agg(F.collect_list(F.col("start").cast("long") * (2 * LONGEST) + F.col("windows")).alias("plan"))
     plan = small_enough(materialize(plan), "plan")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("w1", "w2", "src", "start", "at")
+        names = ("w1", "w2", "src", "src_row", "start", "at")
         for b in batches:
             out, more = [], []
-            for doc, text, plan in zip(b["doc"].tolist(), b["text"], b["plan"], strict=True):
+            for doc, row, text, plan in zip(b["doc"].tolist(), b["row"].tolist(), b["text"], b["plan"], strict=True):
                 sums = Sums(text.encode().split())
                 first, count = np.divmod(np.asarray(plan, np.int64), 2 * LONGEST)
                 path = np.repeat(np.arange(len(first)), count)
@@ -163,11 +164,12 @@ def branch_windows(docs: DataFrame, sources: DataFrame, window: int) -> DataFram
                 keep = order[heads]
                 sizes = np.diff(np.append(heads, len(order)))
                 more += [place[order[h + 1 : h + n]].tolist() if n > 1 else None for h, n in zip(heads.tolist(), sizes.tolist(), strict=True)]
-                out.append((w1[keep], w2[keep], np.full(len(keep), doc), first[path[keep]], place[keep]))
+                out.append((w1[keep], w2[keep], np.full(len(keep), doc), np.full(len(keep), row), first[path[keep]], place[keep]))
             if out:
                 yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*out, strict=True), strict=True)} | {"more": pd.Series(more, dtype=object)})
 
-    return docs.join(plan, F.col("doc") == F.col("src")).mapInPandas(run, "w1 long, w2 long, src long, start int, at int, more array<int>")
+    same = (F.col("doc") == F.col("src")) & (F.col("row") == F.col("src_row"))
+    return docs.join(plan, same).mapInPandas(run, "w1 long, w2 long, src long, src_row long, start int, at int, more array<int>")
 
 
 def small_enough(df: DataFrame, lists: str) -> DataFrame:
@@ -191,7 +193,7 @@ def merged(lists: pd.Series) -> pd.Series:
 
 
 def removed_ranges(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """doc, ranges (array of first and last word, which may touch or overlap) of ``docs`` (doc, text; no nulls)."""
+    """doc, row, ranges (array of first and last word, which may touch or overlap) of ``docs`` (doc, row, text; no nulls)."""
     everything = materialize(all_paths(docs, window, seed))
     shared = (
         everything.groupBy("anchor")
@@ -201,25 +203,25 @@ def removed_ranges(docs: DataFrame, window: int, seed: int) -> DataFrame:
     )
     found = materialize(everything.join(shared, "anchor"))
     edges = materialize(
-        found.groupBy("single", "c1", "c2", "windows").agg(F.min(F.struct("doc", "start")).alias("first")).select("single", "c1", "c2", "windows", "first.*")
-    ).withColumnsRenamed({"doc": "src"})
-    singles = materialize(branch_windows(docs, edges.where("NOT single").select("src", "start", "windows"), window))
+        found.groupBy("single", "c1", "c2", "windows").agg(F.min(F.struct("doc", "row", "start")).alias("first")).select("single", "c1", "c2", "windows", "first.*")
+    ).withColumnsRenamed({"doc": "src", "row": "src_row"})
+    singles = materialize(branch_windows(docs, edges.where("NOT single").select("src", "src_row", "start", "windows"), window))
     # Windows that one source alone has keep that source; only the others are joined.
     several = singles.groupBy("w1", "w2").agg(F.min("src").alias("low"), F.max("src").alias("high")).where("low < high").select("w1", "w2", "low")
     earlier = (
         singles.join(several, ["w1", "w2"])
         .where("low < src")
-        .groupBy("src", "start")
+        .groupBy("src", "src_row", "start")
         .agg(F.collect_list(F.struct(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>"))).alias("ats"), "low")).alias("earlier"))
     )
     # Of each path of more than one document or with earlier windows: its source, and where windows have an earlier one.
-    known = edges.join(earlier, ["src", "start"], "left").select("c1", "c2", "src", "earlier")
+    known = edges.join(earlier, ["src", "src_row", "start"], "left").select("c1", "c2", "src", "earlier")
     held = found.join(known, ["c1", "c2"]).where((F.col("src") < F.col("doc")) | F.col("earlier").isNotNull())
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b")))
     places = F.flatten(F.transform(F.filter("earlier", lambda e: e["low"] < F.col("doc")), lambda e: e["ats"]))
     part = F.transform(places, lambda at: F.struct((F.col("start") + at).alias("a"), (F.col("start") + at + window).alias("b")))
-    lost = held.select("doc", F.when(F.col("src") < F.col("doc"), whole).otherwise(part).alias("r"))
-    return materialize(lost.groupBy("doc").agg(F.flatten(F.collect_list("r")).alias("ranges")).select("doc", F.pandas_udf(merged, "array<struct<a:int,b:int>>")("ranges").alias("ranges")))
+    lost = held.select("doc", "row", F.when(F.col("src") < F.col("doc"), whole).otherwise(part).alias("r"))
+    return materialize(lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("r")).alias("ranges")).select("doc", "row", F.pandas_udf(merged, "array<struct<a:int,b:int>>")("ranges").alias("ranges")))
 
 
 def removed_mask(n: int, ranges: list) -> np.ndarray:
@@ -233,11 +235,12 @@ def removed_mask(n: int, ranges: list) -> np.ndarray:
 
 def with_ranges(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> tuple[DataFrame, str]:
     """``df`` and a column of the word ranges to remove (null: none)."""
-    docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    docs = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     ranges = removed_ranges(docs, window, seed)
     ranges = small_enough(ranges, "ranges")
-    mine, name = free_name(df.columns, "doc"), free_name(df.columns, "ranges")
-    joined = df.join(ranges.select(F.col("doc").alias(mine), F.col("ranges").alias(name)), F.col(id_col) == F.col(mine), "left").drop(mine)
+    mine, row, name = (free_name(df.columns, c) for c in ("doc", "row", "ranges"))
+    same = (F.col(id_col) == F.col(mine)) & (F.xxhash64(text_col) == F.col(row))
+    joined = df.join(ranges.select(F.col("doc").alias(mine), F.col("row").alias(row), F.col("ranges").alias(name)), same, "left").drop(mine, row)
     return joined, name
 
 

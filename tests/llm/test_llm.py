@@ -371,3 +371,32 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, tmp_path, tile):
     for (i, _), g in zip(rows, group, strict=True):
         lowest[g] = min([x for x in (i, lowest.get(g)) if x is not None], default=None)
     assert all(r[0] == lowest[group[rows.index(r)]] for r in kept)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """An id's texts keep their own ranges and their own components."""
+    rng, words = random.Random(21), vocabulary(3000, 22)
+    passage, other = rng.choices(words, k=80), rng.choices(words, k=700)
+    rows = [(1, passage), (2, passage), (5, rng.choices(words, k=60) + passage), (5, other), (5, rng.choices(words, k=51)), (7, other[:300] + passage[:55]), (7, other[400:]), (5, passage[:70] + other[:90])]
+    first = {}
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(i, first.get(tuple(w[k : k + 50]), i))
+    want = []
+    for i, w in rows:
+        gone = set()
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < i:
+                gone |= set(range(k, k + 50))
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in substring_dedup.cut_repeats(table).collect()) == sorted(want)
+    assert sorted(hashlib.sha256(" ".join(r.text.split()).encode()).hexdigest() for r in substring_dedup.without_repeats(table).collect()) == sorted(x[3] for x in want)
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, near_copies.keep_one])
+def test_each_component_keeps_a_row(spark, keep):
+    rng, words = random.Random(23), vocabulary(3000, 24)
+    a, b = (" ".join(rng.choices(words, k=80)) for _ in range(2))
+    table = spark.createDataFrame([(5, a), (6, a.replace(" ", "\n")), (5, b), (3, b.replace(" ", "  "))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text.split()[0]) for r in keep(table).collect()) == [(3, b.split()[0]), (5, a.split()[0])]
