@@ -39,6 +39,8 @@ LANDMARKS = 320
 CLASSES = 64
 MARK = 63
 THRESHOLD = 0.3
+#: Score of every text where the labels teach nothing: below THRESHOLD, so that nothing is called toxic without evidence.
+UNKNOWN = 0.05
 #: Characters scored at a time; slices end at the end of a word where a word is shorter than this.
 SLICE = 1 << 18
 #: (distance to the second, distance to the third) character of a subsequence.
@@ -203,7 +205,7 @@ def clean_word(w: str) -> str:
 
 
 def train(texts: list[str], toxic: list[bool], rounds: int = 2) -> Machine:
-    """Fit on labelled texts; with one class only, every score is the same."""
+    """Fit on labelled texts; where a class has no words, or no word tells toxic texts, every score is UNKNOWN."""
     once = distinct_texts(texts)
     # Every fourth text is kept back for the calibration.
     back = [i for i in once[3::4]] if len(once) >= 40 else once
@@ -218,7 +220,7 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 2) -> Machine:
         for w in bag:
             if len(w) < 64:
                 count[w] = count.get(w, 0) + 1
-    empty = Machine(np.zeros(CLASSES**3, np.float32), 0.0, (float(np.log((sum(toxic) + 0.5) / (len(toxic) - sum(toxic) + 0.5))), 0.0, 0.0))
+    empty = Machine(np.zeros(CLASSES**3, np.float32), 0.0, (float(np.log(UNKNOWN / (1 - UNKNOWN))), 0.0, 0.0))
     if not in_toxic or not in_clean:
         return empty
     witness = first_witnesses(bags, toxic, in_toxic, in_clean)
@@ -353,7 +355,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     texts, toxic, share = training_sample(docs, labels, id_col, text_col)
     machine = train(texts, toxic)
-    if 0 < sum(toxic) < len(toxic):
+    if machine.weight.any() and 0 < sum(toxic) < len(toxic):
         # The sample holds more toxic rows than the labels do: correct the intercept for it.
         odds = lambda p: float(np.log(p / (1 - p)))
         machine.slope = (machine.slope[0] + odds(share) - odds(sum(toxic) / len(toxic)), *machine.slope[1:])
@@ -373,7 +375,10 @@ def score_column(machine: Machine, text: Column, spark) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col``, held_out, score, predicted (1 if the score is at least THRESHOLD)."""
+    """One row per document: ``id_col``, held_out, score, predicted (1 if the score is at least THRESHOLD).
+
+    Where no labelled row joins, or the rows that do are of one class, every score is UNKNOWN and no document is predicted toxic.
+    """
     machine = fit(docs, labels, id_col, text_col)
     score = score_column(machine, F.col(text_col), docs.sparkSession)
     scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score.alias("score"))
@@ -381,6 +386,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below THRESHOLD."""
+    """The rows of ``docs`` that score below THRESHOLD: all of them where the labels lack a class."""
     machine = fit(docs, labels, id_col, text_col)
     return docs.where(score_column(machine, F.col(text_col), docs.sparkSession) < THRESHOLD)

@@ -400,3 +400,10 @@ def test_each_component_keeps_a_row(spark, keep):
     a, b = (" ".join(rng.choices(words, k=80)) for _ in range(2))
     table = spark.createDataFrame([(5, a), (6, a.replace(" ", "\n")), (5, b), (3, b.replace(" ", "  "))], "doc_id long, text string")
     assert sorted((r.doc_id, r.text.split()[0]) for r in keep(table).collect()) == [(3, b.split()[0]), (5, a.split()[0])]
+
+
+@pytest.mark.parametrize("toxic", [[], [None] * 30, [1] * 30, [0] * 30])
+def test_labels_without_a_class_drop_nothing(spark, docs, toxic):
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).count() == len(awkward())
+    assert {r.predicted for r in toxicity.toxicity(docs, labels).collect()} == {0}
