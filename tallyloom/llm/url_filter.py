@@ -14,12 +14,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, materialize
+
 POLICY = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MIN_COUNT = 20
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 2.0
-#: Most rules kept, by confidence, then support.
+#: Most rules that are matched as a literal; more are matched by joins, none is dropped.
 MAX_RULES = 200
 BLOCKED = "label:block"
 
@@ -55,7 +57,7 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Block rules (tokens, confidence, count) of ``labelled`` (url, block), at most MAX_RULES."""
+    """Block rules (tokens, confidence, count) of ``labelled`` (url, block): all that pass and of which no part one token shorter does as well."""
     baskets = labelled.where("block IS NOT NULL").select(
         F.concat(tokens_of(F.col("url")), F.when(F.col("block"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items"), "block"
     )
@@ -70,15 +72,16 @@ def mine_rules(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> D
     rules = hits.join(sets.withColumnRenamed("items", "tokens"), "tokens").where(F.col("freq") >= MIN_COUNT)
     rules = rules.select("tokens", (F.col("hit") / F.col("freq")).alias("confidence"), F.col("freq").alias("count"))
     rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") * n >= MIN_LIFT * bad))
-    kept = rules.orderBy(F.desc("confidence"), F.desc("count"), "tokens").limit(MAX_RULES)
-    return kept
+    rules = materialize(rules)
+    # A rule with a part that does as well alone says nothing more; one that stays for want of a token less changes no verdict.
+    parts = rules.select("tokens", "confidence", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+    better = parts.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("alone")), "part").where("alone >= confidence")
+    return materialize(rules.join(better.select("tokens").distinct(), "tokens", "left_anti"))
 
 
 def matcher(rules: DataFrame, tokens: Column) -> Column:
-    """True where one of the mined rules has all its tokens in ``tokens``."""
-    found = [(sorted(r["tokens"]), r["confidence"]) for r in rules.collect()]  # at most MAX_RULES
-    # A rule whose part does as well alone says nothing more.
-    found = [(t, c) for t, c in found if not any(set(o) < set(t) and oc >= c for o, oc in found)]
+    """True where one of the mined ``rules``, at most MAX_RULES, has all its tokens in ``tokens``."""
+    found = [(sorted(r["tokens"]), r["confidence"]) for r in rules.collect()]
     if not found:
         return F.lit(False)
     uses: dict[str, int] = {}
@@ -93,13 +96,33 @@ def matcher(rules: DataFrame, tokens: Column) -> Column:
     return F.exists(mine, lambda t: F.exists(F.element_at(literal, t), lambda r: F.size(F.array_except(r, tokens)) == 0))
 
 
+def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url): the distinct ones of ``urls`` (url) that have all tokens of a rule, however many rules there are.
+
+    A rule is looked up under its rarest token, so that a token of many URLs is joined with few rules.
+    """
+    of_url = urls.where("url IS NOT NULL").distinct().withColumn("tokens", tokens_of(F.col("url")))
+    listed = rules.select("tokens", F.explode("tokens").alias("token"))
+    uses = listed.groupBy("token").agg(F.count("*").alias("uses"))
+    index = listed.join(uses, "token").groupBy("tokens").agg(F.min(F.struct("uses", "token")).alias("rarest"))
+    index = index.select(F.col("rarest.token").alias("token"), F.col("tokens").alias("rule"))
+    hits = of_url.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return hits.where(F.size(F.array_except("rule", "tokens")) == 0).select("url").distinct()
+
+
 def judged(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", policy=POLICY) -> DataFrame:
     """One row per page: ``id_col``, host, path, rule, verdict, mined (whether a mined rule matches).
 
     A null URL, or one without ``://``, has an empty host and path and no rule; its verdict is the mined rules'.
     """
     url = F.col(url_col)
-    mined = matcher(mine_rules(labelled), tokens_of(url))
+    rules = mine_rules(labelled)
+    if rules.limit(MAX_RULES + 1).count() <= MAX_RULES:
+        mined = matcher(rules, tokens_of(url))
+    else:
+        name = free_name(pages.columns, "matched")
+        pages = pages.join(matched_urls(pages.select(url.alias("url")), rules).select(F.col("url").alias(name)), url == F.col(name), "left")
+        mined = F.col(name).isNotNull()
     rows = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), mined.alias("mined"))
     rule, verdict = policy_rule(F.col("host"), F.col("path"), policy)
     method = F.when(F.col("mined"), "block").otherwise("allow")

@@ -407,3 +407,12 @@ def test_labels_without_a_class_drop_nothing(spark, docs, toxic):
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
     assert toxicity.without_toxic(docs, labels).count() == len(awkward())
     assert {r.predicted for r in toxicity.toxicity(docs, labels).collect()} == {0}
+
+
+def test_every_url_rule_blocks(spark):
+    """More bad hosts than MAX_RULES: each one's rule holds."""
+    hosts = url_filter.MAX_RULES + 30
+    rows = [(f"http://bad{'abcdefghij'[h % 10]}{h}x.org/p{i}", True) for h in range(hosts) for i in range(25)] + [(f"http://good{h}x.org/p{i}", False) for h in range(2 * hosts) for i in range(25)]
+    pages = [(h, f"http://bad{'abcdefghij'[h % 10]}{h}x.org/new") for h in range(hosts)] + [(-1, "http://good3x.org/new"), (-2, None)]
+    got = url_filter.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rows, "url string, block boolean")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(hosts)) and len(got) == len(pages)
