@@ -2,17 +2,20 @@
 
 The lattice is over UTF-8 bytes: every piece of the vocabulary is an edge (its word mark is a blank), and every
 byte has its byte piece, so each text has a path and decoding gives back each byte. Edges weigh
-1 / (1 + rank of the piece), ``sharpness`` times over; byte pieces weigh as the rarest. A piece never crosses a
-blank, so a document's lattice falls apart into its words: forward sums are made once for each distinct word
-of a slice, all words together, and all occurrences are then sampled backwards together, a step at a time, with numpy.
+1 / (1 + rank of the piece), ``sharpness`` times over; byte pieces weigh as the rarest. No piece has a blank after
+another character, so a document's lattice falls apart, without loss, before each run of blanks: forward sums are
+made once for each distinct unit (blanks and word) of a slice, all units together, and all occurrences are then
+sampled backwards together, a step at a time, with numpy. Forward sums of long units are kept as logarithms, so
+that a text without blanks is one unit whatever its length.
 
-The random number of a step depends on the row key, the word's place and the step alone: the same key and text
+The random number of a step depends on the row key, the unit's place and the step alone: the same key and text
 give the same ids on any cluster, in any batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,15 +26,14 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 SHARPNESS = 2.0
-#: Characters whose words are sampled together.
+#: Characters whose units are sampled together.
 SLICE = 3_000_000
-#: Longest stretch of bytes without a cut; longer words are cut, which keeps sums in range.
-STRETCH = 30
-#: Marks the key of a word without a blank; no UTF-8 text has this byte.
-BARE = b"\xff"
+#: From so many bytes on, a unit's forward sums are kept as logarithms: products of more weights leave the range of doubles.
+LONG = 30
 #: Multiplier of the hash that the trie is kept by.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+RUNS = re.compile(rb"(?<! )(?= )")
 
 
 class Codec:
@@ -55,13 +57,15 @@ class Codec:
                 self.bytes_of[i] = piece.replace("▁", " ").encode()
                 self.weight[self.bytes_of[i]] = (i, (1 + ranked) ** -sharpness)
                 ranked += 1
+        if any(b" " in p.lstrip(b" ") for p in self.weight):
+            raise ValueError("a piece joins words: texts can't be cut at blanks")
         self.rare = (1 + ranked) ** -sharpness
         # A trie as sorted hashes: for each length, every prefix of a piece, with the piece that it is (or -1).
         self.trie: list[tuple[np.ndarray, np.ndarray]] = []
         prefixes: dict[int, dict[int, int]] = {}
         for piece, (i, _) in self.weight.items():
             h = 0
-            for n, byte in enumerate(piece[:STRETCH], 1):
+            for n, byte in enumerate(piece, 1):
                 h = (h * BASE + byte + 1) & MASK
                 level = prefixes.setdefault(n, {})
                 if level.setdefault(h, -1) < 0 and n == len(piece):
@@ -74,19 +78,15 @@ class Codec:
             self.weights[i] = x
         self.byte_ids = np.array(self.byte_id, np.int64)
 
-    def lattices(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """First and last node of each word; cumulative shares, starts and ids of the edges, by the node that they end at.
-
-        A word of n bytes has n + 1 nodes. The cumulative share of an edge is its end node's number plus its place
-        between 0 and 1, so that one sorted array serves every node.
-        """
-        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def edges(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
+        """First node and size of each unit; starts, ends and ids of the edges, sorted by end. A unit of n bytes has n + 1 nodes."""
+        data = np.frombuffer(b"".join(units), np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
         base = np.cumsum(size + 1) - size - 1
-        word = np.repeat(np.arange(len(words)), size)
+        unit = np.repeat(np.arange(len(units)), size)
         place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-        node = base[word] + place  # where an edge from this byte starts
-        left = size[word] - place
+        node = base[unit] + place  # where an edge from this byte starts
+        left = size[unit] - place
         starts, ends, ids = [node], [node + 1], [self.byte_ids[data]]
         at, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
         for n, (keys, piece) in enumerate(self.trie, 1):
@@ -104,41 +104,48 @@ class Codec:
                 break
         starts, ends, ids = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
         order = np.argsort(ends, kind="stable")
-        starts, ends, ids = starts[order], ends[order], ids[order]
-        owner = np.repeat(np.arange(len(words)), size + 1)
-        depth = ends - base[owner[ends]]
-        by_depth = np.argsort(depth, kind="stable")
-        bounds = np.searchsorted(depth[by_depth], np.arange(1, depth.max() + 2))
-        alpha = np.zeros(int(size.sum()) + len(words))
-        alpha[base] = 1.0
+        return base, size, starts[order], ends[order], ids[order]
+
+    def lattices(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
+        """First and last node of each unit; cumulative shares, starts and ids of the edges, by the node that they end at.
+
+        The cumulative share of an edge is its end node's number plus its place between 0 and 1, so that one sorted
+        array serves every node.
+        """
+        base, size, starts, ends, ids = self.edges(units)
+        owner = np.repeat(np.arange(len(units)), size + 1)
+        unit = owner[ends]
+        depth = ends - base[unit]
         weight = self.weights[ids]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            e = by_depth[a:b]
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(ends[e]) != 0]))
-            alpha[ends[e[heads]]] = np.add.reduceat(alpha[starts[e]] * weight[e], heads)
-        share = np.cumsum(alpha[starts] * weight / alpha[ends])
+        share = np.empty(len(ends))
+        for long in (False, True):
+            mine = np.flatnonzero((size[unit] >= LONG) == long)
+            if len(mine):
+                forward = log_sums if long else sums
+                share[mine] = forward(starts[mine], ends[mine], depth[mine], weight[mine], base, int(size.sum()) + len(units))
+        total = np.cumsum(share)
         heads = np.flatnonzero(np.concatenate([[True], np.diff(ends) != 0]))
-        before = np.concatenate([[0.0], share])[heads]
-        cumulative = ends + np.minimum(share - np.repeat(before, np.diff(np.append(heads, len(ends)))), 1.0)
+        before = np.concatenate([[0.0], total])[heads]
+        cumulative = ends + np.clip(total - np.repeat(before, np.diff(np.append(heads, len(ends)))), 0.0, 1.0)
         cumulative[np.append(heads[1:], len(ends)) - 1] = ends[heads] + 1.0
         return base, base + size, cumulative, starts, ids
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Sampled ids of each text; the same key and text give the same ids."""
         number = Numbers()
-        words, place, owner = [], [], []
+        units, place, owner = [], [], []
         for d, text in enumerate(texts):
             mine = list(map(number.__getitem__, cuts(text.encode())))
-            words.append(np.array(mine, np.int64))
+            units.append(np.array(mine, np.int64))
             place.append(np.arange(len(mine), dtype=np.uint64))
             owner.append(np.full(len(mine), d, np.int64))
         if not number:
             return [np.empty(0, np.int64) for _ in texts]
-        word, place, owner = np.concatenate(words), np.concatenate(place), np.concatenate(owner)
-        base, last, cumulative, starts, ids = self.lattices([k[1:] if k[:1] == BARE else b" " + k for k in number])
+        unit, place, owner = np.concatenate(units), np.concatenate(place), np.concatenate(owner)
+        base, last, cumulative, starts, ids = self.lattices(list(number))
         seed = np.array(keys, np.int64).view(np.uint64)[owner]
-        at, begin = last[word], base[word]
-        live = np.argsort(word, kind="stable")  # so that look-ups go through the lattices in order
+        at, begin = last[unit], base[unit]
+        live = np.argsort(unit, kind="stable")  # so that look-ups go through the lattices in order
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
             u = uniform(seed[live], place[live], len(steps))
@@ -166,20 +173,42 @@ class Numbers(dict):
         return n
 
 
+def levels(ends: np.ndarray, depth: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (positions) by the depth of their end, and where each end node's edges start among them."""
+    by_depth = np.argsort(depth, kind="stable")
+    for e in np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1):
+        yield e, np.flatnonzero(np.concatenate([[True], np.diff(ends[e]) != 0]))
+
+
+def sums(starts, ends, depth, weight, base, nodes) -> np.ndarray:
+    """Each edge's share in the forward sum of its end node."""
+    alpha = np.zeros(nodes)
+    alpha[base] = 1.0
+    for e, heads in levels(ends, depth):
+        alpha[ends[e[heads]]] = np.add.reduceat(alpha[starts[e]] * weight[e], heads)
+    return alpha[starts] * weight / alpha[ends]
+
+
+def log_sums(starts, ends, depth, weight, base, nodes) -> np.ndarray:
+    """The same with logarithms, for units whose sums leave the range of doubles."""
+    alpha = np.full(nodes, -np.inf)
+    alpha[base] = 0.0
+    weight = np.log(weight)
+    for e, heads in levels(ends, depth):
+        x = alpha[starts[e]] + weight[e]
+        most = np.maximum.reduceat(x, heads)
+        many = np.diff(np.append(heads, len(x)))
+        alpha[ends[e[heads]]] = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, many)), heads))
+    return np.exp(alpha[starts] + weight - alpha[ends])
+
+
 def cuts(data: bytes) -> list[bytes]:
-    """Words of a text, cut before each blank and after STRETCH bytes: a word's key is what follows its blank, or BARE and the word."""
-    parts = data.split(b" ")
-    first = parts[0]
-    if len(max(parts, key=len)) < STRETCH:
-        parts[0] = BARE + first
-        return parts if first else parts[1:]
-    out = []
-    for n, p in enumerate(parts):
-        w = b" " + p if n else p
-        for i in range(0, len(w), STRETCH):
-            x = w[i : i + STRETCH]
-            out.append(x[1:] if n and not i else BARE + x)
-    return out
+    """Units of a text: cut before each run of blanks. Joined they are the text."""
+    if b"  " in data or data[:1] == b" ":
+        return [x for x in RUNS.split(data) if x]
+    first, *rest = data.split(b" ")
+    units = [b" " + x for x in rest]
+    return [first, *units] if first else units
 
 
 def uniform(seed: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
@@ -212,7 +241,11 @@ def slices(texts: list[str]) -> Iterator[slice]:
 
 
 def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, sharpness: float = SHARPNESS) -> DataFrame:
-    """``id_col`` and ids (array of int) of each text, sampled with the hash of the id as key. A null text has no ids; a null id is a key of its own."""
+    """``id_col`` and ids (array of int) of each text, sampled with the hash of the id as key.
+
+    A null text has no ids, as an empty one; a null id is a key of its own; repeated rows get equal ids; an empty
+    table gives an empty result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = worker_codec(model, sharpness)
@@ -226,7 +259,7 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
 
 
 def decoded(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """``df`` with ``text_col``: the text that ``ids_col`` spells."""
+    """``df`` with ``text_col``: the text that ``ids_col`` spells; null for null ids."""
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
