@@ -1,14 +1,21 @@
 """Quality by weak supervision: rules vote or abstain, and their accuracies are learned without labels.
 
 Each rule reads the same per-document counts and votes good, bad or abstains. Votes are grouped into patterns
-(3 ** rules at most, whatever the number of documents); expectation-maximisation over that small table
-estimates each rule's vote rates among good and bad documents and the share of good ones. A document's
-posterior is then a sum of log-odds of its votes: one column expression.
+(3 ** rules at most, whatever the number of documents); expectation-maximisation over that small table fits a
+mixture of good documents and, for each rule, one kind of junk: the kind that this rule exists to see. A kind's
+documents never get a good vote from its own rule; how the other rules vote on it, how often each rule is wrong
+about good documents, and how common each kind is, are estimated. So the commonest junk doesn't alone define what
+"bad" is, as it would with a single bad class. An abstention says nothing. A document's posterior probability of
+being good replaces the demand that all rules pass.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -22,10 +29,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 ROUNDS = 200
 #: A document stays if its posterior probability of being good is at least this.
 KEEP_FROM = 0.5
-#: Prior rates of (bad, good, no) votes among good and bad documents, and its weight.
-PRIOR_GOOD = (0.0005, 0.8, 0.1995)
-PRIOR_BAD = (0.3, 0.6, 0.1)
-ANCHOR = 1.0
+#: Prior of the rates, in documents: it steadies what few documents tell and is outweighed by many.
+PRIOR_WEIGHT = 20.0
+#: Prior rate of a bad vote, among votes, on a good document and on junk of another kind.
+PRIOR_FALSE = 0.005
+PRIOR_OTHER = 0.1
+#: Rate of good votes of a rule on its own kind of junk.
+OWN_MISS = 0.001
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_letters long"
 #: (name, bad if, good if): neither means that the rule abstains.
 RULES = (
@@ -82,49 +92,74 @@ def votes(rules=RULES) -> list:
     return [F.when(F.expr(bad), 0).when(F.expr(good), 1).alias(f"vote_{name}") for name, bad, good in rules]
 
 
-def fit(patterns: list[tuple], rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
-    """Share of good documents, and log-odds (rule, vote: bad, good, abstain) of each vote, from (votes..., count) rows.
+@dataclass
+class Model:
+    """Shares of the classes (good first, then one kind of junk a rule) and each class's rates of bad votes, by rule."""
 
-    Starts from documents without a bad vote as good ones. Rates carry a prior worth ANCHOR times the documents, that
-    rules are right more often than not: else the commonest kind of bad document alone would define "bad".
-    """
-    v = np.array([[2 if x is None else x for x in p[:-1]] for p in patterns])
+    share: np.ndarray
+    bad: np.ndarray
+
+    def accuracies(self) -> np.ndarray:
+        """(rules, 2): how often each rule's vote is right on good documents and, of the votes it casts there, on junk."""
+        junk = self.share[1:] / max(self.share[1:].sum(), 1e-300)
+        return np.stack([1 - self.bad[0], junk @ self.bad[1:]], axis=1)
+
+    def log_joint(self, votes: np.ndarray) -> np.ndarray:
+        """(rows, classes): log share and likelihood of each row of votes (0 bad, 1 good, 2 abstains)."""
+        return np.log(self.share) + (votes == 0) @ np.log(self.bad).T + (votes == 1) @ np.log1p(-self.bad).T
+
+    def good(self, votes: np.ndarray) -> np.ndarray:
+        x = self.log_joint(votes)
+        x = np.exp(x - x.max(axis=1, keepdims=True))
+        return x[:, 0] / x.sum(axis=1)
+
+
+def fit(patterns: list[tuple], rounds: int = ROUNDS) -> Model:
+    """The model of (votes..., count) rows by expectation-maximisation; without rows it is the prior."""
+    rules = len(patterns[0]) - 1 if patterns else len(RULES)
+    v = np.array([[2 if x is None else x for x in p[:-1]] for p in patterns]).reshape(-1, rules)
     n = np.array([p[-1] for p in patterns], float)
-    good = np.where((v == 0).any(axis=1), 0.05, 0.95)
-    anchor = ANCHOR * n.sum()
-    share, odds = 0.5, np.zeros((v.shape[1], 3))
+    prior = np.full((rules + 1, rules), PRIOR_OTHER)
+    prior[0] = PRIOR_FALSE
+    own = np.concatenate([np.zeros((1, rules), bool), np.eye(rules, dtype=bool)])
+    prior[own] = 1 - OWN_MISS
+    # The first shares are those of the bad votes: a kind starts as common as its rule's bad votes are.
+    first = np.concatenate([[n.sum()], ((v == 0) * n[:, None]).sum(axis=0)]) + 1.0
+    model = Model(first / first.sum(), prior.copy())
     for _ in range(rounds):
-        share = float(((good * n).sum() + 1) / (n.sum() + 2))
-        new = np.zeros_like(odds)
-        for vote in range(3):
-            hit = v == vote
-            up = ((good * n)[:, None] * hit).sum(axis=0) + anchor * PRIOR_GOOD[vote]
-            down = (((1 - good) * n)[:, None] * hit).sum(axis=0) + anchor * PRIOR_BAD[vote]
-            new[:, vote] = np.log(up / ((good * n).sum() + anchor)) - np.log(down / (((1 - good) * n).sum() + anchor))
-        # A rule's bad vote never counts for good, nor its good vote for bad; an abstention says nothing.
-        new[:, 0], new[:, 1], new[:, 2] = np.minimum(new[:, 0], 0), np.maximum(new[:, 1], 0), 0
-        score = np.log(share / (1 - share)) + new[np.arange(v.shape[1]), v].sum(axis=1)
-        good = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
-        if np.abs(new - odds).max() < 1e-9:
+        x = model.log_joint(v)
+        x = np.exp(x - x.max(axis=1, keepdims=True))
+        member = n[:, None] * x / x.sum(axis=1, keepdims=True)
+        bad, voted = member.T @ (v == 0) + PRIOR_WEIGHT * prior, member.T @ (v != 2) + PRIOR_WEIGHT
+        rate = np.where(own, prior, np.clip(bad / voted, 1e-6, 1 - 1e-6))
+        share = (member.sum(axis=0) + 1) / (n.sum() + rules + 1)
+        moved = max(np.abs(rate - model.bad).max(), np.abs(share - model.share).max())
+        model = Model(share, rate)
+        if moved < 1e-9:
             break
-        odds = new
-    return share, odds
+    return model
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """One row per row of ``df``: ``id_col``, the base counts, base_failed, kept, good (posterior probability).
 
-    A null text counts as empty, fails the base rule and isn't kept. An empty table gives an empty result.
+    All documents take part in the fit. A null text counts as empty, fails the base rule and isn't kept; repeated rows
+    count singly; a null id stays null. An empty table gives an empty result.
     """
     base = materialize(counted(df, id_col, text_col))
     cast = votes(rules)
     names = [f"vote_{name}" for name, _, _ in rules]
-    patterns = base.where("n_words >= 20").groupBy(*cast).count().collect()  # at most 3 ** rules rows
-    share, odds = fit([tuple(p) for p in patterns]) if patterns else (0.5, np.zeros((len(rules), 3)))
-    total = F.lit(float(np.log(share / (1 - share))))
-    for name, o in zip(names, odds.tolist(), strict=True):
-        total = total + F.when(F.col(name) == 0, o[0]).when(F.col(name) == 1, o[1]).otherwise(0.0)
+    patterns = [tuple(p) for p in base.groupBy(*cast).count().collect()]  # at most 3 ** rules rows
+    model = fit(patterns) if patterns else fit([(*[None] * len(rules), 0)])
+    # One sum of log rates for each class: a column expression over the votes.
+    lines = []
+    for share, rates in zip(model.share.tolist(), model.bad.tolist(), strict=True):
+        line = F.lit(math.log(share))
+        for name, r in zip(names, rates, strict=True):
+            line = line + F.when(F.col(name) == 0, math.log(r)).when(F.col(name) == 1, math.log1p(-r)).otherwise(0.0)
+        lines.append(line)
+    good = 1 / reduce(add, [F.exp(F.least(x - F.col("class_0"), F.lit(700.0))) for x in map(F.col, [f"class_{i}" for i in range(len(lines))])])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = base.select("*", *cast).select("*", failed.alias("base_failed"), (1 / (1 + F.exp(-total))).alias("good"))
+    scored = base.select("*", *cast).select("*", failed.alias("base_failed"), *[x.alias(f"class_{i}") for i, x in enumerate(lines)]).withColumn("good", good)
     kept = ~F.col("base_failed") & (F.col("good") >= KEEP_FROM)
     return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "good", *names)
