@@ -1,9 +1,10 @@
-"""Quality by hierarchical empirical Bayes: a document's own evidence, shrunk towards its path and host.
+"""Quality by hierarchical empirical Bayes: a document's own evidence, and what its path and host are like.
 
 A logistic classifier (fitted on a bounded sample of labelled rows) gives each document a probability. Grouped
 sums of these probabilities over hosts and over paths give rates; a path's rate is shrunk towards its host's
 and a host's towards the corpus's, by prior strengths that the spread between groups itself determines
-(method of moments). A document's score adds its own log-odds and its path's, less the corpus's.
+(method of moments). A document's score adds its own log-odds and its path's, less the corpus's; its own
+probability is taken out of its path's and host's sums first, so that no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -54,25 +55,30 @@ def fit(rows: list[tuple]) -> np.ndarray:
     return w
 
 
-def shrunk(groups: DataFrame, toward: Column, value: str) -> DataFrame:
-    """``groups`` (n, total, ...) with ``value``: the group's mean, shrunk towards ``toward`` by a strength from the data."""
+def strength(groups: DataFrame, toward: Column) -> float:
+    """Prior strength, in documents, of ``groups`` (n, total) whose means scatter about ``toward``.
+
+    Between-group variance is the spread of the means less what sampling alone would give; the strength is the variance
+    within groups over it. Groups that don't differ beyond chance get a strength that leaves them no say.
+    """
     mean = F.col("total") / F.col("n")
-    # Between-group variance = spread of the means less what sampling alone would give; strength = within / between.
     gap, within = (mean - toward) ** 2, toward * (1 - toward)
-    n, spread, inside, sampled = groups.agg(
-        F.count("*"), F.sum(F.col("n") * gap), F.sum(F.col("n") * within), F.sum(within)
-    ).first()
-    total = groups.agg(F.sum("n")).first()[0] or 1
-    between = max(1e-6, ((spread or 0) - (sampled or 0)) / total)
-    strength = min(1e6, max(1.0, (inside or 0) / total / between))
-    return groups.withColumn(value, (F.col("total") + strength * toward) / (F.col("n") + strength))
+    row = groups.agg(F.sum("n"), F.sum(F.col("n") * gap), F.sum(F.col("n") * within), F.sum(within)).first()
+    total, spread, inside, sampled = (float(x or 0) for x in row)
+    between = max(1e-6, (spread - sampled) / max(total, 1.0))
+    return min(1e6, max(1.0, inside / max(total, 1.0) / between))
+
+
+def shrunk(total: Column, n: Column, toward: Column, weight: float) -> Column:
+    return (total + weight * toward) / (n + weight)
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_words, doc_score, host_rate, path_rate, score, kept.
 
-    A path is a ``path_col`` value within a host; nulls form a host or path of their own. A null text counts as
-    empty. An empty table gives an empty result.
+    The rates are those of the other documents of the host and path. A path is a ``path_col`` value within a host; nulls
+    form a host or path of their own. A null text counts as empty; repeated rows count singly; a null id stays null.
+    Without usable labels every doc_score is 0.5. An empty table gives an empty result.
     """
     keyed = docs.select(
         F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")).alias("key"),
@@ -89,12 +95,17 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("doc_score").alias("total")))
     corpus = paths.agg(F.sum("total") / F.sum("n")).first()[0]
     corpus = 0.5 if corpus is None else float(corpus)
-    hosts = shrunk(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), F.lit(corpus), "host_rate")
-    with_host = paths.join(hosts.select("host", "host_rate"), "host")
-    rates = materialize(shrunk(with_host, F.col("host_rate"), "path_rate").select("host", "path", "host_rate", "path_rate"))
-    rates, _ = sized_broadcast(rates, BROADCAST_GROUPS)
-    odds = logit(F.col("doc_score")) + logit(F.col("path_rate")) - logit(F.lit(corpus))
-    out = scored.join(rates, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-odds)))
+    hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total")))
+    for_hosts = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_total").alias("total")), F.lit(corpus))
+    both = paths.join(hosts, "host")
+    for_paths = strength(both, shrunk(F.col("host_total"), F.col("host_n"), F.lit(corpus), for_hosts))
+    sites, _ = sized_broadcast(materialize(both), BROADCAST_GROUPS)
+    own = F.col("doc_score")
+    host_rate = shrunk(F.col("host_total") - own, F.col("host_n") - 1, F.lit(corpus), for_hosts)
+    path_rate = shrunk(F.col("total") - own, F.col("n") - 1, F.col("host_rate"), for_paths)
+    rated = scored.join(sites, ["host", "path"]).withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
+    odds = logit(own) + logit(F.col("path_rate")) - logit(F.lit(corpus))
+    out = rated.withColumn("score", 1 / (1 + F.exp(-odds)))
     return out.select(F.col("id").alias(id_col), "n_words", "doc_score", "host_rate", "path_rate", "score", (F.col("score") >= KEEP_FROM).alias("kept"))
 
 
