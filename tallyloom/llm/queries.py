@@ -46,13 +46,19 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+#: How a page's article begins: what the text of the document that it shows begins with.
+OPENING = r"(?s)<article>.*?<p>(?:<b>)?([^<]*)"
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page takes the label whose doc_id is its page_id; quality 0 marks a URL to block."""
+    """A URL is one to block if the labelled documents that its page's article begins like are all of quality 0."""
     from .url_filter import judged
 
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    label = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("block"))
-    return judged(pages, pages.select("page_id", "url").join(label, "page_id").select("url", "block"))
+    pages, labels, docs = (table(spark, sf_dir, x) for x in ("pages", "labels", "documents"))
+    line = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("opening")
+    known = docs.select("doc_id", line).join(labels.where("quality IS NOT NULL"), "doc_id").groupBy("opening").agg((F.max("quality") == 0).alias("block"))
+    shown = pages.select("url", F.regexp_extract(F.coalesce("html", F.lit("")), OPENING, 1).alias("opening"))
+    return judged(pages, shown.join(known, "opening").select("url", "block"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +83,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+def url_sql() -> str:
+    """op7 in SQL: the policy, and every combination of tokens tried as a rule."""
+    from .url_filter import MAX_TOKENS, MIN_CONFIDENCE, MIN_COUNT, MIN_LIFT, MIN_SUPPORT, POLICY
+
+    fits = [(w, r, *r.split("/", 1)) for w, r in sorted(POLICY, key=lambda x: -len(x[1]))]
+    case = lambda k: " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{(w, r)[k]}'" for w, r, h, p in fits)
+    label = lambda kind: f"lambda x: '{kind}:' || x"
+    more = "".join(
+        f", s{k} AS (SELECT a.nr, a.block, list_append(a.s, b.t) AS s FROM s{k - 1} a JOIN tok b ON a.nr = b.nr AND a.s[{k - 1}] < b.t)" for k in range(2, MAX_TOKENS + 1)
+    )
+    return rf"""WITH known AS (SELECT split_part(coalesce(text, ''), chr(10), 1) AS opening, max(quality) = 0 AS block FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1),
+        cut AS (SELECT page_id, url, html, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '') AS h0, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS nr FROM pages),
+        urls AS (SELECT *, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM cut),
+        spelled AS (SELECT *, list_distinct(list_filter(list_concat(list_transform(string_split(host, '.'), {label("host")}), list_transform(regexp_split_to_array(path, '[/._-]+'), {label("path")}),
+            list_transform(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)=', 1), {label("query")})), lambda x: NOT regexp_matches(x, '^(path|host|query):\d*$'))) AS tokens FROM urls),
+        taught AS (SELECT s.nr, s.tokens, k.block FROM spelled s JOIN known k ON k.opening = regexp_extract(coalesce(s.html, ''), '{OPENING}', 1) WHERE s.url IS NOT NULL),
+        seen AS (SELECT count(*) AS n, coalesce(sum(CAST(block AS INTEGER)), 0) AS bad FROM taught),
+        every AS (SELECT nr, block, unnest(tokens) AS t FROM taught),
+        tok AS (SELECT * FROM every WHERE t IN (SELECT t FROM every GROUP BY t HAVING count(*) >= {MIN_COUNT} AND count(*) < (SELECT n FROM seen))),
+        s1 AS (SELECT nr, block, [t] AS s FROM tok){more},
+        rules AS (SELECT s FROM ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, MAX_TOKENS + 1))}), seen GROUP BY s, n, bad
+            HAVING count(*) >= {MIN_COUNT} AND count(*) FILTER (block) >= greatest({MIN_SUPPORT} * bad, {MIN_COUNT * MIN_CONFIDENCE})
+            AND count(*) FILTER (block) >= {MIN_CONFIDENCE} * count(*) AND count(*) FILTER (block) * n >= {MIN_LIFT} * bad * count(*)),
+        told AS (SELECT *, EXISTS (SELECT 1 FROM rules r WHERE list_has_all(tokens, r.s)) AS mined FROM spelled)
+        SELECT page_id, host, path, CASE {case(1)} END AS rule, coalesce(CASE {case(0)} END, CASE WHEN mined THEN 'block' ELSE 'allow' END) AS verdict, mined FROM told"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_url_filters": url_sql(),
         "op2_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
