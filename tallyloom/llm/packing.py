@@ -1,13 +1,13 @@
 """Cost-balanced packing of documents into training sequences.
 
-Map side: each document becomes token ids plus one separator id, cut into full sequences; the rest is cut
-at the binary sizes ``cuts`` (512 and 256 of 1024), and what remains is one last piece. Each piece carries
-its checksum, so ids never cross a shuffle: what moves is one narrow row a piece.
-
-Group side: pieces are dealt by a hash into groups of about ``GROUP_PIECES``. In a group, pieces go in
-descending length to the sequence with the lowest cost so far (linear plus quadratic attention cost) that
-still has room. As halves and quarters fill evenly and the small pieces come last, the gaps that remain are
-far below one per cent; a piece that fits nowhere opens a further sequence.
+Map side: each document becomes token ids plus one separator id. Full sequences of a longer document stand alone;
+what is left, or the whole of a shorter one, is its body, which goes on with its ids: less than a sequence each.
+
+Group side: bodies are dealt at random into groups of about ``GROUP_BODIES``. A group opens as many sequences as its
+tokens fill. In descending length, each body goes whole to the sequence with the lowest cost so far (linear plus
+quadratic attention cost) among those with room for it; a tree over the room left finds it exactly. Bodies that
+fit nowhere whole come last and are cut to fill the gaps, the widest first. So a group pads one sequence, and only
+documents over ``CAPACITY`` and those that the gaps need are cut.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,15 @@ from .common import materialize
 CAPACITY = 1024
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 1024
-GROUP_PIECES = 20_000
-#: Sequences without room that are passed over before the emptiest one is taken.
-LOOKS = 16
+GROUP_BODIES = 20_000
 #: Entries of a worker's cache of encoded words.
 CACHE = 200_000
 SEPARATOR = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
+BODIES = PIECES + ", sequence_id long, slot long, ids binary"
+#: Sequence ids of full sequences of one document start here; a task's number and a running number follow.
+ALONE = 1 << 62
 
 
 class WordEncoder:
@@ -54,6 +56,7 @@ class WordEncoder:
         self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
         self.full = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.two_bytes = self.full.get_vocab_size() <= 1 << 16
         self.cache: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
@@ -61,9 +64,11 @@ class WordEncoder:
             return bytes(self.plain.encode_to_tiktoken_buffer(text, set()))
         return self.by_library(text)
 
-    def by_library(self, text: str) -> bytes:
-        import numpy as np
+    def narrow(self, ids: bytes) -> bytes:
+        """32-bit ids in two bytes each, where the vocabulary allows it."""
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.two_bytes else ids
 
+    def by_library(self, text: str) -> bytes:
         return np.asarray(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
@@ -92,88 +97,122 @@ class WordEncoder:
         return b"".join(out)
 
 
-def cut(tokens: int, capacity: int = CAPACITY, cuts: tuple[int, ...] = (2, 4)) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of so many tokens."""
-    out = [(s, capacity) for s in range(0, tokens - capacity + 1, capacity)]
-    at = len(out) * capacity
-    for share in cuts:
-        if tokens - at >= capacity // share:
-            out.append((at, capacity // share))
-            at += capacity // share
-    return out + [(at, tokens - at)] * (at < tokens)
-
-
-def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(sequence, offset) of each piece; no piece may be longer than ``capacity``.
-
-    A piece goes to the lowest-cost sequence with room. Few are passed over as a rule; after ``LOOKS`` of them the
-    emptiest sequence is taken, so that a new one is opened only if no open one has room.
-    """
+class Rooms:
+    """Open sequences by the room that they have left; the lowest cost among those with room enough is found in a tree of minima."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, sequences: int, capacity: int):
+        self.capacity = capacity
+        self.size = 1 << (capacity - 1).bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity)]
+        self.tree = [self.NONE] * (2 * self.size)
+        self.room: list[int] = []
+        for _ in range(sequences):
+            self.open()
+
+    def open(self) -> None:
+        self.room.append(self.capacity)
+        self.put((0.0, len(self.room) - 1))
+
+    def put(self, entry: tuple[float, int]) -> None:
+        leaf = self.room[entry[1]] - 1
+        heapq.heappush(self.heaps[leaf], entry)
+        self.mend(leaf)
+
+    def mend(self, leaf: int) -> None:
+        tree, i = self.tree, self.size + leaf
+        heap = self.heaps[leaf]
+        tree[i] = heap[0] if heap else self.NONE
+        while i > 1:
+            i //= 2
+            least = min(tree[2 * i], tree[2 * i + 1])
+            if tree[i] == least:
+                return
+            tree[i] = least
+
+    def cheapest(self, tokens: int) -> int:
+        """The lowest-cost sequence with room for so many tokens, or -1."""
+        tree, i = self.tree, self.size + tokens - 1
+        best = tree[i]
+        while i > 1:
+            if not i & 1 and tree[i + 1] < best:
+                best = tree[i + 1]
+            i //= 2
+        return best[1]
+
+    def widest(self) -> int:
+        """The sequence with the most room (of these the lowest cost), or -1."""
+        tree, i = self.tree, 1
+        while i < self.size:
+            i = 2 * i + (tree[2 * i + 1] is not self.NONE)
+        return tree[i][1]
+
+    def take(self, sequence: int, tokens: int) -> int:
+        """Put so many tokens into a sequence that ``cheapest`` or ``widest`` has named; their offset in it."""
+        room = self.room[sequence]
+        cost, _ = heapq.heappop(self.heaps[room - 1])
+        self.mend(room - 1)
+        self.room[sequence] = room - tokens
+        if room > tokens:
+            self.put((cost + tokens + tokens * tokens / QUADRATIC, sequence))
+        return self.capacity - room
+
+
+def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int, int]]]:
+    """(start, length, sequence, offset) of the pieces of each body; most bodies are one piece."""
     if max(lengths, default=0) > capacity:
-        raise ValueError("a piece is longer than a sequence")
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    place: list[tuple[int, int]] = [(0, 0)] * len(lengths)
-    used: list[int] = []
-    cost: list[float] = []
-    by_cost: list[tuple[float, int]] = []  # entries of an older cost are stale and dropped when met
-    by_use: list[tuple[int, int]] = []
-
-    def opened(n: int) -> None:
-        for s in range(len(used), len(used) + n):
-            used.append(0)
-            cost.append(0.0)
-            heapq.heappush(by_cost, (0.0, s))
-            heapq.heappush(by_use, (0, s))
-
-    opened(sum(lengths) // capacity)
-    for i in order:
-        n, found, passed = lengths[i], -1, []
-        while by_cost and len(passed) < LOOKS:
-            c, s = by_cost[0]
-            if c != cost[s] or used[s] == capacity:
-                heapq.heappop(by_cost)
-            elif used[s] + n <= capacity:
-                found = s
-                break
-            else:
-                passed.append(heapq.heappop(by_cost))
+        raise ValueError("a body is longer than a sequence")
+    rooms = Rooms(sum(lengths) // capacity, capacity)
+    pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in lengths]
+    late = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        found = rooms.cheapest(lengths[i])
         if found < 0:
-            while by_use and by_use[0][0] != used[by_use[0][1]]:
-                heapq.heappop(by_use)
-            if not by_use or by_use[0][0] + n > capacity:
-                opened(1)
-                found = len(used) - 1
-            else:
-                found = by_use[0][1]
-        place[i] = (found, used[found])
-        used[found] += n
-        cost[found] += n + n * n / QUADRATIC
-        heapq.heappush(by_cost, (cost[found], found))
-        heapq.heappush(by_use, (used[found], found))
-        for x in passed:
-            heapq.heappush(by_cost, x)
-    return place
-
-
-def document_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, ranks: str) -> DataFrame:
+            late.append(i)
+        else:
+            pieces[i].append((0, lengths[i], found, rooms.take(found, lengths[i])))
+    for i in late:
+        start = 0
+        while start < lengths[i]:
+            rest = lengths[i] - start
+            found = rooms.cheapest(rest)
+            if found < 0 and (found := rooms.widest()) < 0:
+                rooms.open()
+                found = len(rooms.room) - 1
+            n = min(rest, rooms.room[found])
+            pieces[i].append((start, n, found, rooms.take(found, n)))
+            start += n
+    return pieces
+
+
+def document_bodies(df: DataFrame, id_col: str, text_col: str, vocabulary: str, ranks: str) -> DataFrame:
+    """One row for each full sequence of a document (with its sequence_id) and one for its body (with its ids)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         encode = worker_encoder(vocabulary, ranks)
         tail = SEPARATOR.to_bytes(4, "little")
+        task, number = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids, starts, lengths, sums, totals = [], [], [], [], []
+            rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                data = memoryview(encode(text) + tail)
+                data = encode(text) + tail
                 n = len(data) // 4
-                for start, length in cut(n):
-                    ids.append(doc)
-                    starts.append(start)
-                    lengths.append(length)
-                    sums.append(zlib.crc32(data[4 * start : 4 * (start + length)]))
-                    totals.append(n)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": starts, "length": lengths, "ids_crc32": sums, "doc_tokens": totals})
+                body = n // CAPACITY * CAPACITY
+                for start in range(0, body, CAPACITY):
+                    rows.append((doc, start, CAPACITY, zlib.crc32(data[4 * start : 4 * (start + CAPACITY)]), n, ALONE + (task << 36) + number, None, None))
+                    number += 1
+                if body < n:
+                    ids = data[4 * body :] if body else data
+                    rows.append((doc, body, n - body, zlib.crc32(ids), n, None, (task << 36) + number, encode.narrow(ids)))
+                    number += 1
+            columns = [c.split()[0] for c in BODIES.split(", ")]
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "sequence_id": "Int64", "slot": "Int64"})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, PIECES)
+    return rows.mapInPandas(run, BODIES)
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -190,19 +229,36 @@ def worker_encoder(vocabulary: str, ranks: str) -> WordEncoder:
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null text is empty and gives one piece, the separator. A null id stays null. Rows that repeat an id are
-    packed each on their own. Every id of a document lies in exactly one piece; the pieces of a sequence lie
-    end to end from offset 0.
+    A null text is empty and gives one piece, the separator. A null id stays null. Rows that repeat an id, or an id and
+    a text, are packed each on their own. Every id of a document lies in exactly one piece; the pieces of a sequence lie
+    end to end from offset 0. An empty table gives an empty result; further columns are left out.
     """
-    pieces = materialize(document_pieces(df, id_col, text_col, vocabulary, ranks))
-    groups = max(1, -(-pieces.count() // GROUP_PIECES))
-
-    def group_pack(key, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)
-        placed = pack(b["length"].tolist())
-        b["sequence_id"] = [(int(key[0]) << 32) + s for s, _ in placed]
-        b["offset"] = [o for _, o in placed]
-        return b.drop(columns="bin").astype({"doc_id": "Int64"})
-
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("bin").applyInPandas(group_pack, PACKED)
+    rows = materialize(document_bodies(df, id_col, text_col, vocabulary, ranks))
+    bodies = rows.where("sequence_id IS NULL")
+    groups = max(1, -(-bodies.count() // GROUP_BODIES))
+
+    def group_pack(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["length", "doc_id", "start", "ids_crc32", "slot"], ascending=[False, True, True, True, True]).reset_index(drop=True)
+        lengths, sums, ids = b["length"].tolist(), b["ids_crc32"].tolist(), b["ids"].tolist()
+        at, out = [], []
+        for i, pieces in enumerate(pack(lengths)):
+            for start, n, sequence, offset in pieces:
+                crc = sums[i] if n == lengths[i] else zlib.crc32(wide(ids[i], lengths[i], start, n))
+                at.append(i)
+                out.append((start, n, crc, (int(key[0]) << 32) + sequence, offset))
+        made = b[["doc_id", "start", "doc_tokens"]].iloc[at].reset_index(drop=True)
+        for k, name in enumerate(("start", "length", "ids_crc32", "sequence_id", "offset")):
+            value = [x[k] for x in out]
+            made[name] = made["start"] + value if name == "start" else value
+        return made[[c.split()[0] for c in PACKED.split(", ")]].astype({"doc_id": "Int64"})
+
+    dealt = bodies.drop("sequence_id").withColumn("bin", F.pmod(F.xxhash64("slot"), F.lit(groups)))
+    packed = dealt.groupBy("bin").applyInPandas(group_pack, PACKED)
+    alone = rows.where("sequence_id IS NOT NULL").drop("slot", "ids").withColumn("offset", F.lit(0).cast("long"))
+    return alone.unionByName(packed)
+
+
+def wide(ids: bytes, tokens: int, start: int, n: int) -> bytes:
+    """Little-endian 32-bit form of ``n`` of a body's ids, which are stored in two or four bytes each."""
+    size = len(ids) // tokens
+    return np.frombuffer(ids, f"<u{size}")[start : start + n].astype("<u4").tobytes()

@@ -170,15 +170,6 @@ def test_packing(docs):
         assert at <= 1024
 
 
-def test_packing_fills_sequences():
-    rng = random.Random(6)
-    lengths = [n for _ in range(3000) for _, n in packing.cut(rng.randint(1, 3000))]
-    loads = {}
-    for n, (s, o) in zip(lengths, packing.pack(lengths), strict=True):
-        loads[s] = loads.get(s, 0) + n
-    assert max(loads.values()) <= 1024 and sum(1024 - x for x in loads.values()) < 0.01 * sum(lengths)
-
-
 def test_substring_dedup(docs):
     rows = [(i, t) for i, t in awkward()]
     first = {}
