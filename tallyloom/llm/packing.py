@@ -208,8 +208,10 @@ def document_bodies(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
                     ids = data[4 * body :] if body else data
                     rows.append((doc, body, n - body, zlib.crc32(ids), n, None, (task << 36) + number, encode.narrow(ids)))
                     number += 1
-            columns = [c.split()[0] for c in BODIES.split(", ")]
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "sequence_id": "Int64", "slot": "Int64"})
+            names = [c.split()[0] for c in BODIES.split(", ")]
+            # Columns with nulls are built as nullable longs: floats would round their large numbers.
+            columns = zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True)
+            yield pd.DataFrame({c: pd.array(x, "Int64") if c in ("doc_id", "sequence_id", "slot") else list(x) for c, x in columns})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, BODIES)
