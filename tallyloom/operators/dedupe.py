@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.sources.store import written
 
 #: Keys longer than this are blocked by three segments instead of deletions.
 LONG_KEY = 40
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(names: DataFrame) -> DataFrame:
     return names.withColumn("key", T.dedupe_key(F.col("name"))).where("key <> ''")
 

@@ -83,7 +83,7 @@ def sample_ideas(s, d: str) -> DataFrame:
 
 
 def register(query) -> None:
-    from tallyloom.operators.dedupe import written
+    from tallyloom.sources.store import written
 
     from .cards import build_requests
 

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.failures import failure_scope
-from tallyloom.operators.dedupe import written
 from tallyloom.plans import bindings as B
+from tallyloom.sources.store import fresh_path
 
 
 def folder(spark: SparkSession) -> str:
     """A fresh place in the shared checkpoint folder."""
-    written(spark.range(0))  # sets a local folder where none is named
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
