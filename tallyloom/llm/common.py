@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.store import written as materialize  # noqa: F401
+
 #: Words everywhere in this package: maximal runs of code points outside this set. It is what
 #: ``bytes.split()`` splits UTF-8 on, and Java's ``\s``.
 WORD_GAP = r"[ \t\n\x0B\f\r]+"
@@ -18,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffled join follows).
 

@@ -33,6 +33,8 @@ from .common import held_out
 #: Bounds of the sample of labelled rows, by class.
 MAX_TOXIC = 800
 MAX_CLEAN = 3000
+#: Words of so many characters and more are scored but not learned from: their subsequences are those of half the alphabet.
+LONGEST_LEARNED = 64
 DECAY = 0.7
 SPAN = 6
 LANDMARKS = 320
@@ -83,13 +85,21 @@ def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
     return code, np.flatnonzero(code == MARK)[:-1]
 
 
-def norms(length: int) -> np.ndarray:
-    """Norm of a word of n characters and two marks, for n up to ``length``."""
-    n = np.arange(length + 1) + 2
+def norm(sizes: np.ndarray) -> np.ndarray:
+    """Norm of words of so many characters (and two marks), whatever their length."""
+    n = np.asarray(sizes, np.float64) + 2
     return np.sqrt(np.maximum(sum(DECAY ** (2 * (k + 1)) * np.maximum(n - k, 0) for _, k in SHAPES), 1e-9))
 
 
-NORM = norms(4096)
+#: Norms of short words, looked up; longer ones are computed.
+NORM = norm(np.arange(256))
+
+
+def norms_of(sizes: np.ndarray) -> np.ndarray:
+    out = NORM[np.minimum(sizes, len(NORM) - 1)]
+    if (long := sizes >= len(NORM)).any():
+        out[long] = norm(sizes[long])
+    return out
 
 
 def word_sums(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -127,7 +137,7 @@ class Machine:
             code, starts = encode(text[at:end])
             if len(starts):
                 size = np.diff(np.append(starts, len(code) - 1)) - 1
-                out.append(word_sums(code, self.weight) / NORM[np.minimum(size, len(NORM) - 1)] + self.bias)
+                out.append(word_sums(code, self.weight) / norms_of(size) + self.bias)
             at = end
         return np.concatenate(out) if out else np.empty(0, np.float32)
 
@@ -171,7 +181,7 @@ def subsequences(word: str) -> tuple[np.ndarray, np.ndarray]:
         if m > 0:
             u.append((code[:m] * CLASSES + code[j : j + m]) * CLASSES + code[k:])
             x.append(np.full(m, DECAY ** (k + 1), np.float32))
-    return np.concatenate(u), np.concatenate(x) / np.float32(NORM[min(len(word), len(NORM) - 1)])
+    return np.concatenate(u), np.concatenate(x) / np.float32(norm(len(word)))
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -218,7 +228,7 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 2) -> Machine:
     for bag, t in zip(bags, toxic, strict=True):
         count = in_toxic if t else in_clean
         for w in bag:
-            if len(w) < 64:
+            if len(w) < LONGEST_LEARNED:
                 count[w] = count.get(w, 0) + 1
     empty = Machine(np.zeros(CLASSES**3, np.float32), 0.0, (float(np.log(UNKNOWN / (1 - UNKNOWN))), 0.0, 0.0))
     if not in_toxic or not in_clean:
@@ -299,7 +309,7 @@ def first_witnesses(bags: list[set[str]], toxic: list[bool], in_toxic: dict[str,
     for bag, t in zip(bags, toxic, strict=True):
         found = []
         for w in bag:
-            if len(w) < 64:
+            if len(w) < LONGEST_LEARNED:
                 x = of_word.get(w)
                 if x is None:
                     x = known.get(w)
@@ -386,6 +396,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below THRESHOLD: all of them where the labels lack a class."""
+    """The rows of ``docs`` that score below THRESHOLD, with all their columns: all rows where the labels lack a class.
+
+    A null or empty text has no toxic word and stays, as do rows with a null id; repeated rows stay or go together. An
+    empty table gives an empty result.
+    """
     machine = fit(docs, labels, id_col, text_col)
     return docs.where(score_column(machine, F.col(text_col), docs.sparkSession) < THRESHOLD)

@@ -213,6 +213,17 @@ def test_toxicity_tolerates_hidden_spellings():
     assert 0 <= m.score("") <= 1 and m.score(None) == m.score("")
 
 
+def test_long_words_are_measured_alike():
+    """A word's decision doesn't drift with its length: the norm follows the sum."""
+    weight = np.zeros(toxicity.CLASSES**3, np.float32)
+    code, _ = toxicity.encode("abcabcabc")
+    weight[:] = 0.01
+    m = toxicity.Machine(weight, -1.0, (0.0, 1.0, 0.0))
+    got = [float(m.words("abc" * n)[0]) for n in (1_000, 20_000)]
+    want = [0.01 * sum(toxicity.DECAY ** (k + 1) * (3 * n + 2 - k) for _, k in toxicity.SHAPES) / toxicity.norm(3 * n) - 1 for n in (1_000, 20_000)]
+    assert np.allclose(got, want, rtol=1e-3)
+
+
 def test_toxicity_query(docs, labels, empty):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == len(awkward())
