@@ -33,18 +33,33 @@ def error_kind(message: Column) -> Column:
     return out
 
 
-def failure_scope(status: Column, message: Column) -> Column:
-    """fatal, connectivity or item; null where nothing failed (no message and a status below 400)."""
-    text, code = F.coalesce(message, F.lit("")), F.coalesce(status, F.lit(0))
+# Socket errors that mean that the provider can't be reached.
+SOCKET_CODES = ("ECONNREFUSED", "ECONNRESET", "ENOTFOUND", "EAI_AGAIN", "ETIMEDOUT", "ENETUNREACH", "EHOSTUNREACH", "UND_ERR_SOCKET", "UND_ERR_CONNECT_TIMEOUT")
+
+
+def fatal_kind(status: Column, message: Column, body: Column | None = None) -> Column:
+    """credits, auth or model for a failure that every further request would share; else null."""
+    text = F.concat_ws(" ", message, *([] if body is None else [body]))
+    code = F.coalesce(status, F.lit(0))
     per_period = text.rlike(f"(?i){PER_PERIOD}")
     credits = (code == 402) | (text.rlike(f"(?i){MONEY}") & ~per_period) | (text.rlike("(?i)quota exceeded") & (code != 429) & ~per_period)
     auth = code.isin(401, 403) | text.rlike(f"(?i){AUTH}")
-    model = (code == 404) & text.rlike("(?i)model")
-    unreachable = (code.isin(502, 503, 504) | text.rlike(f"(?i){CONNECTION}")) & ~text.rlike("(?i)timed out")
-    failed = message.isNotNull() | (code >= 400)
-    return F.when(failed, F.when(credits | auth | model, "fatal").when(unreachable, "connectivity").otherwise("item"))
+    return F.when(credits, "credits").when(auth, "auth").when((code == 404) & text.rlike("(?i)model"), "model")
+
+
+def failure_scope(status: Column, message: Column, code: Column | None = None, body: Column | None = None) -> Column:
+    """fatal, connectivity or item; null where nothing failed (no message and a status below 400).
+
+    ``code`` is a socket error's code, ``body`` the text of the provider's answer; a time-out is never an outage.
+    """
+    text, number = F.coalesce(message, F.lit("")), F.coalesce(status, F.lit(0))
+    socket = F.lit(False) if code is None else F.coalesce(code.isin(*SOCKET_CODES), F.lit(False))
+    unreachable = (number.isin(502, 503, 504) | socket | text.rlike(f"(?i){CONNECTION}")) & ~text.rlike("(?i)timed out")
+    failed = message.isNotNull() | (number >= 400) | socket
+    return F.when(failed, F.when(fatal_kind(status, message, body).isNotNull(), "fatal").when(unreachable, "connectivity").otherwise("item"))
 
 
 def worth_retrying(status: Column, message: Column) -> Column:
+    """Whether a failure may well not recur: a time-out, a rate limit, the provider's own trouble, an unreadable answer."""
     code, text = F.coalesce(status, F.lit(0)), F.coalesce(message, F.lit(""))
-    return text.rlike("(?i)timed out|parseable JSON") | (code == 429) | (code >= 500)
+    return text.rlike("(?i)timed out|parseable JSON|did not return") | (code == 429) | (code >= 500)

@@ -62,31 +62,40 @@ def strip_reasoning(c: Column) -> Column:
     return c
 
 
+#: What a name's key is made by, in order.
+KEY_STEPS = (
+    (r"\.(png|json)$", ""),
+    (r"[\[(<{].*?[\])>}]", " "),
+    (r"\b(v|ver|version)\s*\d+(\.\d+)?\b", " "),
+    (rf"\b({EDITION_WORDS})\b", " "),
+    (r"[^a-z0-9]+", " "),
+    (r"\s+\d+\s*$", " "),
+    (r"\s+", ""),
+)
+
+
 def dedupe_key(name: Column) -> Column:
     c = F.lower(F.coalesce(name, F.lit("")))
-    for pattern, new in (
-        (r"\.(png|json)$", ""),
-        (r"[\[(<{].*?[\])>}]", " "),
-        (r"\b(v|ver|version)\s*\d+(\.\d+)?\b", " "),
-        (rf"\b({EDITION_WORDS})\b", " "),
-        (r"[^a-z0-9]+", " "),
-        (r"\s+\d+\s*$", " "),
-        (r"\s+", ""),
-    ):
+    for pattern, new in KEY_STEPS:
         c = F.regexp_replace(c, pattern, new)
     return c
 
 
-def strip_affixes(key: Column, rounds: int = 12) -> Column:
-    """Source tags taken off either end while more than three characters stay; for distinct keys."""
+def strip_affixes(key: Column) -> Column:
+    """Source tags taken off either end while more than three characters stay, until none comes off; for distinct keys.
+
+    Each round but the last takes off two characters at least, so half a key's length of rounds is enough. Keys that neither
+    begin nor end with a tag are left alone.
+    """
 
     def one(out: Column, tag: Column) -> Column:
         n = F.length(tag)
         out = F.when((F.length(out) > n + 3) & F.startswith(out, tag), out.substr(n + 1, F.length(out))).otherwise(out)
         return F.when((F.length(out) > n + 3) & F.endswith(out, tag), out.substr(F.lit(1), F.length(out) - n)).otherwise(out)
 
-    tags = F.flatten(F.array_repeat(F.array(*map(F.lit, NAME_AFFIXES)), rounds))
-    return F.aggregate(tags, key, one)
+    tags = F.flatten(F.array_repeat(F.array(*map(F.lit, NAME_AFFIXES)), F.ceil(F.length(key) / 2).cast("int")))
+    either = "|".join(NAME_AFFIXES)
+    return F.when(key.rlike(f"^({either})|({either})$"), F.aggregate(tags, key, one)).otherwise(key)
 
 
 def normalize_text(c: Column) -> Column:

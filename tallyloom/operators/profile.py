@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.failures import error_kind
@@ -49,13 +49,6 @@ def calibration(gaps: DataFrame) -> DataFrame:
     return one.select("n", half_up(F.col("mean"), 2).alias("mean_gap"), "far", verdict.alias("verdict"), (F.col("far") > 0.2 * F.col("n")).alias("warn"))
 
 
-def rank_pick(df: DataFrame, value: str, order: list, out: str) -> DataFrame:
-    """The element at position floor(n / 2) of the sorted values: the upper middle of an even number."""
-    w = Window.orderBy(*order)
-    ranked = df.select(value, F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select(F.col(value).alias(out))
-
-
 def stale_summary(summary: DataFrame) -> DataFrame:
     return summary.where("stale").groupBy("brief").agg(F.count("*").alias("n"))
 
@@ -64,8 +57,15 @@ def library_inventory(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("library_id").agg(F.count("*").alias("entries"), F.count("score").alias("scored"))
 
 
-def dry_run(work: DataFrame, cards: DataFrame) -> DataFrame:
-    return work.agg(F.count("*").alias("todo"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).crossJoin(cards.agg(F.count("*").alias("files")))
+def dry_run(work: DataFrame, cards: DataFrame, ledger: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row: files, cards to score, how many of them a run would take, their tokens, and of the cards without a full critique how many have a fast score or none."""
+    run = work if limit is None else work.orderBy("id").limit(limit)
+    has = F.col("score").isNotNull()
+    backlog = cards.select("id").join(ledger.select("id", "score", "brief"), "id", "left").agg(
+        F.count("*").alias("files"), F.count_if(has & F.col("brief")).alias("fast_scored"), F.count_if(~has).alias("unscored")
+    )
+    planned = run.agg(F.count("*").alias("running"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return backlog.crossJoin(work.agg(F.count("*").alias("todo"))).crossJoin(planned)
 
 
 def cull_preview(summary: DataFrame) -> DataFrame:

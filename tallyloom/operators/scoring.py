@@ -1,4 +1,4 @@
-"""Scoring a corpus with any batch scorer, and what surrounds it: prompts, retries, idea checks."""
+"""Scoring a corpus with any batch scorer: prompts, one stricter request for what can't be read, a retry pass."""
 
 from __future__ import annotations
 
@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.functions.failures import worth_retrying
 from tallyloom.plans import bindings as B
 
-from .edits import extract_json, parse_scores
+from .replies import extract_json, parse_scores
 
+#: Takes batches of (id, request, strict, attempt) and gives batches of REPLY.
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
-KINDS = ("fix", "combine", "extend")
+REPLY = "id string, content string, finish_reason string, status int, error string"
+CUT_OFF = "The answer was cut off by a response-length limit"
+UNREADABLE = "Model did not return parseable JSON"
 
 
 def prompt_hash(instructions: Column, fallback: str, form: str) -> Column:
@@ -25,74 +29,84 @@ def prompt_hash(instructions: Column, fallback: str, form: str) -> Column:
 
 
 def rubric_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The default: deterministic, without a network. First attempts at every fifth length are unreadable."""
+    """The default: deterministic, without a network. By a request's length it fails once, is always cut off, or is unreadable at first."""
     for b in batches:
         out = []
-        for i, request, strict in zip(b["id"], b["request"], b["strict"], strict=True):
+        for i, request, strict, attempt in zip(b["id"], b["request"], b["strict"], b["attempt"], strict=True):
             n = len(request)
-            scores = {"description": 1 + (n * 7 + 1) % 10, "first_mes": 1 + (n * 7 + 2) % 10}
-            out.append((i, "no idea" if n % 5 == 0 and not strict else json.dumps({"fields": scores})))
-        yield pd.DataFrame(out, columns=["id", "content"])
+            answer = json.dumps({"fields": {"description": 1 + (n * 7 + 1) % 10, "first_mes": 1 + (n * 7 + 2) % 10}})
+            if n % 7 == 0 and attempt == 1:
+                out.append((i, None, None, 500, "HTTP 500"))
+            elif n % 13 == 0:
+                out.append((i, answer[:-2], "length", 200, None))
+            else:
+                out.append((i, "no idea" if n % 5 == 0 and not strict else answer, "stop", 200, None))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLY.split(", ")]).astype({"status": "Int32"})
 
 
-def score_requests(requests: DataFrame, scorer: Scorer, strict: bool, parallel: int | None = None) -> DataFrame:
-    """Replies (id, content); at most ``parallel`` requests are in flight."""
-    rows = requests.select("id", "request", F.lit(strict).alias("strict"))
-    return (rows.repartition(parallel) if parallel else rows).mapInPandas(scorer, "id string, content string")
+def score_requests(requests: DataFrame, scorer: Scorer, strict: bool, attempt: int = 1, parallel: int | None = None) -> DataFrame:
+    """Replies (REPLY); at most ``parallel`` requests are in flight."""
+    rows = requests.select("id", "request", F.lit(strict).alias("strict"), F.lit(attempt).alias("attempt"))
+    return (rows.repartition(parallel) if parallel else rows).mapInPandas(scorer, REPLY)
+
+
+def score_once(asked: DataFrame, scorer: Scorer, attempt: int, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, fields, overall, error, status, asked (1 or 2) of each request: an unreadable reply gets one stricter request.
+
+    A reply that stays unreadable has an error, its own one if it was cut off. ``land`` writes replies before they are
+    read, so that a retried task never asks the scorer again.
+    """
+    first = extract_json(land(score_requests(asked, scorer, False, attempt)))
+    first = land(first)
+    unread = first.where("error IS NULL AND answer IS NULL").select("id")
+    again = land(extract_json(land(score_requests(asked.join(unread, "id", "left_semi"), scorer, True, attempt))))
+    every = first.join(unread, "id", "left_anti").withColumn("asked", F.lit(1)).unionByName(again.withColumn("asked", F.lit(2)))
+    read = parse_scores(every.where("answer IS NOT NULL").select("id", "answer")).select("id", "fields", "overall")
+    failed = F.when(F.col("overall").isNull(), F.when(F.col("finish_reason") == "length", CUT_OFF).otherwise(UNREADABLE))
+    return every.join(read, "id", "left").select("id", "fields", "overall", F.coalesce("error", failed).alias("error"), "status", "asked")
 
 
 def score_corpus(requests: DataFrame, scorer: Scorer = rubric_scorer, land: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
-    """id, description, first_mes, overall, attempts: unreadable replies get one stricter request, others none.
+    """id, fields, overall, error, asked, recovered of each request: after the run, failures that may not recur are tried once more.
 
-    ``land`` writes replies before they are parsed, so that a retried task never asks the scorer again.
+    A second failure stays a failure; ``recovered`` marks scores that only the second pass brought.
     """
     asked = requests.where("request IS NOT NULL")
-    first = land(extract_json(score_requests(asked, scorer, False)))
-    again = land(extract_json(score_requests(asked.join(first.where("answer IS NULL").select("id"), "id", "left_semi"), scorer, True)))
-    return parse_scores(first).withColumn("attempts", F.lit(1)).unionAll(parse_scores(again).withColumn("attempts", F.lit(2)))
-
-
-def validate_ideas(ideas: DataFrame, texts: DataFrame) -> DataFrame:
-    """Ideas (id, ord, kind, target, change, impact, risk, quote) that hold, renumbered, with defaults; quotes that the text lacks are blanked."""
-    from pyspark.sql import Window
-
-    kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("extend"))
-    rows = ideas.withColumn("kind", kind).where((T.strip(F.coalesce("change", F.lit(""))) != "") & F.col("kind").isin(*KINDS) & F.col("target").isin(*B.FIELDS))
-    found = rows.join(texts, "id")
-    quote = F.when((F.length("quote") >= 3) & F.contains(T.normalize_text(F.col("text")), T.normalize_text(F.col("quote"))), F.col("quote")).otherwise("")
-    impact = F.when(F.col("impact").isin("low", "medium", "high"), F.col("impact")).otherwise("medium")
-    risk = F.when(F.lower("risk") == "none", "").otherwise(F.coalesce("risk", F.lit("")))
-    number = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
-    return found.select("id", number.alias("number"), "kind", "target", "change", impact.alias("impact"), risk.alias("risk"), quote.alias("quote"))
-
-
-def default_ideas(ideas: DataFrame) -> DataFrame:
-    return ideas.where(F.col("kind").isin(*KINDS) & (F.col("risk") == "") & (F.col("impact") != "low"))
-
-
-def sample_ideas(s, d: str) -> DataFrame:
-    """Four ideas a document, some without a change, of an unknown kind or with a quote that isn't there."""
-    docs = B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    rows = docs.select("id", "body", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord"))
-    k = (F.col("id") + F.col("ord")) % 4
-    return rows.select(
-        "id", "ord", F.when(k == 0, "fix").when(k == 1, "").when(k == 2, "odd").otherwise("combine").alias("kind"), F.when(k == 3, "nowhere").otherwise("scenario").alias("target"),
-        F.when((F.col("id") % 7 == 0) & (F.col("ord") == 0), " ").otherwise("change it").alias("change"), F.when(k == 0, "low").alias("impact"), F.when(k == 1, "None").alias("risk"),
-        F.when(k == 0, F.substring("body", 1, 12)).otherwise("never said").alias("quote"),
-    )
+    first = land(score_once(asked, scorer, 1, land))
+    transient = F.col("error").isNotNull() & worth_retrying(F.col("status"), F.col("error"))
+    retry = first.where(transient).select("id")
+    second = land(score_once(asked.join(retry, "id", "left_semi"), scorer, 2, land))
+    rows = first.join(retry, "id", "left_anti").withColumn("recovered", F.lit(False))
+    return rows.unionByName(second.withColumn("recovered", F.col("error").isNull())).drop("status")
+
+
+def prompt_trial(sample: DataFrame, trial: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(each card's change, one row of the mean change and its count): scores under a draft prompt less the current ones.
+
+    ``sample``: id, score; ``trial``: id, overall. Cards without either score tell nothing.
+    """
+    rows = sample.where("score IS NOT NULL").join(trial.where("overall IS NOT NULL"), "id")
+    each = rows.select("id", "score", F.col("overall").alias("draft"), T.half_up(F.col("overall") - F.col("score")).alias("change"))
+    return each, each.agg(F.count("*").alias("cards"), T.half_up(F.avg("change")).alias("mean_change"))
 
 
 def register(query) -> None:
+    from tallyloom.plans.registry import request_sql
     from tallyloom.sources.store import written
 
     from .cards import build_requests
 
-    query("score_corpus")(lambda s, d: score_corpus(build_requests(B.cards(s, d)), land=written))
+    d, m = "1 + (n * 7 + 1) % 10", "1 + (n * 7 + 2) % 10"
+    overall = f"floor((0.0::DOUBLE + ({d}) * 0.3::DOUBLE + ({m}) * 0.25::DOUBLE) / (0.0::DOUBLE + 0.3::DOUBLE + 0.25::DOUBLE) * 10 + 0.5) / 10.0"
+    scored = f"""SELECT id, CASE WHEN n % 13 <> 0 THEN {overall} END AS overall, CASE WHEN n % 13 = 0 THEN '{CUT_OFF}' END AS error, CASE WHEN n % 13 = 0 OR n % 5 = 0 THEN 2 ELSE 1 END AS asked, n % 7 = 0 AND n % 13 <> 0 AS recovered
+        FROM (SELECT id, length(request) AS n FROM ({{}}) WHERE request IS NOT NULL)"""
+    query("score_corpus", scored.format(request_sql("full")), "cards")(lambda s, p: score_corpus(build_requests(B.cards(s, p)), land=written).drop("fields"))
+
+    def trial(s, p):
+        fast = score_corpus(build_requests(B.cards(s, p), "fast"), land=written)
+        return prompt_trial(B.ledger(s, p).select("id", "score"), fast)[0]
+
+    query("prompt_trial", f"+ t AS ({scored.format(request_sql('fast'))}) SELECT l.id, l.score, t.overall AS draft, floor((t.overall - l.score) * 10 + 0.5) / 10.0 AS change FROM ledger l JOIN t ON t.id = l.id WHERE l.score IS NOT NULL AND t.overall IS NOT NULL", "cards", "ledger")(trial)
     query("prompt_fingerprint", "SELECT DISTINCT source, substr(sha1(CASE WHEN length(source) = 4 THEN 'default' ELSE source END || chr(10) || chr(10) || 'json'), 1, 10) AS prompt FROM documents")(
-        lambda s, d: B.table(s, d, "documents").select("source").distinct().select("source", prompt_hash(F.when(F.length("source") == 4, " ").otherwise(F.col("source")), "default", "json").alias("prompt"))
-    )
-    texts = lambda s, d: B.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    query("ideas_validated")(lambda s, d: validate_ideas(sample_ideas(s, d), texts(s, d)))
-    query("default_ideas", "SELECT id, count(*) AS n FROM (SELECT doc_id AS id, range AS ord, (doc_id + range) % 4 AS k FROM documents, range(4)) WHERE k = 1 AND NOT (id % 7 = 0 AND ord = 0) GROUP BY 1")(
-        lambda s, d: default_ideas(validate_ideas(sample_ideas(s, d), texts(s, d))).groupBy("id").agg(F.count("*").alias("n"))
+        lambda s, p: B.table(s, p, "documents").select("source").distinct().select("source", prompt_hash(F.when(F.length("source") == 4, " ").otherwise(F.col("source")), "default", "json").alias("prompt"))
     )

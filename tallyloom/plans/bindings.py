@@ -41,10 +41,14 @@ def token_total() -> Column:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    return cards_of(table(spark, sf_dir, "documents"))
+
+
+def cards_of(docs: DataFrame) -> DataFrame:
+    """Lines of a text as fields; the ninth field holds the ninth line and all that follow."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", 9)
     cells = [F.coalesce(F.get(lines, F.lit(k)), F.lit("")).alias(f"f{k + 1}") for k in range(9)]
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name")
-    docs = table(spark, sf_dir, "documents")
     return docs.select(doc_key(F.col("doc_id")).alias("id"), T.library_id(F.col("source")).alias("library_id"), name, "doc_id", *cells)
 
 
@@ -67,6 +71,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=d.cast("int"))).alias("scored_at"),
         F.when(ok & (d % 3 == 0) & ~brief, T.half_up(kept)).alias("fast_score"),
         (d % 7 == 0).alias("fast_stale"),
+        F.when(d % 8 != 0, F.concat(F.lit("p"), (d % 3).cast("string"))).alias("provider"),
     )
 
 
@@ -97,6 +102,7 @@ def request_log_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("log_id"), F.concat(F.lit("doc-"), F.col("user_id").cast("string")).alias("item"),
         F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).alias("took_ms"), status.alias("status"), error.alias("error"),
+        F.when(status == 200, F.when((F.col("event_id") % 50 == 0) & (F.col("user_id") % 3 > 0), "length").otherwise("stop")).alias("finish_reason"),
     )
 
 
@@ -109,17 +115,37 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as scorer replies: a reasoning block, then two field scores; the shape depends on the conversation."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    n = F.length("text")
-    s1, s2, v = (1 + (n * 7 + 1) % 10).cast("string"), (1 + (n * 7 + 2) % 10).cast("string"), F.col("conv_id") % 5
-    body = F.concat(F.lit('{"fields":{"description":'), s1, F.lit(',"first_mes":'), s2, F.lit("}}"))
+    """Assistant turns as scorer replies: whole answers in five wrappings, an overall alone, prose, and an answer that is cut off."""
+    n, v = F.length("text"), F.col("conv_id") % 8
+    s = lambda k: 1 + (n * 7 + k) % 10
+    fields = F.struct(
+        F.struct(s(1).alias("score"), F.col("text").alias("strengths"), F.lit("").alias("weaknesses"), F.lit("more").alias("suggestions")).alias("description"),
+        s(2).cast("string").alias("personality"), (s(3) - 0.5).alias("scenario"), F.struct(F.lit("8/10").alias("score")).alias("first_mes"), F.struct(F.lit("99").alias("score")).alias("mes_example"),
+        F.lit(5).alias("lorebook"),
+    )
+    # Of the improvements three count; one is a number.
+    body = F.to_json(F.struct(fields.alias("fields"), F.lit(2).alias("overall_score"), F.col("text").alias("summary")))
+    body = F.concat(F.lit('{"top_priority_improvements":["a",'), F.to_json(F.struct(F.col("text").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("t")))) - 6), F.lit(',3,"d"],'), body.substr(F.lit(2), F.length(body)))
     content = (
-        F.when(v == 0, F.concat(F.lit("<think>plan {x}</think>\n"), body))
-        .when(v == 1, F.concat(F.lit("plan</think>"), body))
-        .when(v == 2, F.concat(F.lit('{"fields":{"description":{"score":'), s1, F.lit('},"first_mes":{"score":'), s2, F.lit("}}}")))
-        .when(v == 3, F.concat(F.lit('{"fields":{"description":"'), s1, F.lit('","first_mes":"n/a"}}')))
-        .otherwise(F.lit("I can't rate this."))
+        F.when(v == 0, F.concat(F.lit("<think>plan {x} {{user}}</think>\n"), body))
+        .when(v == 1, F.concat(F.lit('plan {"fields":{}}</thinking>'), body))
+        .when(v == 2, F.concat(F.lit("Here:\n```json\n"), body, F.lit('\n```\nnot {"fields":{}}')))
+        .when(v == 3, F.concat(F.lit('I read {{char}} and a stray " too: '), body, F.lit(" I hope {this} helps")))
+        .when(v == 4, F.concat(F.lit('First {"fields":{"description":1}}, rather '), body))
+        .when(v == 5, F.lit('{"fields":{"description":"n/a"},"overall_score":7.26}'))
+        .when(v == 6, F.concat(F.lit("I can't rate this: "), F.col("text")))
+        .otherwise(body.substr(F.lit(1), F.length(body) - 1))
     )
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), content.alias("content"))
+    return turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), content.alias("content"))
+
+
+def thoughtful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns behind reasoning of every kind."""
+    t, v = F.col("text"), F.col("conv_id") % 4
+    content = F.when(v == 0, F.concat(F.lit("<think>"), t, F.lit("</think>\n"), t)).when(v == 1, F.concat(t, F.lit("</reasoning> "), t)).when(v == 2, F.concat(F.lit("<THINKING>a\nb</thinking>"), t, F.lit("<think></think>"))).otherwise(t)
+    return turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), content.alias("content"))

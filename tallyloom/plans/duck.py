@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .bindings import ERRORS
 
-_CELLS = ", ".join(f"coalesce(string_split(coalesce(text,''), chr(10))[{k}], '') AS f{k}" for k in range(1, 10))
+_CELLS = ", ".join(f"coalesce(string_split(coalesce(text,''), chr(10))[{k}], '') AS f{k}" for k in range(1, 9))
+_CELLS += ", coalesce(array_to_string((string_split(coalesce(text,''), chr(10)))[9:], chr(10)), '') AS f9"
 _HASH = "sha256(name || chr(0) || " + " || chr(0) || ".join(f"f{k}" for k in (1, 2, 3, 4, 5, 6, 7, 9)) + ")"
 _TOKENS = "CAST(" + " + ".join(f"ceil(length(f{k})/4.0)" for k in range(1, 10)) + " AS BIGINT)"
 _ERRORS = "[" + ", ".join(f"'{e}'" for e in ERRORS) + "]"
@@ -18,16 +19,16 @@ CTES = {
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS scored_at,
         CASE WHEN toxic <> 1 AND doc_id % 3 = 0 AND quality <> 0
              THEN floor(least(10.0::DOUBLE, greatest(1.0::DOUBLE, raw + ((doc_id % 31) - 15) / 10.0::DOUBLE)) * 10 + 0.5) / 10.0 END AS fast_score,
-        doc_id % 7 = 0 AS fast_stale
+        doc_id % 7 = 0 AS fast_stale, CASE WHEN doc_id % 8 <> 0 THEN 'p' || (doc_id % 3) END AS provider
         FROM (SELECT *, (10 + (doc_id * 37 + n_chars) % 91) / 10.0::DOUBLE AS raw FROM cards JOIN labels USING (doc_id))""",
     "log": """SELECT event_id AS log_id, 'doc-' || user_id AS item, 'p' || (user_id % 3) AS provider, ts, CAST(floor(value * 100) AS BIGINT) AS took_ms,
         CASE WHEN event_type <> 'error' THEN 200 WHEN k = 0 THEN 429 WHEN k = 1 THEN 503 WHEN k = 2 THEN 500 WHEN k = 4 THEN 401 END AS status,
-        CASE WHEN event_type = 'error' THEN CASE k WHEN 0 THEN 'HTTP 429' WHEN 1 THEN 'HTTP 503' WHEN 2 THEN 'HTTP 500' WHEN 4 THEN 'HTTP 401' ELSE 'Request timed out' END END AS error
+        CASE WHEN event_type = 'error' THEN CASE k WHEN 0 THEN 'HTTP 429' WHEN 1 THEN 'HTTP 503' WHEN 2 THEN 'HTTP 500' WHEN 4 THEN 'HTTP 401' ELSE 'Request timed out' END END AS error,
+        CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 50 = 0 AND user_id % 3 > 0 THEN 'length' ELSE 'stop' END END AS finish_reason
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS k FROM events)""",
     "names": r"""SELECT doc_id AS id, w[1] || CASE WHEN len(w) > 1 THEN ' ' || w[2] ELSE '' END AS name, (n_chars % 100) / 10.0::DOUBLE AS score
         FROM (SELECT *, regexp_split_to_array(coalesce(text,''), '[ \n\t\r\x0B\f]+') AS w FROM documents)""",
-    "replies": """SELECT conv_id * 1000 + turn AS id, 1 + (length(text) * 7 + 1) % 10 AS s1, 1 + (length(text) * 7 + 2) % 10 AS s2, conv_id % 5 AS v
-        FROM conversations WHERE role = 'assistant'""",
+    "replies": "SELECT conv_id * 1000 + turn AS id, length(coalesce(text, '')) AS n, conv_id % 8 AS v, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'",
 }
 for _n, _step, _days, _src in (("ledger_b", 2, 3, 1), ("ledger_c", 5, -3, 2)):
     CTES[_n] = f"""SELECT id, CASE WHEN doc_id % 6 = 0 THEN coalesce(score, 5.0) ELSE score END AS score, scored_at + to_days({_days}) AS scored_at, {_src} AS source_ord

@@ -1,151 +1,209 @@
-"""Queries over files, snapshots, requests for ideas, and views."""
+"""Queries over files, payloads, snapshots, copies and orders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text as T
+from tallyloom.functions import sql as user_sql
 from tallyloom.operators import cards as C
-from tallyloom.operators import dedupe, edits
+from tallyloom.operators import ledger as L
+from tallyloom.operators import order
 from tallyloom.sources import files as S
+from tallyloom.sources import payloads as P
+from tallyloom.sources import snapshots as V
 from tallyloom.streaming import jobs
 
 from . import bindings as B
+from .sql_parts import trimmed
 
-FIELD_LIST = ", ".join(f"f{k}" for k in range(1, 10))
 
-
-def png_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Payloads put into images and read again, every tenth image broken: id, same, reason."""
-    raw = S.raw_cards(B.cards(s, d))
+def image_files(s: SparkSession, d: str) -> DataFrame:
+    """Payloads put into images; every tenth image is broken."""
 
     @F.pandas_udf("binary")
     def image(payload):
         return payload.map(lambda p: S.png_of(p.encode()))
 
-    made = raw.withColumn("content", image("payload"))
+    made = S.raw_cards(B.cards(s, d)).withColumn("content", image("payload"))
     broken = F.substring("id", 12, 1) == "0"
-    files = made.select(F.col("id").alias("name"), F.when(broken, F.lit(b"junk")).otherwise(F.col("content")).alias("content"))
-    good, bad = S.ingest_png(files)
-    same = good.join(raw.withColumnRenamed("payload", "was"), "id").select("id", (F.col("payload") == F.col("was")).alias("same"), F.lit(None).cast("string").alias("reason"))
-    return same.unionAll(bad.select("id", F.lit(False).alias("same"), "reason"))
+    return made.select(F.replace("id", F.lit(".json"), F.lit(".png")).alias("name"), F.when(broken, F.lit(b"junk")).otherwise(F.col("content")).alias("content"))
+
+
+def png_cards(s: SparkSession, d: str) -> DataFrame:
+    """Images read into cards, and the quarantined ones with their reason."""
+    good, bad = S.ingest_png(image_files(s, d))
+    cards = P.normalize_cards(good).select("id", "name", *[f"f{k}" for k in range(1, 10)], F.lit(None).cast("string").alias("reason"))
+    return cards.unionByName(bad.select("id", "reason"), allowMissingColumns=True)
+
+
+def json_cards(s: SparkSession, d: str) -> DataFrame:
+    """JSON files read into cards, among images; every seventh file is cut short and every eleventh holds a list."""
+    k = F.col("doc_id")
+    rows = S.raw_cards(B.cards(s, d)).join(B.cards(s, d).select("id", "doc_id"), "id")
+    text = F.when(k % 7 == 0, F.expr("substr(payload, 1, length(payload) - 1)")).when(k % 11 == 0, F.concat(F.lit("["), F.col("payload"), F.lit("]"))).otherwise(F.col("payload"))
+    files = rows.select(F.col("id").alias("name"), text.cast("binary").alias("content")).unionAll(rows.select(F.lit("picture.png").alias("name"), F.lit(b"junk").alias("content")))
+    good, bad = P.ingest_json(files)
+    cards = P.normalize_cards(good).select("id", "spec", "name", "f1", "f9", F.lit(None).cast("string").alias("reason"))
+    return cards.unionByName(bad.select("id", "reason"), allowMissingColumns=True)
+
+
+def card_listing(s: SparkSession, d: str) -> DataFrame:
+    """The card files of each library's folder, among files of other kinds: how their names end. Contents aren't read."""
+    root = f"{jobs.folder(s)}/cards"
+    rows = B.table(s, d, "documents").select(B.doc_key(F.col("doc_id")).alias("id"), "source")
+    rows.write.partitionBy("source").json(root)
+    rows.limit(1).write.partitionBy("source").mode("append").csv(root)
+    files = S.card_files(s, root)
+    return files.select("source", F.regexp_extract(F.lower("name"), r"\.([a-z]+)$", 1).alias("kind")).distinct()
+
+
+def patched(s: SparkSession, d: str) -> DataFrame:
+    """Even cards get a new description, greetings and name, every fourth one a note too."""
+    k = F.col("doc_id")
+    fields = F.create_map(F.lit("description"), F.lit("patched"), F.lit("alternate_greetings"), F.lit("one\n\n---\n\n two \n---\n"))
+    noted = F.map_concat(fields, F.create_map(F.lit("character_note"), F.lit("new note")))
+    patches = B.cards(s, d).where(k % 2 == 0).select("id", F.when(k % 4 == 0, noted).otherwise(fields).alias("fields"), F.when(k % 10 == 0, " ").otherwise(" New name ").alias("name"))
+    return P.field_patch(S.raw_cards(B.cards(s, d)), patches)
+
+
+def patch_report(s: SparkSession, d: str) -> DataFrame:
+    """What patched payloads hold, the unmodelled keys, the flat copy and the note's depth included."""
+    rows = patched(s, d)
+    cards = P.normalize_cards(rows).select("id", "name", "f1", "f2", "f8", "f9", "note_depth", "tags")
+    at = lambda path: F.get_json_object("payload", path)
+    kept = rows.select(
+        "id", "error", at("$.other.number").alias("other"), F.coalesce(at("$.data.character_book.entries[0].content"), F.lit("")).alias("book"), at("$.description").alias("root_description"), at("$.name").alias("root_name"),
+        at("$.data.extensions.depth_prompt.role").alias("role"),
+    )
+    return cards.join(kept, "id").withColumn("tags", F.array_join("tags", ","))
+
+
+def card_file_cycle(s: SparkSession, d: str) -> DataFrame:
+    """Patched payloads written as text files and read again."""
+    root = jobs.folder(s)
+    patched(s, d).select("payload").write.text(f"{root}/cards")
+    read = s.read.text(f"{root}/cards").select(F.xxhash64("value").cast("string").alias("id"), F.col("value").alias("payload"))
+    return P.normalize_cards(read).select("name", "f1", "f2", "f9", F.get_json_object("raw", "$.other.number").alias("other"), "flat")
 
 
 def publish_cycle(s: SparkSession, d: str) -> DataFrame:
+    """Two generations, then one that was written but never entered: the newest entered one is read."""
     root = jobs.folder(s)
     S.publish(B.ledger(s, d).select("id", "score").limit(0), root)
-    S.publish(B.ledger(s, d).select("id", "score"), root)
+    S.publish(B.ledger(s, d).select("id", "score").where("score > 5"), root)
+    B.ledger(s, d).select("id", "score").write.parquet(f"{root}/gen=half-written")
     return S.published(s, root)
 
 
 def snapshots(s: SparkSession, d: str) -> DataFrame:
-    """Twenty snapshots of the ledger: the name carries library, time and reason."""
-    n = s.range(20).select(F.col("id").alias("n"))
+    """Forty snapshots of the ledger: the name carries library, time and reason; later ones hold fewer cards."""
+    n = F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 40)).alias("n")
+    rows = B.ledger(s, d).select("score", n)
     name = F.concat(F.lit("cache-lib"), (F.col("n") % 2).cast("string"), F.lit("--2024-01-"), F.lpad((F.col("n") + 1).cast("string"), 2, "0"), F.lit("--"), F.when(F.col("n") % 3 == 0, "startup").otherwise("before-import"))
-    entries = B.ledger(s, d).select("doc_id", "score")
-    return entries.join(F.broadcast(n.withColumn("snapshot", name)), F.col("doc_id") % 20 >= F.col("n")).select("snapshot", "score")
-
-
-def snapshot_inventory(rows: DataFrame) -> DataFrame:
-    part = F.split("snapshot", "--")
-    return rows.groupBy("snapshot").agg(F.count("*").alias("cards"), F.count("score").alias("scored")).select(
-        "snapshot", part[0].alias("library"), part[1].alias("taken"), part[2].alias("reason"), "cards", "scored"
-    )
-
-
-def expired_snapshots(inventory: DataFrame, keep: int = 6) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("library").orderBy(F.desc("taken"), F.desc("snapshot")))
-    return inventory.withColumn("rank", rank).where(F.col("rank") > keep).select("snapshot")
+    return rows.select(name.alias("snapshot"), "score")
 
 
 _SNAP = """+ snaps AS (SELECT 'cache-lib' || (n % 2) || '--2024-01-' || lpad(CAST(n + 1 AS VARCHAR), 2, '0') || '--' || CASE WHEN n % 3 = 0 THEN 'startup' ELSE 'before-import' END AS snapshot, score
-    FROM ledger JOIN (SELECT range AS n FROM range(20)) ON doc_id % 20 >= n),
+    FROM ledger JOIN (SELECT range AS n FROM range(40)) ON doc_id % 40 >= n),
     inv AS (SELECT snapshot, split_part(snapshot, '--', 1) AS library, split_part(snapshot, '--', 2) AS taken, split_part(snapshot, '--', 3) AS reason, count(*) AS cards, count(score) AS scored FROM snaps GROUP BY 1) """
 
 
-def idea_requests(s: SparkSession, d: str) -> DataFrame:
-    """Requests for ideas: the rating, then a line for each weak part."""
-    rows = C.card_summary(B.cards(s, d).withColumn("tokens", B.token_total()), B.ledger(s, d)).where("score IS NOT NULL")
-    band = C.score_band(F.col("score"), F.col("error"))
-    text = F.concat_ws("\n", F.concat(F.lit("Rated "), F.format_number("score", 1), F.lit(" ("), band, F.lit(")")), F.when(F.col("stale"), "The rating is out of date."), F.concat(F.lit("Name: "), F.col("name")))
-    return rows.select("id", text.alias("request"))
-
-
-def allowed_fields(s: SparkSession, d: str) -> DataFrame:
-    """Fields that an idea may edit: its own, and those that hold its quote; the description only if an idea is about it."""
-    long = C.fields_long(B.cards(s, d), False).select("id", "ord", "field", "text")
-    ideas = B.cards(s, d).where("f2 <> ''").select("id", F.substring("f2", 1, 25).alias("quote"), F.when(F.col("doc_id") % 4 == 0, "description").otherwise("scenario").alias("target"))
-    holds = long.join(ideas, "id").where(F.contains("text", "quote")).select("id", "field")
-    every = holds.unionAll(ideas.select("id", F.col("target").alias("field"))).distinct()
-    about = ideas.where("target = 'description'").select("id").distinct()
-    return every.where("field <> 'description'").unionAll(every.where("field = 'description'").join(about, "id", "left_semi"))
-
-
-def review_summary(s: SparkSession, d: str) -> DataFrame:
-    texts = B.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return edits.place_edits(edits.sample_edits(s, d), texts).groupBy(F.coalesce("reason", F.lit("placed")).alias("reason")).agg(F.count("*").alias("n"))
+def snapshot_cycle(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(the ledger, the inventory) after a snapshot, a rewrite that loses scores, and a restore. An empty ledger is never kept."""
+    root = jobs.folder(s)
+    live = B.ledger(s, d).select("id", "score")
+    S.publish(live, root)
+    first = V.take(S.published(s, root), root, "lib", "2024-01-01", "before-rescore")
+    S.publish(live.where("score > 5"), root)
+    V.take(live.limit(0), root, "lib", "2024-01-02", "startup")
+    after = V.restore(s, root, first, "lib", "2024-01-03")
+    names = [r.snapshot for r in V.listed(s, root).collect()]  # as many as snapshots were taken
+    rows = [s.read.parquet(f"{root}/snapshots/{n}").select(F.lit(n).alias("snapshot"), "score") for n in names]
+    return after, V.inventory(rows[0].unionAll(rows[1]))
 
 
-def prompt_trial(s: SparkSession, d: str) -> DataFrame:
-    """A draft prompt's scores (here the kept fast ones) less the current ones, by card."""
-    return B.ledger(s, d).where("fast_score IS NOT NULL").select("id", T.half_up(F.col("fast_score") - F.col("score")).alias("change"))
+def keepers(s: SparkSession, d: str) -> DataFrame:
+    """Copying all cards to a library that has some of the names, with the same or other content, and some numbered copies."""
+    k = F.col("doc_id")
+    rows = B.cards(s, d).withColumn("hash", B.card_hash())
+    numbered = lambda n: F.replace("id", F.lit(".json"), F.lit(f" ({n}).json"))
+    there = rows.where(k % 3 == 0).select("id", F.when(k % 2 == 0, F.col("hash")).otherwise("other").alias("hash"))
+    there = there.unionAll(rows.where(k % 9 == 0).select(numbered(2).alias("id"), F.lit("other").alias("hash"))).unionAll(rows.where(k % 27 == 0).select(numbered(3).alias("id"), F.lit("other").alias("hash")))
+    has = rows.where(k % 5 == 0).select("id").unionAll(rows.where(k % 6 == 3).select(numbered(2).alias("id")))
+    return L.publish_keepers(rows, there, B.ledger(s, d), has)
 
 
 def sort_modes(s: SparkSession, d: str) -> DataFrame:
-    """Each card's place in four orders; places are numbered, so the sorts run as windows."""
-    rows = C.card_summary(B.cards(s, d).withColumn("tokens", B.token_total()), B.ledger(s, d))
-    score = F.coalesce("score", F.lit(-1.0))
-    place = lambda *order: F.row_number().over(Window.partitionBy("library_id").orderBy(*order, "id")).cast("long")
-    return rows.select("id", place(score).alias("score_asc"), place(score.desc()).alias("score_desc"), place("tokens").alias("tokens_asc"), place(F.desc("tokens")).alias("tokens_desc"))
-
+    """Each card's place in every order."""
+    rows = C.card_summary(B.cards(s, d).withColumn("tokens", B.token_total()), B.ledger(s, d)).select("id", "name", "score", "tokens")
+    out = rows
+    for mode in ("score_asc", "score_desc", "tokens_asc", "tokens_desc", "name"):
+        out = order.placed(out, order.order_of(mode), f"by_{mode}")
+    return out.drop("name", "score", "tokens")
 
-def trash_restore(s: SparkSession, d: str) -> DataFrame:
-    """Culled cards back under the name they had before the deletion time was put in front."""
-    trash = B.ledger(s, d).where("score < 3").select(F.concat(F.lit("1704067200000-"), F.col("id")).alias("trash_name"))
-    return trash.select("trash_name", F.regexp_replace("trash_name", r"^\d+-", "").alias("id"))
 
-
-def keepers(s: SparkSession, d: str) -> DataFrame:
-    """Copying cards to a library that has some of the names: skip equal content, suffix other content, else copy."""
-    rows = B.cards(s, d).withColumn("hash", B.card_hash())
-    there = rows.where("doc_id % 3 = 0").select("name", F.when(F.col("doc_id") % 2 == 0, F.col("hash")).otherwise("other").alias("t_hash"))
-    taken = rows.where("doc_id % 9 = 0").select(F.concat("name", F.lit(" (2)")).alias("used"))
-    joined = rows.join(there, "name", "left")
-    free = joined.withColumns({"try2": F.concat("name", F.lit(" (2)")), "try3": F.concat("name", F.lit(" (3)"))}).join(taken, F.col("try2") == F.col("used"), "left")
-    target = F.when(F.col("t_hash").isNull(), F.col("name")).when(F.col("t_hash") == F.col("hash"), None).when(F.col("used").isNull(), F.col("try2")).otherwise(F.col("try3"))
-    return free.select("id", target.alias("copied_to"))
+def sql_functions(s: SparkSession, d: str) -> DataFrame:
+    """The functions as SQL calls them."""
+    user_sql.register(s)
+    B.ledger(s, d).createOrReplaceTempView("tallyloom_ledger")
+    return s.sql("""SELECT id, error_kind(error) AS kind, dedupe_key(concat(name, ' (old) v2 Copy')) AS key, token_estimate(name) AS tokens, array_join(detail_terms(concat('Mira, 3 feet tall; ', name)), '|') AS terms,
+        weighted_overall(map('description', CAST(1 + doc_id % 10 AS INT), 'first_mes', CAST(1 + doc_id % 9 AS INT))) AS overall FROM tallyloom_ledger""")
 
 
 def register(query) -> None:
-    names = ", ".join(f"f{k} AS f{k}" for k in range(1, 10))
-    query("normalize_cards", f"SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'v1' ELSE 'chara_card_v3' END AS spec, name, {names} FROM cards", "cards")(lambda s, d: S.normalize_cards(S.raw_cards(B.cards(s, d))))
-    query("ingest_png_roundtrip")(png_round_trip)
-    query("greetings_roundtrip", "SELECT id, trim(f1) <> '' OR trim(f2) <> '' AS same FROM cards WHERE trim(f1) <> '' AND trim(f2) <> ''", "cards")(
-        lambda s, d: B.cards(s, d).where("trim(f1) <> '' AND trim(f2) <> ''").select("id", (S.greetings_split(S.greetings_join(F.array("f1", "f2"))) == F.array(T.strip(F.col("f1")), T.strip(F.col("f2")))).alias("same"))
+    from .registry import KIND
+
+    sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    greetings = f"coalesce(array_to_string(list_filter(string_split(f9, chr(10)), lambda x: x <> ''), {sep}), '')"
+    spec = "CASE WHEN doc_id % 3 = 0 THEN 'chara_card_v1' ELSE 'chara_card_v3' END"
+    note = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE f8 END"
+    lines = ", ".join(f"f{k}" for k in range(1, 8))
+    depth = "CASE WHEN doc_id % 3 = 0 THEN 4 ELSE CAST(doc_id % 5 AS INTEGER) END"
+    query("normalize_cards", f"SELECT id, {spec} AS spec, name, 'someone' AS creator, library_id || ',tag' AS tags, {lines}, {note} AS f8, {greetings} AS f9, doc_id % 3 = 0 AS flat, {depth} AS note_depth FROM cards", "cards")(
+        lambda s, d: P.normalize_cards(S.raw_cards(B.cards(s, d))).drop("raw").withColumn("tags", F.array_join("tags", ","))
     )
-    query("ledger_explode", "SELECT library_id, id, name, score, error FROM ledger", "ledger")(lambda s, d: S.read_ledger(S.ledger_files(B.ledger(s, d))))
+    broken = "substr(id, 12, 1) = '0'"
+    cell = lambda c, name: f"CASE WHEN NOT {broken} THEN {c} END AS {name}"
+    cells = ", ".join([cell(f"f{k}", f"f{k}") for k in range(1, 8)] + [cell(note, "f8"), cell(greetings, "f9")])
+    query("ingest_png_roundtrip", f"SELECT replace(id, '.json', '.png') AS id, {cell('name', 'name')}, {cells}, CASE WHEN {broken} THEN 'not a PNG file' END AS reason FROM cards", "cards")(png_cards)
+    bad = "doc_id % 7 = 0 OR doc_id % 11 = 0"
+    query("ingest_json", f"SELECT id, CASE WHEN NOT ({bad}) THEN {spec} END AS spec, CASE WHEN NOT ({bad}) THEN name END AS name, CASE WHEN NOT ({bad}) THEN f1 END AS f1, CASE WHEN NOT ({bad}) THEN {greetings} END AS f9, CASE WHEN doc_id % 7 = 0 THEN 'not valid JSON' WHEN doc_id % 11 = 0 THEN 'no usable card object' END AS reason FROM cards", "cards")(json_cards)
+    query("src_card_files", "SELECT DISTINCT source, 'json' AS kind FROM documents")(card_listing)
+    split = f"list_filter(list_transform(regexp_split_to_array(array_to_string(list_filter(u, lambda x: x <> ''), {sep}), '\\n*---\\n*'), lambda x: {trimmed('x')}), lambda x: x <> '')"
+    query("greetings_roundtrip", f"SELECT id, array_to_string({split}, '|') AS parts FROM (SELECT id, [f1, f2, '', f3] AS u FROM cards)", "cards")(
+        lambda s, d: B.cards(s, d).select("id", F.array_join(P.greetings_split(P.greetings_join(F.array("f1", "f2", F.lit(""), "f3"))), "|").alias("parts"))
+    )
+    query("ledger_explode", "SELECT library_id, id, name, score, error FROM ledger", "ledger")(lambda s, d: S.read_ledger(S.ledger_files(B.ledger(s, d), 50)))
     query("import_shapes", "SELECT (doc_id % 4) || '-' || (doc_id // 200) AS source, id, CASE WHEN doc_id % 4 <> 3 THEN name END AS name, score FROM ledger WHERE score IS NOT NULL", "ledger")(
         lambda s, d: S.read_scores(S.score_files(B.ledger(s, d).where("score IS NOT NULL"))).drop("row_ord")
     )
-    query("ledger_publish", "SELECT id, score FROM ledger", "ledger")(publish_cycle)
+    query("import_unusable", "SELECT id AS source, 'no scores found; keys seen: ' || CASE WHEN doc_id % 2 = 0 THEN 'a, b' ELSE 'none' END AS reason FROM cards WHERE doc_id % 3 > 0", "cards")(
+        lambda s, d: S.unusable_scores(B.cards(s, d).select(F.col("id").alias("source"), F.when(F.col("doc_id") % 3 == 0, '{"x.png":7}').when(F.col("doc_id") % 2 == 0, '{"b":[],"a":"x"}').otherwise("[]").alias("content")))
+    )
+    query("ledger_publish", "SELECT id, score FROM ledger WHERE score > 5", "ledger")(publish_cycle)
     query("export_scores", "SELECT id, name, score AS \"overallScore\", tokens AS \"tokenEstimate\" FROM ledger WHERE score IS NOT NULL", "ledger")(lambda s, d: S.export_scores(B.ledger(s, d)))
-    query("field_patch")(lambda s, d: S.field_patch(S.raw_cards(B.cards(s, d)), B.cards(s, d).where("doc_id % 2 = 0").select("id", F.lit("patched").alias("description"))).select("id", F.to_json("fields").alias("fields"), F.to_json("outer").alias("outer")))
-    query("snapshot_inventory", _SNAP + "SELECT * FROM inv", "ledger")(lambda s, d: snapshot_inventory(snapshots(s, d)))
-    query("snapshot_retention", _SNAP + "SELECT snapshot FROM inv QUALIFY row_number() OVER (PARTITION BY library ORDER BY taken DESC, snapshot DESC) > 6", "ledger")(lambda s, d: expired_snapshots(snapshot_inventory(snapshots(s, d))))
-    query("idea_requests")(idea_requests)
-    query(
-        "allowed_fields",
-        "+ long AS (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, f{k} AS text FROM cards WHERE trim(f{k}) <> ''" for k, f in enumerate(B.FIELDS, 1)) + """), ideas AS (SELECT id, substr(f2, 1, 25) AS quote, CASE WHEN doc_id % 4 = 0 THEN 'description' ELSE 'scenario' END AS target FROM cards WHERE f2 <> ''),
-        every AS (SELECT l.id, l.field FROM long l JOIN ideas i ON l.id = i.id WHERE contains(l.text, i.quote) UNION SELECT id, target FROM ideas)
-        SELECT * FROM every WHERE field <> 'description' OR id IN (SELECT id FROM ideas WHERE target = 'description')""",
-        "cards",
-    )(allowed_fields)
-    query("review_summary")(review_summary)
-    query("prompt_trial", "SELECT id, floor((fast_score - score) * 10 + 0.5) / 10.0 AS change FROM ledger WHERE fast_score IS NOT NULL", "ledger")(prompt_trial)
+    flat, fails = "doc_id % 3 = 0", "(doc_id % 3 = 0 AND doc_id % 4 = 0)"
+    new = lambda then, other: f"CASE WHEN {fails} THEN {other} ELSE {then} END"
+    renamed = f"CASE WHEN {fails} OR doc_id % 10 = 0 THEN name ELSE 'New name' END"
+    two = f"'one' || {sep} || 'two'"
+    query("field_patch", f"""SELECT id, {renamed} AS name, {new("'patched'", 'f1')} AS f1, f2, CASE WHEN {flat} THEN '' WHEN doc_id % 4 = 0 THEN 'new note' ELSE f8 END AS f8, {new(two, greetings)} AS f9, {depth} AS note_depth, library_id || ',tag' AS tags,
+        CASE WHEN {fails} THEN 'a flat card has no character note' END AS error, CAST(doc_id AS VARCHAR) AS other, CASE WHEN {flat} THEN '' ELSE f1 END AS book, {new("'patched'", 'f1')} AS root_description, {renamed} AS root_name, CASE WHEN NOT {flat} THEN 'user' END AS role
+        FROM cards WHERE doc_id % 2 = 0""", "cards")(patch_report)
+    query("card_json_export", f"SELECT {renamed} AS name, {new(chr(39) + 'patched' + chr(39), 'f1')} AS f1, f2, {new(two, greetings)} AS f9, CAST(doc_id AS VARCHAR) AS other, {flat} AS flat FROM cards WHERE doc_id % 2 = 0", "cards")(card_file_cycle)
+    query("snapshot_inventory", _SNAP + "SELECT * FROM inv", "ledger")(lambda s, d: V.inventory(snapshots(s, d)))
+    query("snapshot_retention", _SNAP + f"SELECT snapshot FROM inv QUALIFY row_number() OVER (PARTITION BY library ORDER BY taken DESC, snapshot DESC) > {V.KEEP}", "ledger")(lambda s, d: V.expired(V.inventory(snapshots(s, d))))
+    query("snapshot_cycle", "SELECT id, score FROM ledger", "ledger")(lambda s, d: snapshot_cycle(s, d)[0])
+    kept = "SELECT 'cache-lib--{}--{}' AS snapshot, 'cache-lib' AS library, '{}' AS taken, '{}' AS reason, count(*) AS cards, count(score) AS scored FROM ledger"
+    made = lambda stamp, reason: kept.format(stamp, reason, stamp, reason)
+    query("snapshot_log", made("2024-01-01", "before-rescore") + " UNION ALL " + made("2024-01-03", "before-restore") + " WHERE score > 5", "ledger")(lambda s, d: snapshot_cycle(s, d)[1])
+    state = "CASE WHEN doc_id % 3 <> 0 THEN 'copied' WHEN doc_id % 2 = 0 THEN 'skipped' ELSE 'renamed' END"
+    number = "CASE WHEN doc_id % 27 = 0 THEN 4 WHEN doc_id % 9 = 0 THEN 3 ELSE 2 END"
+    query("publish_keepers", f"""SELECT id, CASE state WHEN 'copied' THEN id WHEN 'renamed' THEN replace(id, '.json', ' (' || n || ').json') END AS copied_to, state AS action,
+        known AND NOT CASE WHEN state = 'renamed' THEN n = 2 AND doc_id % 6 = 3 ELSE doc_id % 5 = 0 END AS score_travels FROM (SELECT *, {state} AS state, {number} AS n, id IN (SELECT id FROM ledger) AS known FROM cards)""", "cards", "ledger")(keepers)
     tokens = "CAST(" + " + ".join(f"ceil(length(c.f{k})/4.0)" for k in range(1, 10)) + " AS BIGINT)"
-    place = lambda order: f"row_number() OVER (PARTITION BY library_id ORDER BY {order}, id)"
-    query("sort_modes", f"SELECT id, {place('s')} AS score_asc, {place('s DESC')} AS score_desc, {place('t')} AS tokens_asc, {place('t DESC')} AS tokens_desc FROM (SELECT c.id, c.library_id, coalesce(l.score, -1) AS s, {tokens} AS t FROM cards c LEFT JOIN ledger l ON c.id = l.id)", "cards", "ledger")(sort_modes)
-    query("trash_restore", "SELECT '1704067200000-' || id AS trash_name, id FROM ledger WHERE score < 3", "ledger")(trash_restore)
-    query("publish_keepers", "SELECT id, CASE WHEN doc_id % 3 <> 0 THEN name WHEN doc_id % 2 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN name || ' (3)' ELSE name || ' (2)' END AS copied_to FROM cards", "cards")(keepers)
-    query("duplicates_view")(lambda s, d: dedupe.duplicate_groups(B.names(s, d)).withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.coalesce("score", F.lit(-1.0)).desc(), "id"))).select("root", "id", "place"))
+    place = lambda by: f"row_number() OVER (ORDER BY {by}, id)"
+    query("sort_modes", f"SELECT id, {place('s')} AS by_score_asc, {place('s DESC')} AS by_score_desc, {place('t')} AS by_tokens_asc, {place('t DESC')} AS by_tokens_desc, {place('name')} AS by_name FROM (SELECT c.id, c.name, coalesce(l.score, -1) AS s, {tokens} AS t FROM cards c LEFT JOIN ledger l ON c.id = l.id)", "cards", "ledger")(sort_modes)
+    d, m = "(1 + doc_id % 10)", "(1 + doc_id % 9)"
+    query("sql_functions", f"""SELECT id, {KIND} AS kind, 'doc' AS key, CAST(ceil(length(name) / 4.0) AS BIGINT) AS tokens, array_to_string(list_sort(list_distinct(['3 feet', CAST(doc_id AS VARCHAR), 'mira', 'feet', 'tall'])), '|') AS terms,
+        floor((0.0::DOUBLE + {d} * 0.3::DOUBLE + {m} * 0.25::DOUBLE) / (0.0::DOUBLE + 0.3::DOUBLE + 0.25::DOUBLE) * 10 + 0.5) / 10.0 AS overall FROM ledger""", "ledger")(sql_functions)

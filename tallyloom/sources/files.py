@@ -10,12 +10,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text as T
 from tallyloom.plans.bindings import FIELDS
 
+from .payloads import PLAIN
+
 LEDGER_FILE = "struct<version:int,cards:map<string,struct<name:string,score:double,error:string>>>"
 
 
@@ -42,17 +44,15 @@ def png_payload(data: bytes) -> str:
                 continue
         if kind == b"IEND":
             break
-    for key in ("ccv3", "chara"):
-        if key in found:
-            for read in (lambda b: base64.b64decode(b, validate=True).decode(), lambda b: b.decode()):
-                try:
-                    text = read(found[key])
-                    json.loads(text)
+    for key in ("ccv3", "chara"):  # the newer keyword first; one that can't be read gives way to the other
+        for read in (lambda b: base64.b64decode(b, validate=True).decode(), lambda b: b.decode()):
+            try:
+                text = read(found[key])
+                if isinstance(json.loads(text), dict):
                     return text
-                except ValueError:
-                    continue
-            raise ValueError("the card data can't be read")
-    raise ValueError("no card data in the image")
+            except (KeyError, ValueError):
+                continue
+    raise ValueError("the card data can't be read" if found.keys() & {"ccv3", "chara"} else "no card data in the image")
 
 
 def ingest_png(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,41 +80,19 @@ def png_of(payload: bytes) -> bytes:
 
 
 def raw_cards(cards: DataFrame) -> DataFrame:
-    """id and a JSON payload of each card: nested under ``data``, every third one flat."""
-    inner = F.struct(F.col("name"), *[F.col(f"f{k}").alias(f) for k, f in enumerate(FIELDS, 1)])
-    nested = F.to_json(F.struct(F.lit("chara_card_v3").alias("spec"), inner.alias("data"), F.lit("kept").alias("other")))
-    return cards.select("id", F.when(F.col("doc_id") % 3 == 0, F.to_json(inner)).otherwise(nested).alias("payload"))
-
+    """id and a JSON payload of each card, with arrays, a depth prompt and keys that the engine doesn't model.
 
-def normalize_cards(raw: DataFrame) -> DataFrame:
-    """id, spec, name and the nine fields of payloads (id, payload), nested or flat; what is absent or no text is empty.
-
-    A payload that is no JSON object has a null spec.
+    Every third one is flat, without a note; of the nested ones every second has a flat copy at the root.
     """
-    v = F.try_parse_json("payload")
-    rows = raw.select("id", v.alias("v")).withColumn("nested", F.try_variant_get("v", "$.data", "variant").isNotNull())
-    get = lambda key: F.coalesce(F.when(F.col("nested"), F.try_variant_get("v", f"$.data.{key}", "string")).otherwise(F.try_variant_get("v", f"$.{key}", "string")), F.lit(""))
-    spec = F.coalesce(F.try_variant_get("v", "$.spec", "string"), F.when(F.col("nested"), "chara_card_v2").otherwise("v1"))
-    name = F.coalesce(F.nullif(get("name"), F.lit("")), F.nullif(F.try_variant_get("v", "$.name", "string"), F.lit("")), F.lit("(unnamed)"))
-    return rows.select("id", F.when(F.col("v").isNotNull(), spec).alias("spec"), name.alias("name"), *[get(f).alias(f"f{k}") for k, f in enumerate(FIELDS, 1)])
-
-
-def field_patch(raw: DataFrame, patches: DataFrame) -> DataFrame:
-    """Payloads with the patched description (id, description) in place; every other key stays as it was."""
-    rows = raw.join(patches, "id")
-    whole = "map<string,string>"
-    patched = lambda c: F.map_concat(F.map_filter(F.from_json(c, whole), lambda k, _: k != "description"), F.create_map(F.lit("description"), F.col("description")))
-    nested = F.get_json_object("payload", "$.data")
-    outer = F.map_filter(F.from_json("payload", whole), lambda k, _: k != "data")
-    return rows.select("id", F.when(nested.isNull(), patched(F.col("payload"))).otherwise(patched(nested)).alias("fields"), F.when(nested.isNotNull(), outer).alias("outer"))
-
-
-def greetings_join(parts: Column) -> Column:
-    return F.array_join(F.filter(parts, lambda x: T.strip(x) != ""), "\n\n---\n\n")
-
-
-def greetings_split(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n*---\n*"), T.strip), lambda x: x != "")
+    plain = [F.col(f"f{k}").alias(f) for k, f in enumerate(FIELDS, 1) if f in PLAIN]
+    shared = [F.col("name"), F.lit("someone").alias("creator"), *plain, F.split("f9", "\n").alias("alternate_greetings"), F.array("library_id", F.lit("tag")).alias("tags")]
+    note = F.struct(F.struct((F.col("doc_id") % 5).alias("depth"), F.col("f8").alias("prompt"), F.lit("user").alias("role")).alias("depth_prompt"), F.lit(0.5).alias("talkativeness"))
+    book = F.struct(F.lit("book").alias("name"), F.array(F.struct(F.array(F.lit("key")).alias("keys"), F.col("f1").alias("content"))).alias("entries"))
+    data = F.struct(*shared, note.alias("extensions"), book.alias("character_book"), F.lit("noted").alias("creator_notes")).alias("data")
+    spec, other = F.lit("chara_card_v3").alias("spec"), F.struct(F.lit("kept").alias("by"), F.col("doc_id").alias("number")).alias("other")
+    nested, copied = F.to_json(F.struct(spec, data, other)), F.to_json(F.struct(spec, data, *shared, other))
+    flat = F.to_json(F.struct(*shared, other))
+    return cards.select("id", F.when(F.col("doc_id") % 3 == 0, flat).when(F.col("doc_id") % 2 == 0, copied).otherwise(nested).alias("payload"))
 
 
 def read_ledger(files: DataFrame) -> DataFrame:
@@ -123,17 +101,19 @@ def read_ledger(files: DataFrame) -> DataFrame:
     return files.select("library_id", F.explode(cards).alias("id", "e")).select("library_id", "id", "e.*")
 
 
-def ledger_files(ledger: DataFrame) -> DataFrame:
-    """One JSON file content for each library."""
-    entries = F.map_from_entries(F.collect_list(F.struct("id", F.struct("name", "score", "error"))))
-    return ledger.groupBy("library_id").agg(F.to_json(F.struct(F.lit(1).alias("version"), entries.alias("cards"))).alias("content"))
+def ledger_files(ledger: DataFrame, entries: int = 5_000) -> DataFrame:
+    """JSON file contents (library_id, content) of about ``entries`` entries each: several a library, by a hash of the card."""
+    sizes = ledger.groupBy("library_id").agg(F.ceil(F.count("*") / entries).alias("files"))
+    dealt = ledger.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, "library_id").withColumn("file", F.pmod(F.xxhash64("id"), "files"))
+    rows = F.map_from_entries(F.collect_list(F.struct("id", F.struct("name", "score", "error"))))
+    return dealt.groupBy("library_id", "file").agg(F.to_json(F.struct(F.lit(1).alias("version"), rows.alias("cards"))).alias("content")).drop("file")
 
 
 def read_scores(files: DataFrame) -> DataFrame:
     """source, row_ord, id, name, score of score files (source, content) in any of their four shapes.
 
     A bare array, an array under ``scores`` or ``cards``, or a map from file to a number or an object; a score is
-    called overallScore, overall_score or score.
+    called overallScore, overall_score or score. Files that hold none are listed by ``unusable_scores``.
     """
     v = F.try_parse_json("content")
     listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.scores", "array<variant>"), F.try_variant_get(v, "$.cards", "array<variant>"))
@@ -142,10 +122,18 @@ def read_scores(files: DataFrame) -> DataFrame:
     a = rows.select("source", F.posexplode("listed").alias("row_ord", "c")).select(
         "source", "row_ord", F.try_variant_get("c", "$.id", "string").alias("id"), F.try_variant_get("c", "$.name", "string").alias("name"), score(F.col("c")).alias("score")
     )
-    b = rows.select("source", F.posexplode("mapped").alias("row_ord", "id", "c")).select("source", "row_ord", "id", F.lit(None).cast("string").alias("name"), score(F.col("c")).alias("score"))
+    b = rows.select("source", F.posexplode("mapped").alias("row_ord", "id", "c")).select("source", "row_ord", "id", F.lit(None).cast("string").alias("name"), score(F.col("c")).alias("score")).where("score IS NOT NULL")
     return a.unionAll(b)
 
 
+def unusable_scores(files: DataFrame) -> DataFrame:
+    """source and reason of the score files (source, content) without a single row: the reason names the keys seen."""
+    some = read_scores(files).select("source").distinct()
+    keys = F.map_keys(F.try_variant_get(F.try_parse_json("content"), "$", "map<string,variant>"))
+    seen = F.when(F.size(keys) > 0, F.array_join(F.slice(F.array_sort(keys), 1, 10), ", ")).otherwise("none")
+    return files.join(some, "source", "left_anti").select("source", F.concat(F.lit("no scores found; keys seen: "), F.coalesce(seen, F.lit("none"))).alias("reason"))
+
+
 def score_files(cards: DataFrame) -> DataFrame:
     """Score files of all four shapes over ``cards`` (doc_id, id, name, score), one for each fiftieth card and shape."""
     shape = F.col("doc_id") % 4
@@ -157,20 +145,39 @@ def score_files(cards: DataFrame) -> DataFrame:
     return g.select(F.concat_ws("-", F.col("shape").cast("string"), F.col("part").cast("string")).alias("source"), content.alias("content"))
 
 
-def publish(df: DataFrame, root: str) -> str:
+def publish(df: DataFrame, root: str, generation: str | None = None) -> str:
     """Write a generation beside the others; readers follow the manifest, which is written last."""
-    path = f"{root.rstrip('/')}/gen={uuid.uuid4().hex}"
-    df.write.parquet(path)
-    stamp = df.sparkSession.range(1).select(F.lit(path).alias("path"), F.current_timestamp().alias("at"))
+    name = generation or uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/gen={name}"
+    df.write.mode("overwrite").parquet(path)
+    stamp = df.sparkSession.range(1).select(F.lit(path).alias("path"), F.lit(name).alias("generation"), F.current_timestamp().alias("at"))
     stamp.write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
     return path
 
 
+def manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """path, generation, at of the generations; None before the first."""
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/manifest")
+    except AnalysisException:
+        return None
+
+
 def published(spark: SparkSession, root: str) -> DataFrame:
     """The newest whole generation."""
     newest = spark.read.parquet(f"{root.rstrip('/')}/manifest").agg(F.max_by("path", "at")).first()[0]
     return spark.read.parquet(newest)
 
 
+def published_or(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The newest whole generation, or an empty table before the first."""
+    return spark.createDataFrame([], schema) if manifest(spark, root) is None else published(spark, root)
+
+
+def has_generation(spark: SparkSession, root: str, generation: str) -> bool:
+    rows = manifest(spark, root)
+    return rows is not None and not rows.where(F.col("generation") == generation).isEmpty()
+
+
 def export_scores(ledger: DataFrame) -> DataFrame:
     return ledger.where("score IS NOT NULL").select("id", "name", F.col("score").alias("overallScore"), F.col("tokens").alias("tokenEstimate"))

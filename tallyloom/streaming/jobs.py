@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.failures import failure_scope
+from tallyloom.operators import cards as C
+from tallyloom.operators import ledger as L
+from tallyloom.operators import scoring, telemetry
 from tallyloom.plans import bindings as B
-from tallyloom.sources.store import fresh_path
+from tallyloom.sources import files as S
+from tallyloom.sources.store import fresh_path, written
+
+LEDGER = "id string, hash string, score double, error string, brief boolean, prompt_hash string, fast_score double, fast_stale boolean"
+OPEN = "provider string, started timestamp, ended timestamp, failures long"
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,72 +29,126 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def table_stream(s: SparkSession, d: str, name: str, files: int | None = None) -> DataFrame:
+    """A table as a stream of its files, ``files`` a micro-batch; the pattern also names a table that is a single file."""
+    reader = s.readStream.schema(B.table(s, d, name).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{d}/{name}.parque[t]")
+
+
 def event_stream(s: SparkSession, d: str) -> DataFrame:
-    return table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return B.request_log_of(table_stream(s, d, "events"))
 
 
-def table_stream(s: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream of its files; the pattern also names a table that is a single file."""
-    return s.readStream.schema(B.table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+def counts_over(log: DataFrame, length: str, step: str, late: str) -> DataFrame:
+    """start, done, errors, mean_ms of the attempts in windows of ``length`` that begin every ``step``.
+
+    A window is told once, when no attempt in it can come any more: ``late`` after its end.
+    """
+    seen = log.withWatermark("ts", late)
+    counts = seen.groupBy(F.window("ts", length, step).alias("w")).agg(F.count("*").alias("done"), F.count("error").alias("errors"), F.avg("took_ms").alias("mean_ms"))
+    return counts.select(F.col("w.start").alias("start"), "done", "errors", "mean_ms")
 
 
 def run_counters(s: SparkSession, d: str) -> DataFrame:
-    """Attempts and errors of each hour; an hour is closed an hour after its end, the last ones stay open."""
-    events = event_stream(s, d).withWatermark("ts", "1 hour")
-    counts = events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("done"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return drained(counts.select(F.col("w.start").alias("hour"), "done", "errors"))
+    """Attempts, errors and mean latency of each hour."""
+    return drained(counts_over(event_stream(s, d), "1 hour", "1 hour", "1 hour"))
 
 
-def deduplicated(s: SparkSession, d: str) -> DataFrame:
-    """One row for each user and kind of event within the watermark."""
-    events = event_stream(s, d).withWatermark("ts", "365 days")
-    return drained(events.select("user_id", "event_type", "ts").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"))
+def run_rates(s: SparkSession, d: str) -> DataFrame:
+    """The same over the last two hours, every hour: the sliding rate."""
+    return drained(counts_over(event_stream(s, d), "2 hours", "1 hour", "1 hour")).select("start", "done")
 
 
-def scored_stream(s: SparkSession, d: str) -> DataFrame:
-    """New cards scored as they come: a deterministic rubric over the text, upserted once for each id and hash."""
-    stream = table_stream(s, d, "documents")
-    at = folder(s)
+def deduplicated(deliveries: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Deliveries (id, hash, at) of cards, each text of a card once; what was delivered is remembered for ``late``."""
+    return deliveries.withWatermark("at", late).dropDuplicatesWithinWatermark(["id", "hash"])
+
+
+def card_deliveries(s: SparkSession, d: str) -> DataFrame:
+    """Every document delivered twice, half a minute apart."""
+    docs = B.cards_of(table_stream(s, d, "documents"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    one = docs.select("id", B.card_hash().alias("hash"), at.alias("at"))
+    return one.unionAll(one.withColumn("at", F.col("at") + F.expr("INTERVAL 30 SECONDS")))
 
-    def land(batch: DataFrame, number: int) -> None:
-        rows = batch.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), (1 + F.length("text") * 7 % 10).cast("double").alias("score"))
-        rows.write.mode("overwrite").parquet(f"{at}/ledger/batch={number}")
 
-    stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    landed = s.read.schema("doc_id long, hash string, score double, batch int").parquet(f"{at}/ledger")
-    return landed.groupBy("doc_id", "hash").agg(F.max_by("score", "batch").alias("score"))
+def score_stream(stream: DataFrame, root: str, checkpoint: str, scorer=scoring.rubric_scorer) -> None:
+    """New and changed cards of a stream of documents are scored and put into the ledger at ``root``, a generation a micro-batch.
+
+    A micro-batch selects its work against the newest generation, lands the replies before it reads them, and publishes results
+    and failures under its number; a batch that is run again finds its generation and does nothing, so that stopping and
+    resuming loses nothing and asks for nothing twice.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        ledger = S.published_or(spark, root, LEDGER)
+        if S.has_generation(spark, root, f"batch-{number}"):
+            return
+        cards = B.cards_of(batch).withColumns({"hash": B.card_hash(), "tokens": B.token_total()})
+        work = written(C.work_set(cards, ledger))
+        scores = written(scoring.score_corpus(C.build_requests(cards.join(work.select("id"), "id", "left_semi")), scorer, land=written)).join(work.select("id", "hash"), "id")
+        done = scores.where("error IS NULL").select("id", "hash", F.col("overall").alias("score"), F.lit(False).alias("brief"))
+        failed = scores.where("error IS NOT NULL").select("id", "hash", F.lit(None).cast("int").alias("status"), F.col("error").alias("message"))
+        scored = L.upsert_success(ledger, done)
+        bad = L.upsert_failure(scored, failed)
+        rest = scored.select("id", "brief", "prompt_hash", "fast_score", "fast_stale")
+        columns = [c.split()[0] for c in LEDGER.split(", ")]
+        S.publish(bad.join(rest, "id", "left").select(*columns), root, f"batch-{number}")
+
+    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def scored_stream(s: SparkSession, d: str) -> DataFrame:
+    """The ledger after a run over all documents, and after one more, which finds nothing to do."""
+    at = folder(s)
+    for run in ("first", "again"):
+        score_stream(table_stream(s, d, "documents", files=8), f"{at}/ledger", f"{at}/{run}")
+    return S.published(s, f"{at}/ledger").select("id", "hash", "score", "error")
 
 
 def live_outages(s: SparkSession, d: str, least: int = 2) -> DataFrame:
-    """Runs of consecutive connectivity failures of a provider, kept as state: a run is told when it ends.
+    """Runs of consecutive connectivity failures of a provider, the ones that are still open included (``open``).
 
-    The state of a provider is its streak's length and ends. Attempts of a micro-batch are taken in order of time;
-    a run that is open at the end of the input isn't told.
+    A micro-batch (one file) finds its runs as the batch operator does, by hour; a run that began before it is continued from a
+    table of one row a provider, which is all that is kept. Files are taken in the order of time.
     """
-    events = B.request_log_of(table_stream(s, d, "events")).withColumn("down", F.coalesce(failure_scope(F.col("status"), F.col("error")) == "connectivity", F.lit(False)))
-
-    def step(key, batches, state):
-        length, started, ended = state.get if state.exists else (0, None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "log_id"])
-        told = []
-        for ts, down in zip(rows["ts"], rows["down"], strict=True):
-            if down:
-                length, started, ended = length + 1, started if length else ts, ts
-            elif length:
-                if length >= least:
-                    told.append((key[0], started, ended, length))
-                length, started, ended = 0, None, None
-        state.update((length, started, ended))
-        yield pd.DataFrame(told, columns=["provider", "started", "ended", "failures"])
-
-    kept = events.select("provider", "ts", "log_id", "down").groupBy("provider").applyInPandasWithState(
-        step, "provider string, started timestamp, ended timestamp, failures long", "length long, started timestamp, ended timestamp", "append", "NoTimeout"
-    )
-    return drained(kept)
+    at = folder(s)
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(OPEN).parquet(f"{at}/open-{number - 1}") if number else spark.createDataFrame([], OPEN)
+        runs, last = telemetry.connectivity_runs(B.request_log_of(batch))
+        every = runs.unionByName(before, allowMissingColumns=True)
+        merged = every.groupBy("provider", "island").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("failures").alias("failures"))
+        rows = written(merged.join(last, "provider", "left").withColumn("open", F.col("island").eqNullSafe(F.col("last_up"))))
+        rows.where("open").select("provider", "started", "ended", "failures").write.mode("overwrite").parquet(f"{at}/open-{number}")
+        told = rows.where(~F.col("open") & (F.col("failures") >= least)).select("provider", "started", "ended", "failures")
+        told.withColumn("open", F.lit(False)).write.mode("overwrite").parquet(f"{at}/told/batch={number}")
+        spark.createDataFrame([(number,)], "number int").write.mode("overwrite").parquet(f"{at}/newest")
+
+    table_stream(s, d, "events", files=1).writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    newest = s.read.parquet(f"{at}/newest").first().number
+    told = s.read.schema(OPEN + ", open boolean").parquet(f"{at}/told").select("provider", "started", "ended", "failures", "open")
+    still = s.read.schema(OPEN).parquet(f"{at}/open-{newest}").where(F.col("failures") >= least).withColumn("open", F.lit(True))
+    return told.unionByName(still)
 
 
 def register(query) -> None:
-    query("stream_run_counters", "+ h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS done, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")(run_counters)
-    query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")(deduplicated)
-    query("stream_outages")(live_outages)
-    query("stream_scoring", "SELECT doc_id, sha256(coalesce(text, '')) AS hash, CAST(1 + length(text) * 7 % 10 AS DOUBLE) AS score FROM documents")(scored_stream)
+    from tallyloom.plans.registry import HASH, SCOPED, request_sql
+
+    hours = "SELECT date_trunc('hour', ts) AS start, count(*) AS done, count(error) AS errors, avg(took_ms) AS mean_ms FROM log GROUP BY 1"
+    last = "(SELECT max(ts) - INTERVAL 1 HOUR FROM log)"
+    query("stream_run_counters", f"+ h AS ({hours}) SELECT * FROM h WHERE start + INTERVAL 1 HOUR <= {last}", "log")(run_counters)
+    query("stream_run_rates", f"+ h AS ({hours}), w AS (SELECT start, done FROM h UNION ALL SELECT start - INTERVAL 1 HOUR, done FROM h) SELECT start, CAST(sum(done) AS BIGINT) AS done FROM w WHERE start + INTERVAL 2 HOURS <= {last} GROUP BY 1", "log")(run_rates)
+    query("stream_dedup", f"SELECT DISTINCT id, {HASH} AS hash FROM cards", "cards")(lambda s, d: drained(deduplicated(card_deliveries(s, d))).select("id", "hash"))
+    query(
+        "stream_outages",
+        SCOPED + """SELECT provider, min(ts) AS started, max(ts) AS ended, count(*) AS failures, max(ts) > coalesce(max(up), TIMESTAMP '1970-01-01') AS "open"
+        FROM (SELECT *, sum(CASE WHEN scope = 'connectivity' THEN 0 ELSE 1 END) OVER (PARTITION BY provider ORDER BY ts, log_id) AS island, max(CASE WHEN scope = 'connectivity' THEN NULL ELSE ts END) OVER (PARTITION BY provider) AS up FROM scoped)
+        WHERE scope = 'connectivity' GROUP BY provider, island HAVING count(*) >= 2""", "log",
+    )(live_outages)
+    d, m = "1 + (n * 7 + 1) % 10", "1 + (n * 7 + 2) % 10"
+    overall = f"floor((0.0::DOUBLE + ({d}) * 0.3::DOUBLE + ({m}) * 0.25::DOUBLE) / (0.0::DOUBLE + 0.3::DOUBLE + 0.25::DOUBLE) * 10 + 0.5) / 10.0"
+    query("stream_scoring", f"""SELECT c.id, c.hash, CASE WHEN n % 13 <> 0 THEN {overall} END AS score, CASE WHEN n % 13 = 0 THEN '{scoring.CUT_OFF}' END AS error
+        FROM (SELECT id, {HASH} AS hash FROM cards) c JOIN (SELECT id, length(request) AS n FROM ({request_sql('full')}) WHERE request IS NOT NULL) r ON r.id = c.id""", "cards")(scored_stream)
