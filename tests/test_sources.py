@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import telemetry
 from tallyloom.plans import bindings as B
 from tallyloom.sources import files as S
+from tallyloom.sources import payloads as P
 from tallyloom.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -25,11 +26,53 @@ def test_png_payload():
             S.png_payload(junk)
 
 
+def test_unreadable_newer_chunk_gives_way():
+    image = S.png_of(b'{"name":"x"}')
+    at = image.index(b"IDAT") - 4
+    body = b"ccv3\0!! no card !!"
+    both = image[:at] + len(body).to_bytes(4, "big") + b"tEXt" + body + b"\0\0\0\0" + image[at:]
+    assert S.png_payload(both) == '{"name":"x"}'
+
+
+V2 = {
+    "spec": "chara_card_v2", "name": "Old", "description": "old copy", "alternate_greetings": ["x"], "extra": {"deep": [1, None, {"a": 0.5}]},
+    "data": {"name": "Orso", "creator": "me", "description": "d", "personality": 0, "scenario": False, "first_mes": None, "mes_example": 5, "alternate_greetings": ["hi", "", "yo"], "tags": ["a", "b"],
+             "extensions": {"depth_prompt": {"depth": 1, "prompt": "note", "role": "user"}, "other": True}, "character_book": {"entries": [{"keys": ["k"]}]}},
+}
+
+
 def test_normalize_shapes(spark):
-    rows = [("a", '{"name":"n","description":"d"}'), ("b", '{"data":{"name":"","description":5},"name":"root"}'), ("c", "no json"), ("d", None), ("e", '{"data":{}}')]
-    got = {r.id: (r.spec, r.name, r.f1) for r in S.normalize_cards(spark.createDataFrame(rows, "id string, payload string")).collect()}
-    assert got["a"] == ("v1", "n", "d") and got["b"] == ("chara_card_v2", "root", "5") and got["e"] == ("chara_card_v2", "(unnamed)", "")
-    assert got["c"][0] is None and got["d"][0] is None
+    import json
+
+    rows = [("a", '{"name":"n","description":"d"}'), ("b", '{"data":{"name":"","description":5},"name":"root"}'), ("c", "no json"), ("d", None), ("e", '{"data":{}}'), ("f", json.dumps(V2)), ("g", '{"name":"x"} trailing'), ("h", '{"data":{"tags":"no","alternate_greetings":"no","extensions":{"depth_prompt":{"prompt":7}}}}')]
+    got = {r.id: r for r in P.normalize_cards(spark.createDataFrame(rows, "id string, payload string")).collect()}
+    short = lambda r: (r.spec, r.name, r.f1)
+    assert short(got["a"]) == ("chara_card_v1", "n", "d") and short(got["b"]) == ("chara_card_v2", "root", "5") and short(got["e"]) == ("chara_card_v2", "(unnamed)", "")
+    assert got["c"].spec is None and got["d"].spec is None and got["g"].spec is None and got["a"].flat and not got["f"].flat
+    f = got["f"]
+    assert (f.name, f.creator, f.tags, f.f1, f.f2, f.f3, f.f4, f.f5, f.f8, f.f9, f.note_depth) == ("Orso", "me", ["a", "b"], "d", "", "", "", "5", "note", "hi\n\n---\n\nyo", 1)
+    assert got["h"].tags == [] and got["h"].f8 == "" and got["h"].f9 == ""
+
+
+def test_field_patch_keeps_every_other_key(spark):
+    import copy
+    import json
+
+    flat = {"name": "Flat", "description": "d", "first_mes": "m", "other": [1, 2]}
+    raw = spark.createDataFrame([("v2", json.dumps(V2)), ("flat", json.dumps(flat)), ("note", json.dumps(flat)), ("bare", '{"data":{"name":"B"}}')], "id string, payload string")
+    patches = [
+        ("v2", {"description": "new", "alternate_greetings": "one\n\n---\n\n two \n---\n", "character_note": "noted"}, " Renamed "), ("flat", {"first_mes": "", "description": None, "alternate_greetings": " "}, None),
+        ("note", {"character_note": "x"}, None), ("bare", {"character_note": "x"}, "  "),
+    ]
+    got = {r.id: r for r in P.field_patch(raw, spark.createDataFrame(patches, "id string, fields map<string,string>, name string")).collect()}
+    want = copy.deepcopy(V2)
+    want["data"] |= {"description": "new", "alternate_greetings": ["one", "two"], "name": "Renamed"}
+    want["data"]["extensions"]["depth_prompt"]["prompt"] = "noted"
+    want |= {"description": "new", "alternate_greetings": ["one", "two"], "name": "Renamed"}
+    assert json.loads(got["v2"].payload) == want
+    assert json.loads(got["flat"].payload) == flat | {"first_mes": "", "alternate_greetings": []}
+    assert json.loads(got["note"].payload) == flat and got["note"].error
+    assert json.loads(got["bare"].payload) == {"data": {"name": "B", "extensions": {"depth_prompt": {"depth": 4, "role": "system", "prompt": "x"}}}}
 
 
 def test_score_file_shapes(spark):
@@ -44,11 +87,59 @@ def test_published_generation(spark, tmp_path):
     assert S.published(spark, str(tmp_path)).count() == 2
 
 
-def test_live_outages_equal_the_batch(spark):
-    live = {tuple(r) for r in jobs.live_outages(spark, SF).collect()}
-    batch = {tuple(r) for r in telemetry.outages(B.request_log(spark, SF)).collect()}
-    assert live <= batch and len(batch - live) <= 3
-
-
-def test_stream_scores_each_document_once(spark):
-    assert jobs.scored_stream(spark, SF).count() == B.table(spark, SF, "documents").select("doc_id", F.sha2("text", 256)).distinct().count()
+@pytest.mark.parametrize("files", [1, 5])
+def test_live_outages_equal_the_batch(spark, tmp_path, files):
+    """However the log is cut into files, and runs across them: every run is told, open ones too."""
+    import os
+    import time
+
+    if files > 1:
+        events = B.table(spark, SF, "events").orderBy("ts").toPandas()
+        events["event_type"] = ["error" if i % 9 < 6 else t for i, t in enumerate(events["event_type"])]
+        events["props"] = ['{"k": 1}' if i % 9 < 6 else p for i, p in enumerate(events["props"])]
+        (tmp_path / "events.parquet").mkdir()
+        size = -(-len(events) // files)
+        for n in range(files):
+            path = tmp_path / "events.parquet" / f"part-{n}.parquet"
+            spark.createDataFrame(events[n * size : (n + 1) * size]).coalesce(1).write.parquet(str(tmp_path / f"made-{n}"))
+            next((tmp_path / f"made-{n}").glob("*.parquet")).rename(path)
+            os.utime(path, (time.time() + n, time.time() + n))
+        at = str(tmp_path)
+    else:
+        at = SF
+    live = {tuple(r)[:4] for r in jobs.live_outages(spark, at).collect()}
+    assert live == {tuple(r) for r in telemetry.outages(B.request_log(spark, at)).collect()} and live
+
+
+def test_stream_scoring_asks_once_and_follows_changes(spark, tmp_path):
+    """A second run asks for nothing; a changed card is asked about again; results are those of the batch."""
+    docs = B.table(spark, SF, "documents").where("doc_id < 20")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    root = str(tmp_path / "ledger")
+    stream = lambda: jobs.table_stream(spark, str(tmp_path), "documents")
+    jobs.score_stream(stream(), root, str(tmp_path / "state"))
+    first = {r.id: (r.hash, r.score, r.error) for r in S.published(spark, root).collect()}
+    generations = S.manifest(spark, root).count()
+    jobs.score_stream(stream(), root, str(tmp_path / "state"))
+    assert S.manifest(spark, root).count() == generations and len(first) == docs.count()
+    docs.where("doc_id = 3").withColumn("text", F.lit("another text entirely")).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    jobs.score_stream(stream(), root, str(tmp_path / "state"))
+    then = {r.id: (r.hash, r.score, r.error) for r in S.published(spark, root).collect()}
+    assert {i for i in then if then[i] != first[i]} == {"doc-00000003.json"}
+
+
+def test_written_tables_need_a_shared_folder(spark, monkeypatch):
+    from tallyloom.sources import store
+
+    class Context:
+        master = "spark://elsewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.shared_dir(Session())
