@@ -12,8 +12,11 @@ the text, so paths are moved instead:
 3. If an anchor has a single content, its path doesn't branch anywhere in the corpus: it is compacted to one
    edge whose source is its smallest document. If it branches, one copy of each distinct path is read again
    at its source coordinates and its windows are grouped singly.
-4. Each occurrence compares its id with the source of each of its windows. Documents are then read again,
-   and words in removed windows are dropped.
+4. Each occurrence compares its id with the source of each of its windows. Windows in a row that have their source in a row
+   too are compacted to one long span with its source coordinates.
+5. Spans are verified: documents are read at both coordinates, and the SHA-256 of the words there must agree. A span
+   that doesn't (two contents with one 128-bit hash) stays in its text. Documents are then read again, and words in
+   verified spans are dropped.
 
 The anchor table grows with the text (about 1/22 row a word); hot anchors meet only grouped aggregates with
 map-side combining and joins against one row a key.
@@ -174,26 +177,80 @@ def branch_windows(docs: DataFrame, sources: DataFrame, window: int) -> DataFram
 
 def small_enough(df: DataFrame, lists: str) -> DataFrame:
     """``df`` with a broadcast hint if its rows and the elements of its ``lists`` are few; else it is shuffled with the texts."""
-    n = df.agg(F.coalesce(F.sum(F.size(lists) + 4), F.lit(0))).first()[0]
+    n = df.agg(F.coalesce(F.sum(F.size(lists).cast("long") + 4), F.lit(0))).first()[0]
     return F.broadcast(df) if n <= BROADCAST_LONGS else df
 
 
-def merged(lists: pd.Series) -> pd.Series:
-    """Sorted ranges without touching or overlapping ones."""
+SPAN = "a:int,b:int,src:bigint,src_row:bigint,sa:int"
+SPANS = f"array<struct<{SPAN}>>"
+
+
+def compacted(lists: pd.Series) -> pd.Series:
+    """Windows with their sources as long spans: what continues another in the text and in the source is one span with it."""
     out = []
     for ranges in lists:
         found: list[dict] = []
-        for a, b in sorted((r["a"], r["b"]) for r in ranges):
-            if found and a <= found[-1]["b"]:
-                found[-1]["b"] = max(b, found[-1]["b"])
+        for r in sorted(ranges, key=lambda r: (r["src"], r["src_row"], r["sa"] - r["a"], r["a"], r["b"])):
+            last = found[-1] if found else None
+            if last and (last["src"], last["src_row"], last["sa"] - last["a"]) == (r["src"], r["src_row"], r["sa"] - r["a"]) and r["a"] <= last["b"]:
+                last["b"] = max(last["b"], r["b"])
             else:
-                found.append({"a": a, "b": b})
+                found.append({k: r[k] for k in ("a", "b", "src", "src_row", "sa")})
         out.append(found)
     return pd.Series(out)
 
 
+def read_at_coordinates(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """src, src_row, sa, n, doc, row, a, digest: the SHA-256 of the words of each span, at its source (doc is null) and in each text.
+
+    ``spans``: doc, row, ranges. A source reads each of its spans once, however many documents repeat it.
+    """
+    one = spans.select("doc", "row", F.explode("ranges").alias("r")).select("doc", "row", "r.*")
+    sources = one.groupBy("src", "src_row", "sa", (F.col("b") - F.col("a")).alias("n")).agg(F.lit(1).alias("one"))
+    asked = sources.groupBy(F.col("src").alias("doc"), F.col("src_row").alias("row")).agg(F.collect_list(F.struct("sa", "n")).alias("asked"))
+    plan = spans.join(asked, ["doc", "row"], "full").select(F.col("doc").alias("p_doc"), F.col("row").alias("p_row"), F.coalesce("ranges", F.array().cast(SPANS)).alias("own"), F.coalesce("asked", F.array().cast("array<struct<sa:int,n:int>>")).alias("asked"))
+    plan = materialize(plan.withColumn("both", F.concat(F.flatten(F.transform("own", lambda r: F.array(r["a"], r["b"], r["a"], r["b"], r["sa"]))), F.flatten(F.transform("asked", lambda r: F.array(r["sa"], r["n"]))))))
+    plan = small_enough(plan, "both").drop("both")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["src", "src_row", "sa", "n", "doc", "row", "a", "digest"]
+        for b in batches:
+            out = []
+            for doc, row, text, own, asked in zip(b["doc"].tolist(), b["row"].tolist(), b["text"], b["own"], b["asked"], strict=True):
+                words = text.encode().split()
+                known: dict[tuple[int, int], bytes] = {}
+
+                def digest(at: int, n: int, words=words, known=known) -> bytes:
+                    if (at, n) not in known:
+                        known[at, n] = hashlib.sha256(b" ".join(words[at : at + n])).digest()
+                    return known[at, n]
+
+                out += [(doc, row, r["sa"], r["n"], None, None, None, digest(r["sa"], r["n"])) for r in asked]
+                out += [(r["src"], r["src_row"], r["sa"], r["b"] - r["a"], doc, row, r["a"], digest(r["a"], r["b"] - r["a"])) for r in own]
+            yield pd.DataFrame(out, columns=names).astype({"doc": "Int64", "row": "Int64", "a": "Int32"})
+
+    same = (F.col("doc") == F.col("p_doc")) & (F.col("row") == F.col("p_row"))
+    read = docs.join(plan, same).select("doc", "row", "text", "own", "asked")
+    return read.mapInPandas(run, "src long, src_row long, sa int, n int, doc long, row long, a int, digest binary")
+
+
+def verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (doc, row, ranges) without those whose words aren't the words at their source."""
+    read = materialize(read_at_coordinates(docs, spans))
+    key = ["src", "src_row", "sa", "n"]
+    groups = read.groupBy(*key).agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.min(F.when(F.col("doc").isNull(), F.col("digest"))).alias("right"))
+    odd = materialize(groups.where("right IS NULL OR low <> high").select(*key, "right"))
+    if odd.isEmpty():
+        return spans
+    wrong = read.where("doc IS NOT NULL").join(odd, key).where("right IS NULL OR digest <> right")
+    at = F.struct("a", (F.col("a") + F.col("n")).cast("int").alias("b"), "src", "src_row", "sa")
+    wrong = wrong.groupBy("doc", "row").agg(F.collect_set(at).alias("wrong"))
+    kept = F.array_except("ranges", F.coalesce("wrong", F.array().cast(SPANS)))
+    return materialize(spans.join(wrong, ["doc", "row"], "left").select("doc", "row", kept.alias("ranges")))
+
+
 def removed_ranges(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """doc, row, ranges (array of first and last word, which may touch or overlap) of ``docs`` (doc, row, text; no nulls)."""
+    """doc, row, ranges (verified spans a to b with their source coordinates, which may touch or overlap) of ``docs`` (doc, row, text; no nulls)."""
     everything = materialize(all_paths(docs, window, seed))
     shared = (
         everything.groupBy("anchor")
@@ -207,21 +264,24 @@ def removed_ranges(docs: DataFrame, window: int, seed: int) -> DataFrame:
     ).withColumnsRenamed({"doc": "src", "row": "src_row"})
     singles = materialize(branch_windows(docs, edges.where("NOT single").select("src", "src_row", "start", "windows"), window))
     # Windows that one source alone has keep that source; only the others are joined.
-    several = singles.groupBy("w1", "w2").agg(F.min("src").alias("low"), F.max("src").alias("high")).where("low < high").select("w1", "w2", "low")
+    several = singles.groupBy("w1", "w2").agg(F.min("src").alias("low"), F.max("src").alias("high"), F.min(F.struct("src", "src_row", (F.col("start") + F.col("at")).alias("sa"))).alias("source"))
+    several = several.where("low < high").select("w1", "w2", "low", "source")
     earlier = (
         singles.join(several, ["w1", "w2"])
         .where("low < src")
         .groupBy("src", "src_row", "start")
-        .agg(F.collect_list(F.struct(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>"))).alias("ats"), "low")).alias("earlier"))
+        .agg(F.collect_list(F.struct(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>"))).alias("ats"), "source")).alias("earlier"))
     )
     # Of each path of more than one document or with earlier windows: its source, and where windows have an earlier one.
-    known = edges.join(earlier, ["src", "src_row", "start"], "left").select("c1", "c2", "src", "earlier")
+    known = edges.join(earlier, ["src", "src_row", "start"], "left").select("c1", "c2", "src", "src_row", F.col("start").alias("src_start"), "earlier")
     held = found.join(known, ["c1", "c2"]).where((F.col("src") < F.col("doc")) | F.col("earlier").isNotNull())
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b")))
-    places = F.flatten(F.transform(F.filter("earlier", lambda e: e["low"] < F.col("doc")), lambda e: e["ats"]))
-    part = F.transform(places, lambda at: F.struct((F.col("start") + at).alias("a"), (F.col("start") + at + window).alias("b")))
+    span = lambda a, n, src, row, sa: F.struct(a.cast("int").alias("a"), (a + n).cast("int").alias("b"), src.alias("src"), row.alias("src_row"), sa.cast("int").alias("sa"))
+    whole = F.array(span(F.col("start"), F.col("windows") + (window - 1), F.col("src"), F.col("src_row"), F.col("src_start")))
+    before = F.filter("earlier", lambda e: e["source"]["src"] < F.col("doc"))
+    part = F.flatten(F.transform(before, lambda e: F.transform(e["ats"], lambda at: span(F.col("start") + at, F.lit(window), e["source"]["src"], e["source"]["src_row"], e["source"]["sa"]))))
     lost = held.select("doc", "row", F.when(F.col("src") < F.col("doc"), whole).otherwise(part).alias("r"))
-    return materialize(lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("r")).alias("ranges")).select("doc", "row", F.pandas_udf(merged, "array<struct<a:int,b:int>>")("ranges").alias("ranges")))
+    spans = lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("r")).alias("ranges")).select("doc", "row", F.pandas_udf(compacted, SPANS)("ranges").alias("ranges"))
+    return verified(docs, materialize(spans))
 
 
 def removed_mask(n: int, ranges: list) -> np.ndarray:
@@ -236,7 +296,7 @@ def removed_mask(n: int, ranges: list) -> np.ndarray:
 def with_ranges(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> tuple[DataFrame, str]:
     """``df`` and a column of the word ranges to remove (null: none)."""
     docs = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    ranges = removed_ranges(docs, window, seed)
+    ranges = removed_ranges(docs, window, seed).withColumn("ranges", F.transform("ranges", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))))
     ranges = small_enough(ranges, "ranges")
     mine, row, name = (free_name(df.columns, c) for c in ("doc", "row", "ranges"))
     same = (F.col(id_col) == F.col(mine)) & (F.xxhash64(text_col) == F.col(row))
@@ -284,7 +344,11 @@ def kept_text(text: str, ranges: list) -> str:
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
-    """``df`` with repeated passages cut from ``text_col``; other texts and columns are unchanged."""
+    """``df`` with repeated passages cut from ``text_col``; other texts and columns are unchanged.
+
+    A text of which all words go becomes empty. Null texts and rows with a null id stay as they are; rows that repeat an id
+    and a text are cut alike; an empty table gives an empty result.
+    """
     joined, ranges = with_ranges(df, id_col, text_col, window, seed)
 
     @F.pandas_udf("string")

@@ -392,6 +392,27 @@ def test_repeated_ids_with_other_texts(spark):
     assert sorted(hashlib.sha256(" ".join(r.text.split()).encode()).hexdigest() for r in substring_dedup.without_repeats(table).collect()) == sorted(x[3] for x in want)
 
 
+def test_spans_are_verified_at_their_source(spark, monkeypatch):
+    """Spans that a hash has claimed wrongly are found and stay; equal ones still go."""
+    rng, words = random.Random(31), vocabulary(3000, 32)
+    passage = rng.choices(words, k=70)
+    other = rng.choices(words, k=70)
+    rows = [(1, " ".join(passage)), (2, " ".join(other)), (3, " ".join(passage[:60] + rng.choices(words, k=20)))]
+    docs = spark.createDataFrame([(i, i + 100, t) for i, t in rows], "doc long, row long, text string")
+    claimed = [(2, 102, [(0, 70, 1, 101, 0)]), (3, 103, [(0, 60, 1, 101, 0), (5, 55, 2, 102, 5)])]
+    spans = spark.createDataFrame(claimed, f"doc long, row long, ranges {substring_dedup.SPANS}")
+    got = {r.doc: [(x.a, x.b, x.src) for x in r.ranges] for r in substring_dedup.verified(docs, spans).collect()}
+    assert got == {2: [], 3: [(0, 60, 1)]}
+
+
+def test_windows_in_a_row_are_one_span():
+    import pandas as pd
+
+    r = lambda a, b, src, sa: {"a": a, "b": b, "src": src, "src_row": 9, "sa": sa}
+    got = substring_dedup.compacted(pd.Series([[r(10, 60, 1, 0), r(11, 61, 1, 1), r(60, 120, 1, 50), r(200, 250, 1, 5), r(12, 62, 2, 7)]]))[0]
+    assert [(x["a"], x["b"], x["src"], x["sa"]) for x in got] == [(200, 250, 1, 5), (10, 120, 1, 0), (12, 62, 2, 7)]
+
+
 @pytest.mark.parametrize("keep", [simhash.keep_one, near_copies.keep_one])
 def test_each_component_keeps_a_row(spark, keep):
     rng, words = random.Random(23), vocabulary(3000, 24)
