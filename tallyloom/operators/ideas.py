@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.functions.plan import once
 from tallyloom.plans import bindings as B
 from tallyloom.sources.payloads import is_object, json_value, kind, part
+from tallyloom.sources.store import written
 
 from .cards import MACROS, blank, edit_targets, heading, note_depth
 from .edits import bare_quote
@@ -43,11 +45,11 @@ def grounded(quote: Column, whole: Column) -> Column:
 def with_text(replies: DataFrame, targets: DataFrame) -> DataFrame:
     """``replies`` (id, answer) as values ``v``, with their card's parts (a map from field to label) and whole normalised text."""
     cells = F.array_sort(F.collect_list(F.struct("ord", "field", "label", "text")))
-    cards = targets.groupBy("id").agg(cells.alias("c"))
+    cards = once(targets.groupBy("id").agg(cells.alias("c")), c=F.col("c"))
     whole = T.normalize_text(F.array_join(F.transform("c", lambda x: x["text"]), "\n"))
     labels = F.map_from_entries(F.transform("c", lambda x: F.struct(x["field"], x["label"])))
-    rows = replies.select("id", json_value(F.col("answer")).alias("v")).where(is_object(F.col("v")))
-    return rows.join(cards.select("id", whole.alias("whole"), labels.alias("labels")), "id")
+    rows = once(replies.select("id", "answer"), v=json_value(F.col("answer"))).drop("answer").where(is_object(F.col("v")))
+    return rows.join(once(cards, whole=whole, labels=labels).drop("c"), "id")
 
 
 def validate_ideas(replies: DataFrame, targets: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def validate_ideas(replies: DataFrame, targets: DataFrame) -> DataFrame:
     other = part(i, "$.lorebook")
     lore = F.coalesce(other.isNotNull() & ~kind(other).isin("VOID") & ~F.coalesce(part(other, "$", "string"), F.lit("")).isin("false", "0", ""), F.lit(False))
     found = F.when(named.isin(*KINDS), named).when((named == "") & ~lore, "extend")
-    rows = rows.where(is_object(i)).withColumns({"kind": found, "field": T.strip(said(i, "field")), "change": clean(said(i, "change"), 2000)})
+    rows = once(rows.where(is_object(i)), kind=found, field=T.strip(said(i, "field")), change=clean(said(i, "change"), 2000))
     rows = rows.where((F.col("change") != "") & F.col("kind").isNotNull() & F.map_contains_key(F.col("labels"), F.col("field")))
     number = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
     impact, risk, title = F.lower(said(i, "impact")), clean(said(i, "risk"), 400), clean(said(i, "title"), 120)
@@ -103,9 +105,10 @@ def allowed_fields(ideas: DataFrame, targets: DataFrame) -> DataFrame:
 
     The description is the reference for the rest: it may change only if an idea is about it.
     """
-    parts = targets.select("id", "field", T.normalize_text(F.col("text")).alias("norm"))
-    own = ideas.select("id", "field").join(parts.select("id", "field"), ["id", "field"], "left_semi")
-    quoted = ideas.where("kind = 'fix'").select("id", F.explode("quotes").alias("quote")).select("id", T.normalize_text(F.col("quote")).alias("q")).where("q <> ''")
+    ideas = written(ideas.select("id", "kind", "field", "quotes"))
+    parts = once(targets.select("id", "field", "text"), norm=T.normalize_text(F.col("text"))).drop("text")
+    own = ideas.select("id", "field").join(targets.select("id", "field"), ["id", "field"], "left_semi")
+    quoted = once(ideas.where("kind = 'fix'").select("id", F.explode("quotes").alias("quote")), q=T.normalize_text(F.col("quote"))).select("id", "q").where("q <> ''")
     holds = parts.join(quoted, "id").where(F.contains("norm", "q")).select("id", "field")
     every = own.unionAll(holds).distinct()
     about = ideas.where("field = 'description'").select("id").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.functions.plan import once
 from tallyloom.plans import bindings as B
 from tallyloom.sources.payloads import is_object, json_value, kind, part
 
@@ -81,8 +82,8 @@ def extract_json(replies: DataFrame, key: str = "fields") -> DataFrame:
         return texts.map(lambda t: None if t is None else newest_object(t, key))
 
     rest = [c for c in replies.columns if c not in ("id", "content")]
-    rows = replies.select("id", *rest, plain.alias("plain"))
-    rows = rows.withColumn("ready", F.when(holds(F.col("plain")), F.col("plain")).otherwise(fenced))
+    rows = once(replies.select("id", *rest, "content"), plain=plain).drop("content")
+    rows = once(rows, ready=F.when(holds(F.col("plain")), F.col("plain")).otherwise(fenced))
     missed = recover(F.when(F.col("ready").isNull(), F.col("plain")))  # null where the answer is known
     return rows.select("id", *rest, F.coalesce("ready", missed).alias("answer"))
 
@@ -125,20 +126,21 @@ def parse_scores(answers: DataFrame) -> DataFrame:
     a usable score keeps its own overall, if that is a number; with neither it is left out.
     """
     rest = [c for c in answers.columns if c not in ("id", "answer")]
-    rows = answers.withColumn("v", json_value(F.col("answer"))).withColumn("m", F.try_variant_get("v", "$.fields", "map<string,variant>"))
-    rows = rows.where(F.col("m").isNotNull())
+    rows = once(answers, v=json_value(F.col("answer")))
+    rows = once(rows, m=F.try_variant_get("v", "$.fields", "map<string,variant>")).where(F.col("m").isNotNull())
     known = F.exists(F.map_keys("m"), lambda k: k.isin(*B.FIELDS))
     used = F.map_filter("m", lambda k, x: (~known | k.isin(*B.FIELDS)) & (kind(x) != "VOID"))
     said = lambda x, key: F.when(is_object(x), F.coalesce(part(x, f"$.{key}", "string"), F.lit(""))).otherwise("")
     entry = lambda _, x: F.struct(field_score(x).alias("score"), *[said(x, k).alias(k) for k in ("strengths", "weaknesses", "suggestions")])
-    rows = rows.withColumn("fields", F.transform_values(used, entry))
+    rows = once(rows, fields=F.transform_values(used, entry))
     others = F.filter(F.transform(F.map_values(F.map_filter("fields", lambda k, _: ~k.isin(*B.FIELDS))), lambda x: x["score"]), lambda x: x.isNotNull())
     strange = F.when(F.size(others) > 0, T.half_up(F.aggregate(others, F.lit(0.0), lambda a, x: a + x) / F.size(others)))
     own = part(F.col("v"), "$.overall_score")
     stated = F.when(~kind(own).isin("STRING", "BOOLEAN", "OBJECT", "ARRAY", "VOID"), T.half_up(clamped(part(own, "$", "double"))))
-    overall = F.coalesce(weighted_overall({f: F.col("fields")[f]["score"] for f in B.FIELDS}), strange, stated)
+    overall = F.coalesce(weighted_overall({f: F.col("scores")[f] for f in B.FIELDS}), strange, stated)
     improvements = F.slice(F.transform(part(F.col("v"), "$.top_priority_improvements", "array<variant>"), lambda x: part(x, "$", "string")), 1, IMPROVEMENTS)
-    made = rows.select("id", *rest, "fields", overall.alias("overall"), F.coalesce(improvements, F.array().cast("array<string>")).alias("improvements"), F.coalesce(part(F.col("v"), "$.summary", "string"), F.lit("")).alias("summary"))
+    rows = once(rows, scores=F.struct(*[F.col("fields")[f]["score"].alias(f) for f in B.FIELDS]))
+    made = once(rows, overall=overall).select("id", *rest, "fields", "overall", F.coalesce(improvements, F.array().cast("array<string>")).alias("improvements"), F.coalesce(part(F.col("v"), "$.summary", "string"), F.lit("")).alias("summary"))
     return made.where("overall IS NOT NULL")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.functions.plan import once
 from tallyloom.plans.bindings import FIELDS
 
 # What separates greetings in their text form, and the names of layouts.
@@ -60,9 +61,9 @@ def normalize_cards(raw: DataFrame) -> DataFrame:
     note is the text of the depth prompt; greetings are joined; tags count only as an array. A payload that is no JSON
     object has a null spec and empty fields.
     """
-    rows = raw.select("id", F.col("payload").alias("raw"), json_value(F.col("payload")).alias("v"))
-    rows = rows.withColumn("v", F.when(is_object(F.col("v")), F.col("v"))).withColumn("nested", is_object(part(F.col("v"), "$.data")))
-    rows = rows.withColumn("d", F.when(F.col("nested"), part(F.col("v"), "$.data")).otherwise(F.col("v")))
+    rows = once(raw.select("id", F.col("payload").alias("raw")), v=json_value(F.col("raw")))
+    rows = once(rows.withColumn("v", F.when(is_object(F.col("v")), F.col("v"))), data=part(F.col("v"), "$.data"))
+    rows = once(rows, nested=is_object(F.col("data")), d=F.when(is_object(F.col("data")), F.col("data")).otherwise(F.col("v")))
     v, d = F.col("v"), F.col("d")
     data = part(v, "$.data")
     wraps = truthy_text(data) != ""
@@ -86,7 +87,7 @@ def ingest_json(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cards, quarantine) of JSON files (name, content): payloads as (id, payload), unreadable files with a reason."""
     text = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
     rows = files.where(F.col("name").rlike(r"(?i)\.json$")).select(F.col("name").alias("id"), text.alias("payload"))
-    rows = rows.withColumn("v", json_value(F.col("payload")))
+    rows = once(rows, v=json_value(F.col("payload")))
     reason = F.when(F.col("v").isNull(), "not valid JSON").when(~is_object(F.col("v")), "no usable card object")
     rows = rows.withColumn("reason", reason)
     return rows.where("reason IS NULL").select("id", "payload"), rows.where("reason IS NOT NULL").select("id", "reason")
@@ -112,9 +113,9 @@ def field_patch(raw: DataFrame, patches: DataFrame) -> DataFrame:
     prompt, whose depth and role stay (4 and system where there is none); a blank name changes nothing. A nested card's
     flat copy at the root follows. A flat card has no place for a note: an error, and the payload stays.
     """
-    rows = raw.join(patches, "id").withColumn("v", json_value(F.col("payload")))
-    rows = rows.withColumns({"top": entries(F.col("v")), "nested": is_object(part(F.col("v"), "$.data"))})
-    rows = rows.withColumn("own", F.when(F.col("nested"), entries(part(F.col("v"), "$.data"))).otherwise(F.col("top")))
+    rows = once(raw.join(patches, "id"), v=json_value(F.col("payload")))
+    rows = once(rows, top=entries(F.col("v")), nested=is_object(part(F.col("v"), "$.data")))
+    rows = once(rows, own=F.when(F.col("nested"), entries(part(F.col("v"), "$.data"))).otherwise(F.col("top")))
     wanted = lambda f: F.col("fields")[f]
     new_name = T.strip(F.coalesce("name", F.lit("")))
     none = F.expr(f"cast(map() as {MAP})")
@@ -123,7 +124,7 @@ def field_patch(raw: DataFrame, patches: DataFrame) -> DataFrame:
         F.when(wanted(GREETINGS).isNotNull(), F.create_map(F.lit(GREETINGS), variant(greetings_split(wanted(GREETINGS))))).otherwise(none),
         F.when(new_name != "", F.create_map(F.lit("name"), variant(new_name))).otherwise(none),
     )
-    rows = rows.withColumn("changes", changes)
+    rows = once(rows, changes=changes)
     extensions = entries(F.col("own")["extensions"])
     given = extensions["depth_prompt"]
     prompt = F.when(is_object(given), entries(given)).otherwise(F.create_map(F.lit("depth"), variant(F.lit(4)), F.lit("role"), variant(F.lit("system"))))
