@@ -209,8 +209,8 @@ def read_at_coordinates(docs: DataFrame, spans: DataFrame) -> DataFrame:
     sources = one.groupBy("src", "src_row", "sa", (F.col("b") - F.col("a")).alias("n")).agg(F.lit(1).alias("one"))
     asked = sources.groupBy(F.col("src").alias("doc"), F.col("src_row").alias("row")).agg(F.collect_list(F.struct("sa", "n")).alias("asked"))
     plan = spans.join(asked, ["doc", "row"], "full").select(F.col("doc").alias("p_doc"), F.col("row").alias("p_row"), F.coalesce("ranges", F.array().cast(SPANS)).alias("own"), F.coalesce("asked", F.array().cast("array<struct<sa:int,n:int>>")).alias("asked"))
-    plan = materialize(plan.withColumn("both", F.concat(F.flatten(F.transform("own", lambda r: F.array(r["a"], r["b"], r["a"], r["b"], r["sa"]))), F.flatten(F.transform("asked", lambda r: F.array(r["sa"], r["n"]))))))
-    plan = small_enough(plan, "both").drop("both")
+    # The plan grows with the repeated text: it is shuffled with the documents at every size.
+    plan = materialize(plan)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["src", "src_row", "sa", "n", "doc", "row", "a", "digest"]
