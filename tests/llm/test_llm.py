@@ -213,6 +213,20 @@ def test_toxicity_tolerates_hidden_spellings():
     assert 0 <= m.score("") <= 1 and m.score(None) == m.score("")
 
 
+def test_decisions_equal_the_explicit_kernel():
+    """A word's folded decision against a sum over all its gapped subsequences."""
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(rng.normal(size=toxicity.CLASSES**3).astype(np.float32), 0.25, (0.0, 1.0, 0.0))
+    for word in ("a", "ab", "grumbel", "snàrvok", "x" * 40, "g.r.u.m"):
+        code, _ = toxicity.encode(word)
+        total = 0.0
+        for i in range(len(code)):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(code))):
+                for j in range(i + 1, k):
+                    total += toxicity.DECAY ** (k - i + 1) * float(m.weight[(code[i] * toxicity.CLASSES + code[j]) * toxicity.CLASSES + code[k]])
+        assert np.isclose(m.words(word)[0], total / float(toxicity.norm(len(code) - 2)) + 0.25, atol=1e-4)
+
+
 def test_long_words_are_measured_alike():
     """A word's decision doesn't drift with its length: the norm follows the sum."""
     weight = np.zeros(toxicity.CLASSES**3, np.float32)
