@@ -32,6 +32,8 @@ def align(a: list[str], b: list[str], key: Callable[[str], str]) -> list[tuple[s
     while i < min(n, m) and x[i] == y[i]:
         i += 1
     out = list(zip(a[:i], b[:i], strict=True))
+    if i == min(n, m):
+        return [*out, *[(u, "") for u in a[i:]], *[("", u) for u in b[i:]]]
     if (n - i) * (m - i) > CELLS:
         k = 0
         while k < min(n, m) - i and x[n - 1 - k] == y[m - 1 - k]:
