@@ -27,7 +27,9 @@ from .common import materialize
 CAPACITY = 1024
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 1024
-GROUP_BODIES = 20_000
+GROUP_BODIES = 10_000
+#: Groups of a task: about 64 MB of ids, whatever the number of documents.
+TASK_GROUPS = 4
 #: Entries of a worker's cache of encoded words.
 CACHE = 200_000
 SEPARATOR = 0
@@ -255,7 +257,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return made[[c.split()[0] for c in PACKED.split(", ")]].astype({"doc_id": "Int64"})
 
     dealt = bodies.drop("sequence_id").withColumn("bin", F.pmod(F.xxhash64("slot"), F.lit(groups)))
-    packed = dealt.groupBy("bin").applyInPandas(group_pack, PACKED)
+    packed = dealt.repartition(-(-groups // TASK_GROUPS), "bin").groupBy("bin").applyInPandas(group_pack, PACKED)
     alone = rows.where("sequence_id IS NOT NULL").drop("slot", "ids").withColumn("offset", F.lit(0).cast("long"))
     return alone.unionByName(packed)
 
