@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.sources.store import written
 
+from .order import placed
+
 #: Keys longer than this are blocked by three segments instead of deletions.
 LONG_KEY = 40
 
@@ -35,8 +37,12 @@ def similar_names(keys: DataFrame) -> DataFrame:
     base = written(keys.select("key").distinct().withColumn("s", T.strip_affixes(F.col("key"))).withColumn("n", F.length("s")))
     side = lambda p: base.select(*[F.col(c).alias(p + c) for c in base.columns])
     same = side("x").where("xn >= 3").join(side("y"), F.col("xs") == F.col("ys")).select("xkey", "ykey", "xs", "ys")
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("yn") - 3, F.lit(1))), lambda i: F.col("ys").substr(i, F.lit(4)))))
-    inside = side("x").where("xn >= 4").withColumn("gram", F.substring("xs", 1, 4)).join(side("y").withColumn("gram", grams), "gram")
+    # A string that holds another holds all of its four-grams: the shorter one is looked up under its rarest.
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 3, F.lit(1))), lambda i: F.col("s").substr(i, F.lit(4))))).alias("gram")
+    spelled = written(base.where("n >= 4").select("key", "s", "n", grams))
+    uses = spelled.groupBy("gram").agg(F.count("*").alias("uses"))
+    rarest = spelled.join(uses, "gram").groupBy("key", "s", "n").agg(F.min(F.struct("uses", "gram")).alias("r"))
+    inside = rarest.select(F.col("key").alias("xkey"), F.col("s").alias("xs"), F.col("n").alias("xn"), F.col("r.gram").alias("gram")).join(spelled.toDF("ykey", "ys", "yn", "gram"), "gram")
     inside = inside.where((F.col("xn") <= F.col("yn")) & (F.col("xn") >= 0.4 * F.col("yn")) & F.contains("ys", "xs")).select("xkey", "ykey", "xs", "ys")
     depth = lambda n: F.when(n >= 8, 2).when(n >= 5, 1).otherwise(0)
     short = F.col("n") <= LONG_KEY
@@ -79,9 +85,18 @@ def duplicate_groups(names: DataFrame) -> DataFrame:
     rows = keyed(names)
     roots = components(similar_names(rows))
     rooted = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    size = rooted.groupBy("root").agg(F.count("*").alias("size")).where("size >= 2")
-    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc_nulls_last("score"), "id"))
-    return rooted.join(size, "root").withColumn("tag", F.when(rank == 1, "BEST").otherwise("DUPLICATE")).select("id", "name", "score", "root", "size", "tag")
+    # The best one is the highest score, then the first id; no task sorts a whole group.
+    first = F.min(F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("low"), "id"))
+    groups = rooted.groupBy("root").agg(F.count("*").alias("size"), first.alias("best")).where("size >= 2")
+    tag = F.when(F.col("id") == F.col("best.id"), "BEST").otherwise("DUPLICATE")
+    return rooted.join(groups, "root").select("id", "name", "score", "root", "size", tag.alias("tag"))
+
+
+def in_groups(groups: DataFrame) -> DataFrame:
+    """root, id, place: the order of a duplicates view within each group, best score first, then the first id."""
+    ordered = placed(groups.select("root", "id", "score"), [F.col("root").asc(), F.coalesce("score", F.lit(-1.0)).desc(), F.col("id").asc()], "at")
+    starts = ordered.groupBy("root").agg(F.min("at").alias("start"))
+    return ordered.join(starts, "root").select("root", "id", (F.col("at") - F.col("start") + 1).alias("place"))
 
 
 def group_best(groups: DataFrame) -> DataFrame:

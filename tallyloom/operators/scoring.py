@@ -71,7 +71,7 @@ def score_corpus(requests: DataFrame, scorer: Scorer = rubric_scorer, land: Call
 
     A second failure stays a failure; ``recovered`` marks scores that only the second pass brought.
     """
-    asked = requests.where("request IS NOT NULL")
+    asked = land(requests.where("request IS NOT NULL").select("id", "request"))
     first = land(score_once(asked, scorer, 1, land))
     transient = F.col("error").isNotNull() & worth_retrying(F.col("status"), F.col("error"))
     retry = first.where(transient).select("id")
@@ -104,9 +104,11 @@ def register(query) -> None:
 
     def trial(s, p):
         fast = score_corpus(build_requests(B.cards(s, p), "fast"), land=written)
-        return prompt_trial(B.ledger(s, p).select("id", "score"), fast)[0]
+        return prompt_trial(B.ledger(s, p).select("id", "score"), fast)
 
-    query("prompt_trial", f"+ t AS ({scored.format(request_sql('fast'))}) SELECT l.id, l.score, t.overall AS draft, floor((t.overall - l.score) * 10 + 0.5) / 10.0 AS change FROM ledger l JOIN t ON t.id = l.id WHERE l.score IS NOT NULL AND t.overall IS NOT NULL", "cards", "ledger")(trial)
+    trial_sql = f"+ t AS ({scored.format(request_sql('fast'))}), each AS (SELECT l.id, l.score, t.overall AS draft, floor((t.overall - l.score) * 10 + 0.5) / 10.0 AS change FROM ledger l JOIN t ON t.id = l.id WHERE l.score IS NOT NULL AND t.overall IS NOT NULL) "
+    query("prompt_trial", trial_sql + "SELECT * FROM each", "cards", "ledger")(lambda s, p: trial(s, p)[0])
+    query("prompt_trial_mean", trial_sql + "SELECT count(*) AS cards, floor(avg(change) * 10 + 0.5) / 10.0 AS mean_change FROM each", "cards", "ledger")(lambda s, p: trial(s, p)[1])
     query("prompt_fingerprint", "SELECT DISTINCT source, substr(sha1(CASE WHEN length(source) = 4 THEN 'default' ELSE source END || chr(10) || chr(10) || 'json'), 1, 10) AS prompt FROM documents")(
         lambda s, p: B.table(s, p, "documents").select("source").distinct().select("source", prompt_hash(F.when(F.length("source") == 4, " ").otherwise(F.col("source")), "default", "json").alias("prompt"))
     )

@@ -359,7 +359,7 @@ def focused(s: SparkSession, d: str) -> DataFrame:
 
 
 query("duplicates_view", _GROUPS + "SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY coalesce(score, -1) DESC, id) AS place FROM groups2", "names")(
-    lambda s, d: dedupe.duplicate_groups(B.names(s, d)).withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.coalesce("score", F.lit(-1.0)).desc(), "id"))).select("root", "id", "place")
+    lambda s, d: dedupe.in_groups(dedupe.duplicate_groups(B.names(s, d)))
 )
 
 replies.register(query)
