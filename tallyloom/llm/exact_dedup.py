@@ -74,6 +74,10 @@ def ranked_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of ``df``."""
+    """The rows that stay, one of each group of equal texts, with the columns of ``df``: the largest id's, null texts as empty ones.
+
+    Of rows that repeat an id and text one stays; a null id stays only where no row of its group has an id. An empty table
+    gives an empty result.
+    """
     ranked = ranked_copies(df, id_col, text_col, carry=True)
     return ranked.where(F.col(ranked.columns[-2])).select(*df.columns)

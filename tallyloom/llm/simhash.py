@@ -177,7 +177,8 @@ def placed(df: DataFrame, text_col: str, words: int, radius: int, *carried: str)
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``df`` that stay: of each component those with its smallest id (rows with a null id stay where none has an id).
 
-    An id that recurs with other texts counts in each component by itself.
+    An id that recurs with other texts counts in each component by itself; rows that repeat an id and text stay or go together.
+    Null and empty texts are one component. An empty table gives an empty result.
     """
     row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     found = placed(df.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text")), "text", words, radius, "id", "row")
