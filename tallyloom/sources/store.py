@@ -25,15 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, stem: str = "tallyloom") -> str:
-    """A new place in the shared folder; what is there when the application ends is deleted."""
+    """A new folder in the shared one; it is deleted, with all that is in it, when the application ends."""
     path = f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
     java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(java)
+    files = java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(java)
+    files.deleteOnExit(java)  # only for what exists
     return path
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession)
+    path = f"{fresh_path(df.sparkSession)}/table"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
