@@ -110,8 +110,19 @@ def url_sql() -> str:
         SELECT page_id, host, path, CASE {case(1)} END AS rule, coalesce(CASE {case(0)} END, CASE WHEN mined THEN 'block' ELSE 'allow' END) AS verdict, mined FROM told"""
 
 
+#: op10 in SQL: every window of 50 words spelled out.
+REPEATS = r"""WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), sized AS (SELECT *, len(w) AS n FROM split),
+    starts AS (SELECT doc_id, w, unnest(range(1, n - 48)) AS j FROM sized WHERE n >= 50), spelled AS (SELECT doc_id, j, array_to_string(w[j:j + 49], ' ') AS k FROM starts),
+    firsts AS (SELECT k, min(doc_id) AS f FROM spelled GROUP BY k), gone AS (SELECT doc_id, j FROM spelled JOIN firsts USING (k) WHERE f < doc_id),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, n + 1)) AS j FROM sized),
+    cut AS (SELECT w.doc_id, w.word, w.j, max(CASE WHEN g.j IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS c FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.j = w.j),
+    told AS (SELECT doc_id, count(*) FILTER (c = 1) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (c = 0) AS kept FROM cut GROUP BY 1)
+    SELECT s.doc_id, s.n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM sized s LEFT JOIN told t ON t.doc_id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op10_substring_dedup": REPEATS,
         "op7_url_filters": url_sql(),
         "op2_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -77,7 +77,7 @@ def test_empty_tables(spark):
     assert url_filter.judged(spark.createDataFrame([], PAGES), spark.createDataFrame(farm(), LABELLED)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op7_url_filters", "op2_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
