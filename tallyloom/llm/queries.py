@@ -79,6 +79,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -120,8 +126,22 @@ REPEATS = r"""WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''
     SELECT s.doc_id, s.n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM sized s LEFT JOIN told t ON t.doc_id = s.doc_id"""
 
 
+#: op13 in SQL: the shingles that any two sets share, counted.
+LINKED = r"""WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM split WHERE len(w) > 0),
+    nodes AS (SELECT min(doc_id) AS node, s, len(s) AS n FROM sets GROUP BY s),
+    long AS (SELECT node, n, unnest(s) AS g FROM nodes),
+    links AS (SELECT a.node AS u, b.node AS v FROM long a JOIN long b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+    sym AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+    reach AS (SELECT node AS u, node AS v FROM nodes UNION SELECT r.u, s.v FROM reach r JOIN sym s ON s.u = r.v),
+    roots AS (SELECT u AS node, min(v) AS root FROM reach GROUP BY 1),
+    told AS (SELECT t.doc_id, len(t.s) AS n, r.root FROM sets t JOIN nodes d ON d.s = t.s JOIN roots r ON r.node = d.node)
+    SELECT d.doc_id, coalesce(t.n, 0) AS n_shingles, coalesce(t.root, d.doc_id) AS component_id, coalesce(t.root, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN told t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_minhash": LINKED,
         "op10_substring_dedup": REPEATS,
         "op7_url_filters": url_sql(),
         "op2_exact_dedup": """
