@@ -79,6 +79,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import index, search
+
+    return search(index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -126,6 +138,34 @@ REPEATS = r"""WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''
     SELECT s.doc_id, s.n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM sized s LEFT JOIN told t ON t.doc_id = s.doc_id"""
 
 
+#: op11 in SQL: the checksum byte by byte, and words that agree once a letter is left out of one or both.
+SPELLED = r"""WITH RECURSIVE crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab FROM range(256) t(i)),
+    runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2),
+    spelled AS (SELECT *, hex(doc_id || ':' || run) AS x FROM runs),
+    summed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda j: CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT))), lambda c, b: xor(tab[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS h FROM spelled, crc),
+    cut AS (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed),
+    words AS (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+    less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.d = b.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, {'m': -n, 'o': other}) AS other, max(n) AS most FROM near GROUP BY 1),
+    told AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN other END AS form, CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+    chain AS (SELECT word, word AS at FROM told UNION ALL SELECT c.word, t.form FROM chain c JOIN told t ON t.word = c.at WHERE t.form IS NOT NULL),
+    ends AS (SELECT c.word, c.at AS root FROM chain c JOIN told t ON t.word = c.at WHERE t.form IS NULL)
+    SELECT t.word, t.form, e.root, t.n, t.n_near, t.form_n FROM told t JOIN ends e ON e.word = t.word"""
+
+#: op12 in SQL: every document scored for every item.
+RANKED = r"""WITH cut AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    tfs AS (SELECT doc_id, term, count(*) AS tf FROM cut GROUP BY 1, 2),
+    sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY 1),
+    totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+    asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+    dfs AS (SELECT term, count(*) AS df FROM tfs WHERE term IN (SELECT term FROM asked) GROUP BY 1),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM dfs, totals),
+    impacts AS (SELECT t.doc_id, t.term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)) AS i FROM tfs t JOIN dfs USING (term) JOIN sizes s ON s.doc_id = t.doc_id, totals),
+    scores AS (SELECT item_id, doc_id, sum(times * w * i)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY 1, 2)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
 #: op13 in SQL: the shingles that any two sets share, counted.
 LINKED = r"""WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
     sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM split WHERE len(w) > 0),
@@ -141,6 +181,8 @@ LINKED = r"""WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translat
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_spelling_variants": SPELLED,
+        "op12_lexical_search": RANKED,
         "op13_minhash": LINKED,
         "op10_substring_dedup": REPEATS,
         "op7_url_filters": url_sql(),
