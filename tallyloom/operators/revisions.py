@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,107 +13,53 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as T
 from tallyloom.plans import bindings as B
 
+from .alignment import Likeness, common, pairing
+
 #: Sentences less alike than this are about different things.
 ALIKE = 0.2
-#: Largest table of an alignment. A pair of texts beyond it is one replacement, equal ends apart.
-CELLS = 25_000_000
+WORD = re.compile(r"(?:[^\W\d_]|\d|')+")
+
 
+def numbered(*sides: list[str]) -> list[np.ndarray]:
+    """Equal texts get equal numbers."""
+    number: dict[str, int] = {}
+    return [np.array([number.setdefault(u, len(number)) for u in side], np.int64) for side in sides]
 
-def align(a: list[str], b: list[str], key: Callable[[str], str]) -> list[tuple[str, str]]:
-    """Pairs (of ``a``, of ``b``) in order along a longest common subsequence by ``key``; one side is empty where it has no match.
 
-    Where both ways are as long, what ``a`` alone has comes first.
-    """
+def bags(*sides: list[str]) -> list[list[np.ndarray]]:
+    """The words of each unit as numbers."""
     number: dict[str, int] = {}
-    x, y = (np.array([number.setdefault(key(u), len(number)) for u in side], np.int64) for side in (a, b))
-    n, m = len(a), len(b)
-    i = 0
-    while i < min(n, m) and x[i] == y[i]:
-        i += 1
-    out = list(zip(a[:i], b[:i], strict=True))
-    if i == min(n, m):
-        return [*out, *[(u, "") for u in a[i:]], *[("", u) for u in b[i:]]]
-    if (n - i) * (m - i) > CELLS:
-        k = 0
-        while k < min(n, m) - i and x[n - 1 - k] == y[m - 1 - k]:
-            k += 1
-        return [*out, *[(u, "") for u in a[i : n - k]], *[("", u) for u in b[i : m - k]], *zip(a[n - k :], b[m - k :], strict=True)]
-    best = np.zeros((n - i + 1, m - i + 1), np.int32)
-    for r in range(n - i - 1, -1, -1):
-        same = np.where(y[i:] == x[i + r], best[r + 1, 1:] + 1, 0)
-        best[r, :-1] = np.maximum.accumulate(np.maximum(same, best[r + 1, :-1])[::-1])[::-1]
-    r = c = 0
-    while r < n - i and c < m - i:
-        if x[i + r] == y[i + c]:
-            out.append((a[i + r], b[i + c]))
-            r, c = r + 1, c + 1
-        elif best[r + 1, c] >= best[r, c + 1]:
-            out.append((a[i + r], ""))
-            r += 1
-        else:
-            out.append(("", b[i + c]))
-            c += 1
-    return [*out, *[(u, "") for u in a[i + r :]], *[("", u) for u in b[i + c :]]]
-
-
-def words(unit: str) -> Counter:
-    return Counter(re.findall(r"(?:[^\W\d_]|\d|')+", unit.lower()))
-
-
-def paired(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """Changed sentences in order, each beside the one that it became, by the pairing of the greatest likeness in all."""
-    n, m = len(old), len(new)
-    if n * m > CELLS // 100:
-        return [(u, "") for u in old] + [("", u) for u in new]
-    bags = [[(w, sum(w.values())) for w in map(words, side)] for side in (old, new)]
-    like = np.zeros((n, m))
-    for i, (a, size_a) in enumerate(bags[0]):
-        for j, (b, size_b) in enumerate(bags[1]):
-            if size_a and size_b:
-                like[i, j] = sum((a & b).values()) / max(size_a, size_b)
-    best = np.zeros((n + 1, m + 1))
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            pair = like[i, j] + best[i + 1, j + 1] if like[i, j] >= ALIKE else -1.0
-            best[i, j] = max(pair, best[i + 1, j], best[i, j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if like[i, j] >= ALIKE and best[i, j] == like[i, j] + best[i + 1, j + 1]:
-            out.append((old[i], new[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            out.append((old[i], ""))
-            i += 1
-        else:
-            out.append(("", new[j]))
-            j += 1
-    return [*out, *[(u, "") for u in old[i:]], *[("", u) for u in new[j:]]]
+    return [[np.array([number.setdefault(w, len(number)) for w in WORD.findall(u.lower())], np.int64) for u in side] for side in sides]
+
+
+def gaps(pairs: list[tuple[int, int]], n: int, m: int) -> Iterator[tuple[range, range, tuple[int, int] | None]]:
+    """What lies before each pair on both sides, and the pair; at last what lies after all."""
+    i = j = 0
+    for a, b in pairs:
+        yield range(i, a), range(j, b), (a, b)
+        i, j = a + 1, b + 1
+    yield range(i, n), range(j, m), None
 
 
 def unit_diff(before: list[str], after: list[str]) -> list[tuple[str, str, str]]:
-    """(kind, old, new) rows of two lists of units: keep, change, add or remove. Old joins to the one, new to the other."""
+    """(kind, old, new) rows of two lists of units: keep, change, add or remove. Old joins to the one, new to the other.
+
+    Units that are the same but for blanks at their ends are kept; neighbours among them make one row. Between them each changed unit
+    stands beside the one that it became, by the pairing in order of the greatest likeness in all.
+    """
     out: list[tuple[str, str, str]] = []
-    old: list[str] = []
-    new: list[str] = []
-
-    def flush() -> None:
-        for u, v in paired(old, new):
-            out.append(("change" if u and v else "remove" if u else "add", u, v))
-        old.clear()
-        new.clear()
-
-    for u, v in align(before, after, str.strip):
-        if u and v:
-            flush()
+    kept = common(*numbered([u.strip() for u in before], [u.strip() for u in after]))
+    for gone, come, pair in gaps(kept, len(before), len(after)):
+        old, new = [before[i] for i in gone], [after[j] for j in come]
+        became = pairing(Likeness(*bags(old, new)), len(old), len(new), ALIKE)
+        for left, right, both in gaps(became, len(old), len(new)):
+            out += [("remove", old[i], "") for i in left] + [("add", "", new[j]) for j in right]
+            out += [("change", old[both[0]], new[both[1]])] if both else []
+        if pair:
+            u, v = before[pair[0]], after[pair[1]]
             if out and out[-1][0] == "keep":
-                out[-1] = ("keep", out[-1][1] + u, out[-1][2] + v)
-            else:
-                out.append(("keep", u, v))
-        elif u:
-            old.append(u)
-        else:
-            new.append(v)
-    flush()
+                u, v = out[-1][1] + u, out.pop()[2] + v
+            out.append(("keep", u, v))
     return out
 
 
@@ -146,15 +91,11 @@ def word_diff(changes: DataFrame) -> DataFrame:
     A run of blanks is never marked.
     """
 
-    def marks(old: str, new: str) -> tuple[list[dict], list[dict]]:
-        left, right = [], []
-        for u, v in align(re.findall(r"\s+|\S+", old), re.findall(r"\s+|\S+", new), str):
-            same = bool(u and v)
-            if u:
-                left.append({"text": u, "changed": not same and not u.isspace()})
-            if v:
-                right.append({"text": v, "changed": not same and not v.isspace()})
-        return left, right
+    def marks(old: str, new: str) -> list[list[dict]]:
+        sides = [re.findall(r"\s+|\S+", t) for t in (old, new)]
+        kept = common(*numbered(*sides))
+        same = [{p[k] for p in kept} for k in (0, 1)]
+        return [[{"text": u, "changed": n not in same[k] and not u.isspace()} for n, u in enumerate(side)] for k, side in enumerate(sides)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

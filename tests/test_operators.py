@@ -174,27 +174,6 @@ def test_diff_rebuilds_both_sides(spark):
     assert not any("3." in (r.old, r.new) for r in diff.collect())
 
 
-def longest(a, b):
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    return best[0][0]
-
-
-@pytest.mark.parametrize("cells", [0, 25_000_000])
-def test_alignment(monkeypatch, cells):
-    """Sides come back in order; the common part is as long as can be where the table isn't bounded."""
-    monkeypatch.setattr(revisions, "CELLS", cells)
-    rng = random.Random(8)
-    for _ in range(200):
-        a, b = ([rng.choice("pqrs") for _ in range(rng.randint(0, 9))] for _ in range(2))
-        got = revisions.align(a, b, str)
-        assert [x for x, _ in got if x] == a and [y for _, y in got if y] == b
-        if cells:
-            assert sum(bool(x and y) for x, y in got) == longest(a, b)
-
-
 def test_changed_sentences_are_paired():
     old = ["The kite was red and long. ", "Nobody saw it. ", "It flew over the barn at noon. "]
     new = ["The kite was red. ", "It flew over the old barn. ", "Then came rain. "]
