@@ -107,6 +107,17 @@ def lineage(ledger: DataFrame) -> DataFrame:
     return ledger.where("improved_from IS NOT NULL").join(parent, F.col("improved_from") == F.col("parent"), "left").select("id", F.col("improved_from").alias("parent"), "score", "previous_score", "parent_score")
 
 
+def uplift(ledger: DataFrame) -> DataFrame:
+    """id, improved_from, previous_score, score, gain, direction of the cards that were edited after they had a score.
+
+    The gain is rounded to one decimal, halves up; direction is up, down or same, and unscored while the edited card has no score.
+    """
+    gain = half_up(F.col("score") - F.col("previous_score"))
+    direction = F.when(F.col("gain").isNull(), "unscored").when(F.col("gain") > 0, "up").when(F.col("gain") < 0, "down").otherwise("same")
+    rows = ledger.where("previous_score IS NOT NULL").withColumn("gain", gain)
+    return rows.select("id", "improved_from", "previous_score", "score", "gain", direction.alias("direction"))
+
+
 def cull(ledger: DataFrame, ids: DataFrame, trash: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """(ledger without ``ids``, trash with them): trash rows are trash_name, id, deleted_at.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import failures, text
 from tallyloom.operators import cards as C
-from tallyloom.operators import dedupe, edits, ideas, profile, replies, revisions, scoring, telemetry
+from tallyloom.operators import dedupe, edits, ideas, profile, ranks, replies, revisions, scoring, telemetry
 from tallyloom.operators import ledger as L
 from tallyloom.sources.store import written
 from tallyloom.streaming import jobs
@@ -218,6 +218,23 @@ query("lineage", _RETIRED + "SELECT c.id, c.improved_from AS parent, c.score, c.
 )
 
 
+def rescored(s: SparkSession, d: str) -> DataFrame:
+    """The ledger after edits, of which two of three have been scored again."""
+    number = F.regexp_extract("id", r"^doc-(\d+)", 1).cast("long")
+    again = F.col("edited_at").isNotNull() & (number % 9 != 0)
+    return L.retire_on_edit(B.ledger(s, d), edited(s, d)).withColumn("score", F.when(again, (10 + (number * 53) % 91) / 10.0).otherwise(F.col("score")))
+
+
+query("uplift", _RETIRED + """, again AS (SELECT id, improved_from, previous_score, CASE WHEN edited_at IS NOT NULL AND k % 9 <> 0 THEN (10 + (k * 53) % 91) / 10.0::DOUBLE ELSE score END AS score FROM (SELECT *, CAST(regexp_extract(id, '^doc-([0-9]+)', 1) AS BIGINT) AS k FROM retired)),
+    gained AS (SELECT *, floor((score - previous_score) * 10 + 0.5) / 10.0 AS gain FROM again WHERE previous_score IS NOT NULL)
+    SELECT *, CASE WHEN gain IS NULL THEN 'unscored' WHEN gain > 0 THEN 'up' WHEN gain < 0 THEN 'down' ELSE 'same' END AS direction FROM gained""", "cards", "ledger")(lambda s, d: L.uplift(rescored(s, d)))
+for _first in (400, None):
+    query(f"representative_sample{'' if _first else '_all'}", f"""+ sized AS (SELECT id, {TOKENS} AS tokens FROM cards ORDER BY id {f'LIMIT {_first}' if _first else ''}), ranked AS (SELECT *, row_number() OVER (ORDER BY tokens, id) - 1 AS r, count(*) OVER () AS n FROM sized)
+        SELECT 'smallest' AS pick, id, tokens FROM ranked WHERE r = 0 UNION ALL SELECT 'median', id, tokens FROM ranked WHERE r = n // 2 UNION ALL SELECT 'largest', id, tokens FROM ranked WHERE r = n - 1""", "cards")(
+        lambda s, d, n=_first: ranks.representative_sample(hashed(s, d), n)
+    )
+
+
 def trash(s: SparkSession, d: str) -> DataFrame:
     """What lies in the trash already: every second card, deleted earlier."""
     return B.cards(s, d).where("doc_id % 2 = 0").select(F.col("id").alias("trash_name"), "id", F.lit("2024-03-01 00:00:00").cast("timestamp").alias("deleted_at"))
