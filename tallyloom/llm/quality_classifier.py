@@ -87,7 +87,9 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     base = materialize(counts_with_key(keyed).select("id", "host", "path", "n_words", *[F.expr(e).alias(c) for c, e in FEATURES.items()]))
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("label"))
     known = known.orderBy(F.xxhash64("id")).limit(MAX_LABELLED)
-    w = fit([tuple(r) for r in base.join(F.broadcast(known), "id").select(*FEATURES, "label").collect()])
+    # One row an id, however often rows repeat it: what is collected is bounded by MAX_LABELLED.
+    learned = base.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct(*FEATURES, "label")).alias("r"))
+    w = fit([tuple(r) for r in learned.orderBy("id").select("r.*").collect()])
     line = F.lit(float(w[0]))
     for c, x in zip(FEATURES, w[1:].tolist(), strict=True):
         line = line + F.col(c) * x

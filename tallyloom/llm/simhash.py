@@ -3,7 +3,7 @@
 Fingerprints are 64-bit majorities over the XXH64 values of word shingles. Two of them link when they differ
 in at most ``radius`` bits. To find every link:
 
-- copies of a fingerprint are one node, its smallest document;
+- copies of a fingerprint are one node; a component's smallest document is looked up at the end;
 - fingerprints that differ in at most r bits agree in at least one of r + 1 bit ranges, so each is listed
   under its value in each range (a bucket). This loses no link and keeps comparisons near-linear;
 - a bucket is cut into tiles of about ``TILE`` fingerprints, by population count where it holds more than one
@@ -168,10 +168,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def placed(df: DataFrame, text_col: str, words: int, radius: int, *carried: str) -> DataFrame:
     """``carried`` columns (id among them), fp and component_id of each row of ``df``."""
     prints = materialize(fingerprints(df, text_col, words, *carried))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
-    roots = components(links(nodes.where("node IS NOT NULL"), radius))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "fp")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("id")))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), radius)).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return prints.join(materialize(rooted.join(lowest, "root").select("fp", "component_id")), "fp")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import free_name, materialize, sized_broadcast
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -293,10 +293,20 @@ def removed_mask(n: int, ranges: list) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def one_each(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc, row, text) with one row for each doc and row, however often they repeat; texts are shuffled only where they do."""
+    repeated = docs.groupBy("doc", "row").agg(F.count("*").alias("n")).where("n > 1").select("doc", "row")
+    keys, _ = sized_broadcast(materialize(repeated), BROADCAST_LONGS // 4)
+    if keys.isEmpty():
+        return docs
+    some = docs.join(keys, ["doc", "row"], "left_semi").dropDuplicates(["doc", "row"])
+    return materialize(docs.join(keys, ["doc", "row"], "left_anti").unionAll(some))
+
+
 def with_ranges(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> tuple[DataFrame, str]:
     """``df`` and a column of the word ranges to remove (null: none)."""
     docs = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    ranges = removed_ranges(docs, window, seed).withColumn("ranges", F.transform("ranges", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))))
+    ranges = removed_ranges(one_each(docs), window, seed).withColumn("ranges", F.transform("ranges", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))))
     ranges = small_enough(ranges, "ranges")
     mine, row, name = (free_name(df.columns, c) for c in ("doc", "row", "ranges"))
     same = (F.col(id_col) == F.col(mine)) & (F.xxhash64(text_col) == F.col(row))

@@ -5,9 +5,10 @@ Kernel: two words are as alike as the three-character subsequences they share, e
 word's length. An insult with an inserted or changed character keeps most of its subsequences. Words carry
 end marks; runs of single characters ("i d i o t") are read as one word.
 
-Learning (driver, on a bounded sample of labelled rows): sentences of clean documents hold clean words only;
-a sentence of a toxic document is as toxic as its worst word, which is what multiple-instance learning
-calls a witness. Witnesses start as words that clean documents don't use. Landmarks are picked from
+Learning (driver, on a bounded sample of labelled rows): labels mark documents, not sentences, and one insult in one sentence
+makes a document toxic. So every sentence of a clean document is a clean one, and of a toxic document's sentences at least one is
+toxic, as toxic as its worst word, which multiple-instance learning calls a witness. Sentences need not be cut apart for that: a
+document's bag is the union of its sentences' words, and the kernel compares words only. Witnesses start as words that clean documents don't use. Landmarks are picked from
 witnesses and from the clean words nearest to them; the Nyström map sends a word to its kernel values against
 the landmarks, whitened; a linear SVM (squared hinge) separates witnesses from clean words, and witnesses
 are picked again with it.
@@ -20,6 +21,7 @@ is a sum over ten shifted look-ups: cost is linear in the text and memory is bou
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, materialize
 
-#: Bounds of the sample of labelled rows, by class.
+#: Bounds of the sample of labelled rows, by class, and of the characters of their texts in all.
 MAX_TOXIC = 800
 MAX_CLEAN = 3000
+MAX_CHARACTERS = 64_000_000
 #: Words of so many characters and more are scored but not learned from: their subsequences are those of half the alphabet.
 LONGEST_LEARNED = 64
 DECAY = 0.7
@@ -43,7 +46,7 @@ MARK = 63
 THRESHOLD = 0.3
 #: Score of every text where the labels teach nothing: below THRESHOLD, so that nothing is called toxic without evidence.
 UNKNOWN = 0.05
-#: Characters scored at a time; slices end at the end of a word where a word is shorter than this.
+#: Characters scored at a time. A slice ends where a word ends, outside runs of single characters, and is longer if it has to be.
 SLICE = 1 << 18
 #: (distance to the second, distance to the third) character of a subsequence.
 SHAPES = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
@@ -70,7 +73,7 @@ def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(points):
         return np.empty(0, np.int32), np.empty(0, np.int64)
     code = np.where(points < 0x250, TABLE[np.minimum(points, 0x24F)], 37 + points % 26).astype(np.int32)
-    blank = SPACE[np.minimum(points, 0x10F)] & (points < 0x110)
+    blank = blanks(points)
     # A blank between two single characters is taken out: "i d i o t" is one word.
     around = np.concatenate([[True], blank, [True]])
     single = ~blank & around[:-2] & around[2:]
@@ -85,6 +88,34 @@ def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
     return code, np.flatnonzero(code == MARK)[:-1]
 
 
+def blanks(points: np.ndarray) -> np.ndarray:
+    return SPACE[np.minimum(points, 0x10F)] & (points < 0x110)
+
+
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut where ``encode`` reads the same on either side: at blanks between words.
+
+    A blank between two single characters joins them, so that no cut is made there. A word, or a run of single characters, that is
+    longer than a part stays whole.
+    """
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text):
+            # Two characters on either side tell whether a blank joins single characters.
+            near = blanks(np.frombuffer(text[max(at - 2, 0) : end + 2].encode("utf-32-le", "replace"), np.uint32))
+            blank = np.concatenate([[True, True], near, [True, True]])
+            single = ~blank[1:-1] & blank[:-2] & blank[2:]
+            cuts = np.flatnonzero(near & ~(single[:-2] & single[2:])) + max(at - 2, 0)
+            cuts = cuts[(cuts > at) & (cuts <= end)]
+            if len(cuts):
+                end = int(cuts[-1])
+                break
+            end += size
+        yield text[at:end]
+        at = end
+
+
 def norm(sizes: np.ndarray) -> np.ndarray:
     """Norm of words of so many characters (and two marks), whatever their length."""
     n = np.asarray(sizes, np.float64) + 2
@@ -128,17 +159,11 @@ class Machine:
     def words(self, text: str) -> np.ndarray:
         """Decision of every word of a text (positive: toxic)."""
         out = []
-        at = 0
-        while at < len(text):
-            end = at + SLICE
-            if end < len(text):
-                cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-                end = cut if cut > at else end
-            code, starts = encode(text[at:end])
+        for part in slices(text):
+            code, starts = encode(part)
             if len(starts):
                 size = np.diff(np.append(starts, len(code) - 1)) - 1
                 out.append(word_sums(code, self.weight) / norms_of(size) + self.bias)
-            at = end
         return np.concatenate(out) if out else np.empty(0, np.float32)
 
     def features(self, text: str) -> tuple[float, float]:
@@ -352,12 +377,17 @@ def spread(words: list[str], n: int) -> list[str]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[bool], float]:
-    """Toxic share of all labelled rows outside the held-out part; texts and labels of at most MAX_TOXIC and MAX_CLEAN of them, lowest hash first."""
+    """Toxic share of all labelled rows outside the held-out part; texts and labels of at most MAX_TOXIC and MAX_CLEAN of them, lowest hash first, as long as they have MAX_CHARACTERS in all."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64(F.col(id_col))
     picked = known.where("toxic = 1").orderBy(rank).limit(MAX_TOXIC).unionAll(known.where("toxic = 0").orderBy(rank).limit(MAX_CLEAN))
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).where(F.col(text_col).isNotNull()).orderBy(id_col)
-    found = rows.select(F.col(text_col).alias("text"), F.col("toxic").alias("toxic")).toPandas()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id").where("text IS NOT NULL")
+    # Of rows that repeat an id one text is learned from.
+    one = materialize(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    sizes = one.select("id", F.length("text").alias("n"), F.xxhash64("id").alias("rank")).orderBy("rank", "id").collect()
+    taken = [r.id for r, total in zip(sizes, itertools.accumulate(r.n for r in sizes), strict=True) if total <= MAX_CHARACTERS]
+    kept = one if len(taken) == len(sizes) else one.where(F.col("id").isin(taken))
+    found = kept.orderBy("id").select("text", "toxic").toPandas()
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     return found["text"].tolist(), (found["toxic"] == 1).tolist(), share
 
@@ -387,7 +417,9 @@ def score_column(machine: Machine, text: Column, spark) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, held_out, score, predicted (1 if the score is at least THRESHOLD).
 
-    Where no labelled row joins, or the rows that do are of one class, every score is UNKNOWN and no document is predicted toxic.
+    Where no labelled row joins, or the rows that do are of one class, every score is UNKNOWN and no document is predicted toxic. A
+    null text scores like an empty one, as a text without words. A row with a null id is scored, not learned from and not held out; rows
+    that repeat an id are scored singly, and one of their texts at most is learned from. An empty table gives an empty result.
     """
     machine = fit(docs, labels, id_col, text_col)
     score = score_column(machine, F.col(text_col), docs.sparkSession)
