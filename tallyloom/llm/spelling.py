@@ -53,7 +53,7 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         found: Counter = Counter()
 
         def told() -> pd.DataFrame:
-            out = pd.DataFrame({"word": list(found), "n": list(found.values())}).astype({"n": "int64"})
+            out = pd.DataFrame({"word": pd.Series(list(found), dtype=object), "n": pd.Series(list(found.values()), dtype="int64")})
             found.clear()
             return out
 
@@ -133,8 +133,10 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def grown(words: list[tuple], level: int) -> dict:
-    """The trie of (word, n, vec) below ``level``: dicts by count, lists of (word, n) at the leaves."""
+def grown(words: list[tuple], level: int) -> dict | list:
+    """The trie of (word, n, vec) below ``level``: dicts by count, lists of (word, n) at the leaves; at the last level just a leaf."""
+    if level == GROUPS:
+        return [(word, n) for word, n, _ in words]
     root: dict = {}
     for word, n, vec in words:
         node = root

@@ -27,13 +27,13 @@ def test_null_ids_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda df, text_col, words, *carried: df.select(*carried, *[spark_case(text_col, texts)]))
     found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: v for (i, k), v in found.items() if v == 5} == {f"{texts[x]:016x}": 5 for x in "abc"}
-    assert found[None, f"{texts['far']:016x}"] is None and found[None, f"{texts['far2']:016x}"] is None and found[3, f"{1 << 60:016x}"] == 3
+    assert found[None, f"{texts['far']:016x}"] is None and found[None, f"{texts['far2']:016x}"] is None and found[3, "5" * 16] == 3
 
 
 def spark_case(text_col, texts):
     from pyspark.sql import functions as F
 
-    out = F.lit(1 << 60)
+    out = F.lit(0x5555555555555555)
     for name, value in texts.items():
         out = F.when(F.col(text_col) == name, F.lit(value)).otherwise(out)
     return out.cast("long").alias("fp")
@@ -56,6 +56,8 @@ def test_slices_change_nothing(size):
             out = []
             for p in parts:
                 code, starts = toxicity.encode(p)
+                if not len(starts):
+                    continue
                 ends = [*starts[1:].tolist(), len(code) - 1]
                 out += [tuple(code[a:b].tolist()) for a, b in zip(starts.tolist(), ends, strict=True) if b > a + 1]
             return out
