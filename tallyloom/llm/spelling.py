@@ -3,11 +3,13 @@
 A word's vector holds how many of its letters fall into each of ``GROUPS`` letter groups. Arranged by one count after another, the words
 are the leaves of a trie. One inserted letter adds one to one count, a deleted one takes one away, a replaced one does both or neither.
 So a search descends with a budget of one surplus and one deficit, and follows at each node the child of its own count, that of
-one more while it has the surplus, that of one fewer while it has the deficit. Words at the leaves it reaches are verified exactly.
+one more while it has the surplus, that of one fewer while it has the deficit. Two words find each other from one side only: the
+one whose first differing count is smaller searches, so that the surplus is spent before the deficit. Words at the leaves that a search
+reaches are verified exactly.
 
 The upper part of the trie is a Spark table: nodes of more than ``CELL`` words are split by the next count, so that cells hold a bounded
 number of words each; words are routed down it, level by level, by joins. The lower part of each cell is a trie in a task, searched
-depth-first. Words with equal vectors that are more than a cell are cut into slices, and so are the words that search in a cell.
+depth-first by all words that come there, as one array. Words with equal vectors that are more than a cell are cut into slices, and so are the words that search in a cell.
 """
 
 from __future__ import annotations
@@ -35,7 +37,11 @@ GROUPS = 16
 #: The level at which the trie is first looked at for splitting.
 START = 4
 #: Most words of a cell, and of a batch that searches in one.
-CELL = 2000
+CELL = 16_000
+#: Words times searching words at a node that are compared at once, count by count, instead of descending further.
+AT_ONCE = 50_000
+#: Longest words that are verified as rows of a table of letters; longer ones singly.
+WIDTH = 48
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
 
@@ -46,6 +52,14 @@ def damaged(doc_id: str, run: str) -> str:
     return run if h % DAMAGE else run[: h % len(run)] + run[h % len(run) + 1 :]
 
 
+def vectors(words: list[str]) -> np.ndarray:
+    """One row a word: how many of its letters fall into each group. All letters are below 0x100, one byte each."""
+    letters = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    counts = np.bincount(row * GROUPS + letters % GROUPS, minlength=GROUPS * len(words))
+    return np.minimum(counts, 0x7FFF).astype(np.int16).reshape(-1, GROUPS)
+
+
 def vocabulary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """word, n, vec: the words of all texts that are long and common enough; written."""
 
@@ -67,9 +81,9 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     yield told()
         yield told()
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<smallint>")
     def vec(words: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.frombuffer(w.encode("utf-32-le"), "<u4") % GROUPS, minlength=GROUPS) for w in words], dtype=object)
+        return pd.Series(list(vectors(words.tolist())), dtype=object)
 
     rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     words = rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COUNT)
@@ -91,22 +105,21 @@ def trie(words: DataFrame) -> DataFrame:
 
 
 def descended(at: DataFrame, level: int) -> DataFrame:
-    """``at`` (vec, prefix, surplus, deficit and more), each row once for each child that its budget reaches."""
+    """``at`` (word, n, vec, prefix, spent), each row once for each child that its budget reaches; spent: 0 nothing, 1 the surplus, 2 both."""
     own = F.col("vec")[level]
+    way = lambda count, spent: F.struct(count.cast("smallint").alias("count"), spent.cast("tinyint").alias("spent"))
     ways = F.array(
-        F.struct(own.alias("count"), F.lit(0).alias("s"), F.lit(0).alias("d")),
-        F.when(F.col("surplus") > 0, F.struct((own + 1).alias("count"), F.lit(1).alias("s"), F.lit(0).alias("d"))),
-        F.when((F.col("deficit") > 0) & (own > 0), F.struct((own - 1).alias("count"), F.lit(0).alias("s"), F.lit(1).alias("d"))),
-    )
-    stepped = at.select("*", F.explode(F.array_compact(ways)).alias("way"))
-    return stepped.select(
-        "word", "vec", F.concat("prefix", F.array("way.count")).alias("prefix"), (F.col("surplus") - F.col("way.s")).alias("surplus"), (F.col("deficit") - F.col("way.d")).alias("deficit")
+        way(own, F.col("spent")),
+        F.when(F.col("spent") == 0, way(own + 1, F.lit(1))),
+        F.when((F.col("spent") == 1) & (own > 0), way(own - 1, F.lit(2))),
     )
+    stepped = at.select("word", "n", "vec", "prefix", F.explode(F.array_compact(ways)).alias("way"))
+    return stepped.select("word", "n", "vec", F.concat("prefix", F.array("way.count")).alias("prefix"), "way.spent")
 
 
 def routed(words: DataFrame, nodes: DataFrame) -> DataFrame:
-    """cell, word, vec, surplus, deficit: every cell that a word's budget reaches, and what is left of the budget there."""
-    at = words.select("word", "vec", F.array().cast("array<int>").alias("prefix"), F.lit(1).alias("surplus"), F.lit(1).alias("deficit"))
+    """cell, word, n, spent: every cell that a word's budget reaches, and what of the budget is spent there."""
+    at = words.select("word", "n", "vec", F.array().cast("array<smallint>").alias("prefix"), F.lit(0).cast("tinyint").alias("spent"))
     for level in range(START - 1):
         at = descended(at, level)
     found = None
@@ -115,7 +128,7 @@ def routed(words: DataFrame, nodes: DataFrame) -> DataFrame:
         met = descended(at, level).join(nodes.where(F.size("prefix") == level + 1).select("prefix", "cell"), "prefix")
         if level + 1 < deepest:
             met = materialize(met)
-        here = met.where("cell").select(F.col("prefix").alias("cell"), "word", "vec", "surplus", "deficit")
+        here = met.where("cell").select(F.col("prefix").alias("cell"), "word", "n", "spent")
         found = here if found is None else found.unionAll(here)
         at = met.where(~F.col("cell")).drop("cell")
     return materialize(found)
@@ -133,31 +146,87 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def grown(words: list[tuple], level: int) -> dict | list:
-    """The trie of (word, n, vec) below ``level``: dicts by count, lists of (word, n) at the leaves; at the last level just a leaf."""
-    if level == GROUPS:
-        return [(word, n) for word, n, _ in words]
-    root: dict = {}
-    for word, n, vec in words:
-        node = root
-        for c in vec[level:-1]:
-            node = node.setdefault(c, {})
-        node.setdefault(vec[-1], []).append((word, n))
-    return root
-
-
-def reached(node: dict | list, vec: list[int], level: int, surplus: int, deficit: int) -> Iterator[tuple]:
-    """The words at the leaves that the budget reaches, depth-first."""
-    if level == len(vec):
-        yield from node
-        return
-    own = vec[level]
-    if own in node:
-        yield from reached(node[own], vec, level + 1, surplus, deficit)
-    if surplus and own + 1 in node:
-        yield from reached(node[own + 1], vec, level + 1, 0, deficit)
-    if deficit and own - 1 in node:
-        yield from reached(node[own - 1], vec, level + 1, surplus, 0)
+class Letters:
+    """Words as rows of letters, to verify many pairs at once."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.sizes = words, np.array([len(w) for w in words], np.int64)
+        # One blank column at the end at least, so that a word ends before its row does.
+        self.rows = np.array([w.encode("latin-1")[:WIDTH] for w in words], f"S{WIDTH + 2}").view(np.uint8).reshape(len(words), -1)
+
+
+def verified(a: Letters, i: np.ndarray, b: Letters, j: np.ndarray) -> np.ndarray:
+    """Which pairs (word ``i`` of a, word ``j`` of b) are one edit apart."""
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), 20_000):
+        m, n = i[s : s + 20_000], j[s : s + 20_000]
+        more = a.sizes[m] - b.sizes[n]
+        x, y = a.rows[m], b.rows[n]
+        differ = x != y
+        yes = (more == 0) & (differ.sum(axis=1) == 1)
+        for sign, longer, shorter in ((1, x, y), (-1, y, x)):
+            at = np.flatnonzero(more == sign)
+            if len(at):
+                # After the first letter that differs the longer word goes on as the shorter one does.
+                first = differ[at].argmax(axis=1)
+                follows = longer[at][:, 1:] == shorter[at][:, :-1]
+                yes[at] = (follows | (np.arange(follows.shape[1]) < first[:, None])).all(axis=1)
+        out[s : s + 20_000] = yes
+    for k in np.flatnonzero(np.maximum(a.sizes[i], b.sizes[j]) > WIDTH).tolist():
+        out[k] = one_edit(a.words[i[k]], b.words[j[k]])
+    return out
+
+
+def reached(held: np.ndarray, asking: np.ndarray, spent: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asking, held, same) of the words at the leaves that each searching word's budget reaches; same: nothing of it was spent.
+
+    ``held`` and ``asking`` are vectors; ``spent`` is what was spent above ``level``. Sorted by their counts, the words below a node are
+    neighbours: a node is a range of them. Where few are left, the rest of their counts is compared at once.
+    """
+    order = np.lexsort(held.T[::-1])
+    held = held[order]
+    found: list[tuple] = []
+    stack = [(0, len(held), level, np.arange(len(asking)), spent)]
+    while stack:
+        low, high, depth, who, used = stack.pop()
+        rest = GROUPS - depth
+        if rest and (high - low) * len(who) > AT_ONCE and high - low > 8:
+            column, own = held[low:high, depth], asking[who, depth]
+            values, starts = np.unique(column, return_index=True)
+            for c, a, b in zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), high - low], strict=True):
+                more, fewer = (own == c - 1) & (used == 0), (own == c + 1) & (used == 1)
+                go = np.flatnonzero((own == c) | more | fewer)
+                if len(go):
+                    stack.append((low + a, low + b, depth + 1, who[go], used[go] + more[go] + fewer[go]))
+            continue
+        step = max(1, 4 * AT_ONCE // (high - low))
+        for s in range(0, len(who), step):
+            q, u = who[s : s + step], used[s : s + step]
+            apart = held[None, low:high, depth:] - asking[q][:, None, depth:]
+            up, down = apart == 1, apart == -1
+            ups, downs = up.sum(axis=2), down.sum(axis=2)
+            ok = (ups + downs == (apart != 0).sum(axis=2)) & (ups <= (u == 0)[:, None]) & (downs <= (u < 2)[:, None]) & (downs <= ups + (u > 0)[:, None])
+            if rest:
+                ok &= (downs == 0) | (ups == 0) | (up.argmax(axis=2) < down.argmax(axis=2))
+            x, y = np.nonzero(ok)
+            found.append((q[x], order[low + y], (u[x] == 0) & (ups[x, y] + downs[x, y] == 0)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2 + (np.empty(0, bool),)
+
+
+def near_in(cell: list[int], asking: list[str], asking_n: np.ndarray, spent: np.ndarray, held: list[str], held_n: np.ndarray) -> dict[str, tuple]:
+    """word -> (number of words one edit apart, smallest of minus n and word) of what a cell's words and those that search in it find."""
+    q, w, same = reached(vectors(held), vectors(asking), spent, len(cell))
+    # Words with equal vectors search for each other: one side is enough.
+    once = ~same | (np.array(asking, object)[q] < np.array(held, object)[w]) if len(q) else same
+    q, w = q[once], w[once]
+    yes = verified(Letters(asking), q, Letters(held), w)
+    found: dict[str, tuple] = {}
+    for a, b in zip(q[yes].tolist(), w[yes].tolist(), strict=True):
+        x, y, n, m = asking[a], held[b], int(asking_n[a]), int(held_n[b])
+        for word, minus, other in ((x, -m, y), (y, -n, x)):
+            k, *best = found.get(word, (0, 0, ""))
+            found[word] = (k + 1, *(min((minus, other), tuple(best)) if k else (minus, other)))
+    return found
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -165,31 +234,23 @@ def neighbours(words: DataFrame) -> DataFrame:
     nodes = trie(words)
     asked = routed(words, nodes)
     cut = lambda rows, key, name: rows.groupBy(key).agg(F.ceil(F.count("*") / CELL).alias(name))
-    placed = None
+    placed = words.select(F.array().cast("array<smallint>").alias("cell"), "word", "n").where(F.lit(False))
     for level in [r[0] for r in nodes.where("cell").select(F.size("prefix")).distinct().collect()]:
-        here = words.select(F.slice("vec", 1, level).alias("cell"), "word", "n", "vec").join(nodes.where(F.col("cell") & (F.size("prefix") == level)).select(F.col("prefix").alias("cell")), "cell")
-        placed = here if placed is None else placed.unionAll(here)
-    if placed is None:
-        placed = words.select("vec", "word", "n").select(F.col("vec").alias("cell"), "word", "n", "vec")
+        at = nodes.where(F.col("cell") & (F.size("prefix") == level)).select(F.col("prefix").alias("cell"))
+        placed = placed.unionAll(words.select(F.slice("vec", 1, level).alias("cell"), "word", "n").join(at, "cell"))
     placed = materialize(placed)
-    held = placed.join(cut(placed, "cell", "parts"), "cell").groupBy("cell", F.pmod(F.xxhash64("word"), "parts").alias("part"))
-    held = held.agg(F.collect_list(F.struct("word", "n", "vec")).alias("held"))
-    asking = asked.join(cut(asked, "cell", "parts"), "cell").groupBy("cell", F.pmod(F.xxhash64("word"), "parts").alias("part"))
-    asking = asking.agg(F.collect_list(F.struct("word", "vec", "surplus", "deficit")).alias("asking"))
-    tasks = asking.select("cell", "asking").join(held.select("cell", "held"), "cell")
+    parts = lambda rows: rows.join(materialize(cut(rows, "cell", "parts")), "cell").groupBy("cell", F.pmod(F.xxhash64("word"), "parts").alias("part"))
+    held = parts(placed).agg(F.collect_list(F.struct("word", "n")).alias("held"))
+    asking = parts(asked).agg(F.collect_list(F.struct("word", "n", "spent")).alias("asking"))
+    tasks = asking.join(held.withColumnRenamed("part", "held_part"), "cell")
+    tasks = tasks.select("cell", "asking.word", "asking.n", "asking.spent", F.col("held.word").alias("held"), F.col("held.n").alias("held_n"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for cell, asking, held in zip(b["cell"], b["asking"], b["held"], strict=True):
-                level = len(cell)
-                root = grown([(x["word"], x["n"], [*map(int, x["vec"])]) for x in held], level)
-                for x in asking:
-                    word, vec = x["word"], [*map(int, x["vec"])]
-                    near = [(-n, w) for w, n in reached(root, vec, level, x["surplus"], x["deficit"]) if one_edit(word, w)]
-                    if near:
-                        # Code-point order is what Python compares strings by.
-                        out.append((word, len(near), *min(near)))
+            for cell, word, n, spent, held, held_n in zip(*[b[c] for c in b.columns], strict=True):
+                found = near_in(cell, list(word), np.asarray(n), np.asarray(spent, np.int8), list(held), np.asarray(held_n))
+                out += [(w, *x) for w, x in found.items()]
             yield pd.DataFrame(out, columns=["word", "n_near", "minus", "near"]).astype({"n_near": "int64", "minus": "int64"})
 
     found = tasks.mapInPandas(search, "word string, n_near long, minus long, near string")

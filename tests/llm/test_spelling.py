@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tallyloom.llm import spelling
@@ -69,11 +70,12 @@ def got(df):
     return sorted(tuple(r) for r in spelling.variants(df).select("word", "form", "root", "n", "n_near", "form_n").collect())
 
 
-@pytest.mark.parametrize(("cell", "counted"), [(2000, 200_000), (5, 50)])
-def test_against_all_pairs(spark, monkeypatch, cell, counted):
+@pytest.mark.parametrize(("cell", "counted", "at_once"), [(16_000, 200_000, 50_000), (40, 5_000, 4), (5, 50, 50_000)])
+def test_against_all_pairs(spark, monkeypatch, cell, counted, at_once):
     """Also with small cells, where the trie is split to its last level and equal vectors are cut into slices."""
     monkeypatch.setattr(spelling, "CELL", cell)
     monkeypatch.setattr(spelling, "COUNTED", counted)
+    monkeypatch.setattr(spelling, "AT_ONCE", at_once)
     rows = some_rows()
     assert got(frame(spark, rows)) == plain(rows)
 
@@ -84,6 +86,22 @@ def test_edits():
     assert spelling.one_edit("bcdef", "abcdef") and spelling.one_edit("abcdef", "abcde") and spelling.one_edit("aaaa", "aaa")
 
 
+@pytest.mark.parametrize("at_once", [1, 30, 50_000])
+def test_a_cell_against_all_pairs(monkeypatch, at_once):
+    """Every pair is found once, from either side, whatever is compared at once; words longer than a row too."""
+    monkeypatch.setattr(spelling, "AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    words = sorted({"".join(rng.choice("abcqé") for _ in range(rng.randint(4, 7))) for _ in range(300)} | {"a" * k for k in (46, 47, 48, 49, 50, 80, 81)} | {"a" * 47 + "b", "a" * 48 + "b", "b" + "a" * 80})
+    n = np.arange(len(words)) % 17 + 5
+    found = spelling.near_in([], words, n, np.zeros(len(words), np.int8), words, n)
+    want = {}
+    for a in words:
+        near = sorted((-int(n[k]), b) for k, b in enumerate(words) if spelling.one_edit(a, b))
+        if near:
+            want[a] = (len(near), *near[0])
+    assert found == want
+
+
 def test_chains_end(spark):
     forms = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(20)] + [("x", "w3")], "word string, form string")
     assert {r.word: r.root for r in spelling.followed(forms).collect()} == {**{f"w{k}": "w20" for k in range(20)}, "x": "w20"}
