@@ -36,6 +36,8 @@ def definitions() -> dict[str, str]:
     weights = "map(" + ", ".join(f"'{f}', {WEIGHTS[f]}D" for f in FIELDS) + ")"
     present = f"filter(transform(array({', '.join(repr(f) for f in FIELDS)}), f -> named_struct('s', CAST(scores[f] AS DOUBLE), 'w', {weights}[f])), x -> x.s IS NOT NULL)"
     total = lambda e: f"aggregate({present}, 0.0D, (a, x) -> a + {e})"
+    weighed = f"filter(transform(array({', '.join(repr(f) for f in FIELDS)}), f -> named_struct('s', CAST(scores[f] AS DOUBLE), 'w', coalesce(CAST(weights[f] AS DOUBLE), 0.0D))), x -> x.s IS NOT NULL)"
+    summed = lambda e: f"aggregate({weighed}, 0.0D, (a, x) -> a + {e})"
     rounded = lambda x: f"floor({x} * 10 + 0.5D) / 10.0D"
     return {
         "token_estimate(t STRING) RETURNS BIGINT": "ceil(length(coalesce(t, '')) / 4)",
@@ -44,6 +46,7 @@ def definitions() -> dict[str, str]:
         "detail_terms(t STRING) RETURNS ARRAY<STRING>": f"""array_sort(array_distinct(concat(transform(regexp_extract_all(coalesce(t, ''), r"(?i){number}", 0), x -> regexp_replace(lower(x), r'\\s+', ' ')),
             transform(filter(regexp_extract_all(coalesce(t, ''), r"\\p{{L}}[\\p{{L}}']*", 0), w -> {telling}), w -> {low}))))""",
         "weighted_overall(scores MAP<STRING, INT>) RETURNS DOUBLE": f"CASE WHEN {total('x.w')} > 0 THEN {rounded(total('x.s * x.w') + ' / ' + total('x.w'))} WHEN size({present}) > 0 THEN {rounded(total('x.s') + f' / size({present})')} END",
+        "weighted_overall_by(scores MAP<STRING, INT>, weights MAP<STRING, DOUBLE>) RETURNS DOUBLE": f"CASE WHEN {summed('x.w')} > 0 THEN {rounded(summed('x.s * x.w') + ' / ' + summed('x.w'))} WHEN size({weighed}) > 0 THEN {rounded(summed('x.s') + f' / size({weighed})')} END",
     }
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.plans.bindings import FIELDS, FILLABLE, WEIGHTS
 
+from .replies import weight_of
+
 
 def blank(c: Column) -> Column:
     return T.strip(c) == ""
@@ -35,9 +39,9 @@ ROLES = {
     "scenario": "where the story begins",
     "first_mes": "the opening message, written as the character",
     "mes_example": "example dialogue; <START> begins a new example",
-    "system_prompt": "takes the place of the user's system prompt, unless it contains {{original}}",
+    "system_prompt": "stands in for the system prompt that the user has; {{original}} brings that one back in",
     "post_history_instructions": "instructions after the chat history; they weigh most",
-    "alternate_greetings": "further opening messages, separated by lines of ---",
+    "alternate_greetings": "other ways to open the chat; a line of --- ends each but the last",
 }
 MACROS = "Macros: {{char}} and {{user}} stand for the names, {{original}} for the user's own prompt. They are no mistakes."
 
@@ -68,24 +72,33 @@ def note_depth(cards: DataFrame) -> Column:
     return F.coalesce(F.col("note_depth"), F.lit(4)) if "note_depth" in cards.columns else F.lit(4)
 
 
-def build_requests(cards: DataFrame, detail: str = "full") -> DataFrame:
+def build_requests(cards: DataFrame, detail: str = "full", weights: Mapping[str, float] | Column | None = None, prompts: DataFrame | None = None) -> DataFrame:
     """id and the scorer's request: name, a note on macros, heading and text of each field that counts, in full mode the blank ones.
 
-    ``fast`` leaves out fields without weight unless nothing else is filled. A card without text has a null request and a reason.
+    ``fast`` leaves out fields without weight unless nothing else is filled; ``weights`` is a mapping or a map column of ``cards``, the
+    usual ones if none are given. A card without text has a null request and a reason. With ``prompts`` (kind, instructions, fallback, form;
+    one row a kind) there are also the system text for ``detail``, its instructions or else the fallback before the fixed form, and its
+    hash (prompt).
     """
     depth = note_depth(cards)
     parts = [(k, f, F.concat(F.lit("\n\n"), heading(f, depth), F.lit("\n"), T.strip(F.col(f"f{k}")))) for k, f in enumerate(FIELDS, 1)]
     every = F.concat_ws("", *[F.when(~blank(F.col(f"f{k}")), p) for k, _, p in parts])
-    weighted = F.concat_ws("", *[F.when(~blank(F.col(f"f{k}")), p) for k, f, p in parts if WEIGHTS[f] > 0])
+    weighted = F.concat_ws("", *[F.when(~blank(F.col(f"f{k}")) & (weight_of(weights, f) != 0), p) for k, f, p in parts])
     body = F.when(weighted == "", every).otherwise(weighted) if detail == "fast" else every
     flat = F.col("flat") if "flat" in cards.columns else F.lit(False)
     gone = F.concat_ws(", ", *[F.when(blank(F.col(f"f{k}")) & (F.lit(f != "character_note") | ~flat), F.lit(f)) for k, f, _ in parts if f in FILLABLE])
     tail = F.when(gone != "", F.concat(F.lit("\n\nEmpty fields: "), gone, F.lit("."))).otherwise("") if detail == "full" else F.lit("")
-    return cards.select(
+    made = cards.select(
         "id",
         F.when(every != "", F.concat(F.lit("Character name: "), F.col("name"), F.lit("\n\n" + MACROS), body, tail)).alias("request"),
         F.when(every == "", "Card has no non-empty scorable fields").alias("rejected"),
     )
+    if prompts is None:
+        return made
+    said = F.when(blank(F.coalesce("instructions", F.lit(""))), F.col("fallback")).otherwise(F.col("instructions"))
+    system = F.concat_ws("\n\n", said, "form")
+    told = prompts.select("kind", system.alias("system"), F.substring(F.sha1(system), 1, 10).alias("prompt"))
+    return made.withColumn("kind", F.lit(detail)).join(told, "kind", "left").drop("kind")
 
 
 def work_set(cards: DataFrame, ledger: DataFrame, rescore: bool = False, limit: int | None = None) -> DataFrame:
@@ -118,7 +131,7 @@ def card_summary(cards: DataFrame, ledger: DataFrame, current: str = "now") -> D
     )
     e = cards.join(entry, "id", "left")
     return e.select(
-        "id", "library_id", "name", F.coalesce("known", F.lit(False)).alias("known"), "score", "error", F.coalesce("brief", F.lit(False)).alias("brief"), "scored_at",
+        "id", "library_id", F.coalesce("name", "id").alias("name"), F.coalesce("known", F.lit(False)).alias("known"), "score", "error", F.coalesce("brief", F.lit(False)).alias("brief"), "scored_at",
         F.when(~F.col("brief"), F.col("fast_score")).alias("fast_score"),
         (F.col("score").isNotNull() & (F.col("prompt_hash") != current)).alias("stale"),
         (F.col("fast_score").isNotNull() & F.col("f_stale")).alias("fast_stale"),
@@ -133,7 +146,7 @@ def prompt_stale(ledger: DataFrame, prompts: DataFrame) -> DataFrame:
     (``partial``) result has no prompt.
     """
     partial = F.coalesce(F.col("partial"), F.lit(False)) if "partial" in ledger.columns else F.lit(False)
-    rows = ledger.withColumn("kind", F.when(F.col("brief"), "fast").otherwise("full")).join(F.broadcast(prompts), "kind")
+    rows = ledger.withColumn("kind", F.when(F.col("brief"), "fast").otherwise("full")).join(prompts, "kind")
     return rows.select("id", (~partial & (F.coalesce("prompt_hash", "fallback") != F.col("current"))).alias("stale"))
 
 

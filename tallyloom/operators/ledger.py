@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,17 +75,33 @@ def upsert_success(ledger: DataFrame, results: DataFrame, current: str = "now")
     )
 
 
-def upsert_failure(ledger: DataFrame, failures: DataFrame) -> DataFrame:
-    """``failures`` (id, hash, status, message): one of the whole run writes nothing; a result of the same text stays and notes the error."""
+#: What a failure without a result to keep takes from an entry: all that says how its last result was made.
+RESULT = ("score", "brief", "prompt_hash", "fast_score", "fast_stale", "detail", "result", "partial")
+
+
+def upsert_failure(ledger: DataFrame, failures: DataFrame, at: Column | None = None) -> DataFrame:
+    """``failures`` (id, hash, status, message): one of the whole run writes nothing; a result of the same text stays and notes the error.
+
+    An entry whose result stays keeps all its columns, and ``last_error`` and ``last_error_at`` say what failed and when (``at``). Without one,
+    the entry has the error, and ``at`` as its time if the ledger has ``scored_at``; what belonged to an earlier result goes, the
+    other columns (name, tokens, lineage) stay. A failure without a hash is of a card that couldn't be read: any result stays.
+    """
     item = failures.where(failure_scope(F.col("status"), F.col("message")) == "item")
     new = item.select("id", F.col("hash").alias("n_hash"), F.col("message").alias("n_error"))
     both = ledger.join(new, "id", "full")
+    when_ = F.lit(None).cast("timestamp") if at is None else at
     hit = F.col("n_error").isNotNull()
-    keep = ~hit | (F.col("score").isNotNull() & F.col("hash").eqNullSafe(F.col("n_hash")))
-    return both.select(
-        "id", F.when(keep, F.col("hash")).otherwise(F.col("n_hash")).alias("hash"), F.when(keep, F.col("score")).alias("score"),
-        F.when(keep, F.col("error")).otherwise(F.col("n_error")).alias("error"), F.when(hit & keep, F.col("n_error")).alias("last_error"),
-    )
+    same = F.col("n_hash").isNull() | F.col("hash").eqNullSafe(F.col("n_hash"))
+    keep = ~hit | (F.col("score").isNotNull() & same)
+    old = lambda c, kind: F.col(c) if c in ledger.columns else F.lit(None).cast(kind)
+    made = {"hash": F.when(keep, F.col("hash")).otherwise(F.coalesce("n_hash", "hash")), "error": F.when(keep, F.col("error")).otherwise(F.col("n_error"))}
+    made |= {c: F.when(keep, F.col(c)) for c in RESULT if c in ledger.columns}
+    if "scored_at" in ledger.columns:
+        made["scored_at"] = F.when(keep, F.col("scored_at")).otherwise(when_)
+    noted = hit & keep
+    made |= {"last_error": F.when(noted, F.col("n_error")).when(keep, old("last_error", "string")), "last_error_at": F.when(noted, when_).when(keep, old("last_error_at", "timestamp"))}
+    every = [*ledger.columns, *[c for c in ("last_error", "last_error_at") if c not in ledger.columns]]
+    return both.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in every])
 
 
 def retire_on_edit(ledger: DataFrame, edits: DataFrame) -> DataFrame:
@@ -182,12 +200,16 @@ def import_report(outcomes: DataFrame, names: int = 10) -> DataFrame:
     return outcomes.agg(n("imported"), n("superseded"), n("kept"), n("no score"), n("not found")).crossJoin(missing)
 
 
-def publish_keepers(cards: DataFrame, there: DataFrame, ledger: DataFrame, target_ledger: DataFrame) -> DataFrame:
+def publish_keepers(cards: DataFrame, there: DataFrame, ledger: DataFrame, target_ledger: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
     """Copying cards (id, hash) to a library that holds ``there`` (id, hash): id, copied_to, action, score_travels.
 
+    ``source`` and ``target`` name the two libraries' folders: a library isn't copied onto itself (ValueError).
+
     A name that is free is copied; the same content is skipped; other content gets the smallest number from 2 on that no file
     there and no card of the batch has. A score travels unless the target's ledger has an entry under the new name.
     """
+    if source is not None and target is not None and posixpath.normpath(source.rstrip("/") or "/") == posixpath.normpath(target.rstrip("/") or "/"):
+        raise ValueError(f"{target} is the library that the cards come from")
     part = lambda c, n: F.regexp_extract(c, NAME_PARTS, n)
     held = there.select("id", F.col("hash").alias("t_hash"))
     used = there.select("id").unionAll(cards.select("id")).select(part("id", 1).alias("base"), part("id", 3).alias("ext"), part("id", 2).try_cast("long").alias("n")).where("n >= 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,23 +108,45 @@ def field_score(entry: Column) -> Column:
     return F.when(number.isNotNull(), F.floor(clamped(number) + 0.5)).cast("int")
 
 
-def weighted_overall(scores: dict[str, Column]) -> Column:
+def weight_of(weights: Mapping[str, float] | Column | None, field: str) -> Column:
+    """A field's weight: of a mapping or a map column, a field that it lacks weighs nothing; without one, the usual weight."""
+    if isinstance(weights, Column):
+        return F.coalesce(weights[field].cast("double"), F.lit(0.0))
+    return F.lit(float((B.WEIGHTS if weights is None else weights).get(field, 0.0)))
+
+
+def weighted_overall(scores: dict[str, Column], weights: Mapping[str, float] | Column | None = None) -> Column:
     """Weighted mean of the present scores, summed in canonical order, one decimal; the plain mean if no weight is left."""
     total = weight = plain = n = F.lit(0.0)
     for f in B.FIELDS:
         if f in scores:
-            s, there = scores[f].cast("double"), scores[f].isNotNull()
-            total = total + F.when(there, s * B.WEIGHTS[f]).otherwise(0.0)
-            weight = weight + F.when(there, B.WEIGHTS[f]).otherwise(0.0)
+            s, there, w = scores[f].cast("double"), scores[f].isNotNull(), weight_of(weights, f)
+            total = total + F.when(there, s * w).otherwise(0.0)
+            weight = weight + F.when(there, w).otherwise(0.0)
             plain, n = plain + F.coalesce(s, F.lit(0.0)), n + there.cast("double")
     return F.when(weight > 0, T.half_up(total / weight)).when(n > 0, T.half_up(plain / n))
 
 
-def parse_scores(answers: DataFrame) -> DataFrame:
+def weight_maps(weights: DataFrame) -> DataFrame:
+    """run, weights (a map from field to weight): one row a run of a table of weights (run, field, weight); of repeats the largest counts."""
+    one = weights.where(F.col("field").isin(*B.FIELDS)).groupBy("run", "field").agg(F.max("weight").alias("weight"))
+    return one.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("weight").cast("double")))).alias("weights"))
+
+
+def overalls(results: DataFrame, weights: DataFrame) -> DataFrame:
+    """run, id, overall of ``results`` (run, id, fields: a map from field to score) under the weights of their run (run, field, weight).
+
+    A run without weights takes the plain mean.
+    """
+    rows = results.join(weight_maps(weights), "run", "left").withColumn("weights", F.coalesce("weights", F.create_map().cast("map<string,double>")))
+    return rows.select("run", "id", weighted_overall({f: F.col("fields")[f] for f in B.FIELDS}, F.col("weights")).alias("overall"))
+
+
+def parse_scores(answers: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """One row per usable answer (id, answer): id, fields (a map from field to score and three texts), overall, improvements, summary.
 
     Unknown fields count only where no known one is named. The overall is the weighted mean of the scores; a reply without
-    a usable score keeps its own overall, if that is a number; with neither it is left out.
+    a usable score keeps its own overall, if that is a number; with neither it is left out. ``weights`` are the usual ones if none are given.
     """
     rest = [c for c in answers.columns if c not in ("id", "answer")]
     rows = once(answers, v=json_value(F.col("answer")))
@@ -137,7 +160,7 @@ def parse_scores(answers: DataFrame) -> DataFrame:
     strange = F.when(F.size(others) > 0, T.half_up(F.aggregate(others, F.lit(0.0), lambda a, x: a + x) / F.size(others)))
     own = part(F.col("v"), "$.overall_score")
     stated = F.when(~kind(own).isin("STRING", "BOOLEAN", "OBJECT", "ARRAY", "VOID"), T.half_up(clamped(part(own, "$", "double"))))
-    overall = F.coalesce(weighted_overall({f: F.col("scores")[f] for f in B.FIELDS}), strange, stated)
+    overall = F.coalesce(weighted_overall({f: F.col("scores")[f] for f in B.FIELDS}, weights), strange, stated)
     improvements = F.slice(F.transform(part(F.col("v"), "$.top_priority_improvements", "array<variant>"), lambda x: part(x, "$", "string")), 1, IMPROVEMENTS)
     rows = once(rows, scores=F.struct(*[F.col("fields")[f]["score"].alias(f) for f in B.FIELDS]))
     made = once(rows, overall=overall).select("id", *rest, "fields", "overall", F.coalesce(improvements, F.array().cast("array<string>")).alias("improvements"), F.coalesce(part(F.col("v"), "$.summary", "string"), F.lit("")).alias("summary"))
@@ -178,3 +201,24 @@ def register(query) -> None:
     query("weighted_overall", "SELECT id, floor((0.0::DOUBLE + a * 0.3::DOUBLE + b * 0.1::DOUBLE) / (0.3::DOUBLE + 0.1::DOUBLE) * 10 + 0.5) / 10.0 AS overall FROM (SELECT id, 1 + length(f1) % 10 AS a, 1 + length(f2) % 10 AS b FROM cards)", "cards")(
         lambda x, d: B.cards(x, d).select("id", weighted_overall({"description": 1 + F.length("f1") % 10, "personality": 1 + F.length("f2") % 10}).alias("overall"))
     )
+
+    def two_runs(x, d):
+        """Every card's scores under two sets of weights, and under none."""
+        fields = F.create_map(*[y for k, f in enumerate(("description", "first_mes", "alternate_greetings"), 1) for y in (F.lit(f), (1 + F.length(f"f{k}") % 10).cast("int"))])
+        rows = B.cards(x, d).select(F.explode(F.array(*map(F.lit, ("usual", "greeting", "none")))).alias("run"), "id", fields.alias("fields"))
+        return overalls(rows, x.createDataFrame(run_weights(), "run string, field string, weight double"))
+
+    def run_weights():
+        return [("usual", f, w) for f, w in B.WEIGHTS.items()] + [("greeting", "alternate_greetings", 0.7), ("greeting", "first_mes", 0.2)]
+
+    def run_sql(run: str) -> str:
+        w = {f: x for r, f, x in run_weights() if r == run}
+        part = [(k, w.get(f, 0.0)) for k, f in enumerate(("description", "first_mes", "alternate_greetings"), 1)]
+        part = [part[0], part[1], part[2]]
+        score = lambda k: f"(1 + length(f{k}) % 10)"
+        if not any(x for _, x in part):
+            return f"SELECT '{run}' AS run, id, floor((0.0::DOUBLE + {' + '.join(score(k) for k, _ in part)}) / 3 * 10 + 0.5) / 10.0 AS overall FROM cards"
+        total = " + ".join(f"{score(k)} * {x}::DOUBLE" for k, x in part)
+        return f"SELECT '{run}' AS run, id, floor((0.0::DOUBLE + {total}) / (0.0::DOUBLE + {' + '.join(f'{x}::DOUBLE' for _, x in part)}) * 10 + 0.5) / 10.0 AS overall FROM cards"
+
+    query("overalls_by_weights", " UNION ALL ".join(map(run_sql, ("usual", "greeting", "none"))), "cards")(two_runs)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,54 +27,43 @@ def prompt_hash(instructions: Column, fallback: str, form: str) -> Column:
     return F.substring(F.sha1(F.concat_ws("\n\n", used, F.lit(form))), 1, 10)
 
 
-def rubric_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The default: deterministic, without a network. By a request's length it fails once, is always cut off, or is unreadable at first."""
-    for b in batches:
-        out = []
-        for i, request, strict, attempt in zip(b["id"], b["request"], b["strict"], b["attempt"], strict=True):
-            n = len(request)
-            answer = json.dumps({"fields": {"description": 1 + (n * 7 + 1) % 10, "first_mes": 1 + (n * 7 + 2) % 10}})
-            if n % 7 == 0 and attempt == 1:
-                out.append((i, None, None, 500, "HTTP 500"))
-            elif n % 13 == 0:
-                out.append((i, answer[:-2], "length", 200, None))
-            else:
-                out.append((i, "no idea" if n % 5 == 0 and not strict else answer, "stop", 200, None))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPLY.split(", ")]).astype({"status": "Int32"})
-
-
 def score_requests(requests: DataFrame, scorer: Scorer, strict: bool, attempt: int = 1, parallel: int | None = None) -> DataFrame:
-    """Replies (REPLY); at most ``parallel`` requests are in flight."""
+    """Replies (REPLY). ``parallel`` is how many tasks ask at once: a number that is asked for is neither coalesced nor split at run time.
+
+    A scorer gets batches of up to ``spark.sql.execution.arrow.maxRecordsPerBatch`` requests. One that sends them one after the other
+    never has more than ``parallel`` in flight in the whole job; one that sends a batch at once multiplies that by its size.
+    """
     rows = requests.select("id", "request", F.lit(strict).alias("strict"), F.lit(attempt).alias("attempt"))
     return (rows.repartition(parallel) if parallel else rows).mapInPandas(scorer, REPLY)
 
 
-def score_once(asked: DataFrame, scorer: Scorer, attempt: int, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def score_once(asked: DataFrame, scorer: Scorer, attempt: int, land: Callable[[DataFrame], DataFrame], parallel: int | None = None) -> DataFrame:
     """id, fields, overall, error, status, asked (1 or 2) of each request: an unreadable reply gets one stricter request.
 
     A reply that stays unreadable has an error, its own one if it was cut off. ``land`` writes replies before they are
     read, so that a retried task never asks the scorer again.
     """
-    first = extract_json(land(score_requests(asked, scorer, False, attempt)))
+    first = extract_json(land(score_requests(asked, scorer, False, attempt, parallel)))
     first = land(first)
     unread = first.where("error IS NULL AND answer IS NULL").select("id")
-    again = land(extract_json(land(score_requests(asked.join(unread, "id", "left_semi"), scorer, True, attempt))))
+    again = land(extract_json(land(score_requests(asked.join(unread, "id", "left_semi"), scorer, True, attempt, parallel))))
     every = first.join(unread, "id", "left_anti").withColumn("asked", F.lit(1)).unionByName(again.withColumn("asked", F.lit(2)))
     read = parse_scores(every.where("answer IS NOT NULL").select("id", "answer")).select("id", "fields", "overall")
     failed = F.when(F.col("overall").isNull(), F.when(F.col("finish_reason") == "length", CUT_OFF).otherwise(UNREADABLE))
     return every.join(read, "id", "left").select("id", "fields", "overall", F.coalesce("error", failed).alias("error"), "status", "asked")
 
 
-def score_corpus(requests: DataFrame, scorer: Scorer = rubric_scorer, land: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+def score_corpus(requests: DataFrame, scorer: Scorer, land: Callable[[DataFrame], DataFrame] = lambda x: x, parallel: int | None = None) -> DataFrame:
     """id, fields, overall, error, asked, recovered of each request: after the run, failures that may not recur are tried once more.
 
-    A second failure stays a failure; ``recovered`` marks scores that only the second pass brought.
+    A second failure stays a failure; ``recovered`` marks scores that only the second pass brought. At most ``parallel`` tasks ask at once:
+    what is landed is asked for before the next requests are made.
     """
     asked = land(requests.where("request IS NOT NULL").select("id", "request"))
-    first = land(score_once(asked, scorer, 1, land))
+    first = land(score_once(asked, scorer, 1, land, parallel))
     transient = F.col("error").isNotNull() & worth_retrying(F.col("status"), F.col("error"))
     retry = first.where(transient).select("id")
-    second = land(score_once(asked.join(retry, "id", "left_semi"), scorer, 2, land))
+    second = land(score_once(asked.join(retry, "id", "left_semi"), scorer, 2, land, parallel))
     rows = first.join(retry, "id", "left_anti").withColumn("recovered", F.lit(False))
     return rows.unionByName(second.withColumn("recovered", F.col("error").isNull())).drop("status")
 
@@ -92,6 +80,7 @@ def prompt_trial(sample: DataFrame, trial: DataFrame) -> tuple[DataFrame, DataFr
 
 def register(query) -> None:
     from tallyloom.plans.registry import request_sql
+    from tallyloom.plans.stand_in import rubric_scorer
     from tallyloom.sources.store import written
 
     from .cards import build_requests
@@ -100,10 +89,10 @@ def register(query) -> None:
     overall = f"floor((0.0::DOUBLE + ({d}) * 0.3::DOUBLE + ({m}) * 0.25::DOUBLE) / (0.0::DOUBLE + 0.3::DOUBLE + 0.25::DOUBLE) * 10 + 0.5) / 10.0"
     scored = f"""SELECT id, CASE WHEN n % 13 <> 0 THEN {overall} END AS overall, CASE WHEN n % 13 = 0 THEN '{CUT_OFF}' END AS error, CASE WHEN n % 13 = 0 OR n % 5 = 0 THEN 2 ELSE 1 END AS asked, n % 7 = 0 AND n % 13 <> 0 AS recovered
         FROM (SELECT id, length(request) AS n FROM ({{}}) WHERE request IS NOT NULL)"""
-    query("score_corpus", scored.format(request_sql("full")), "cards")(lambda s, p: score_corpus(build_requests(B.cards(s, p)), land=written).drop("fields"))
+    query("score_corpus", scored.format(request_sql("full")), "cards")(lambda s, p: score_corpus(build_requests(B.cards(s, p)), rubric_scorer, written, parallel=4).drop("fields"))
 
     def trial(s, p):
-        fast = score_corpus(build_requests(B.cards(s, p), "fast"), land=written)
+        fast = score_corpus(build_requests(B.cards(s, p), "fast"), rubric_scorer, written)
         return prompt_trial(B.ledger(s, p).select("id", "score"), fast)
 
     trial_sql = f"+ t AS ({scored.format(request_sql('fast'))}), each AS (SELECT l.id, l.score, t.overall AS draft, floor((t.overall - l.score) * 10 + 0.5) / 10.0 AS change FROM ledger l JOIN t ON t.id = l.id WHERE l.score IS NOT NULL AND t.overall IS NOT NULL) "

@@ -66,19 +66,25 @@ GONE = [(k, f) for k, f in enumerate(B.FIELDS, 1) if f in B.FILLABLE]
 query("missing_fields", "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN trim(f{k}) = '' THEN '{f}' END" for k, f in GONE) + ") AS missing FROM cards", "cards")(lambda s, d: C.missing_fields(B.cards(s, d)))
 
 
-def request_sql(detail: str) -> str:
+def request_sql(detail: str, weights: dict[str, float] = B.WEIGHTS) -> str:
     part = lambda keep: "concat_ws(''" + "".join(f", CASE WHEN trim(f{k}) <> '' THEN chr(10) || chr(10) || '{heading_sql(f)}' || chr(10) || {trimmed(f'f{k}')} END" for k, f in enumerate(B.FIELDS, 1) if keep(f)) + ")"
     gone = "concat_ws(', ', " + ", ".join(f"CASE WHEN trim(f{k}) = '' THEN '{f}' END" for k, f in GONE) + ")"
     body = "CASE WHEN weighted = '' THEN body ELSE weighted END" if detail == "fast" else "body"
     tail = "CASE WHEN gone <> '' THEN chr(10) || chr(10) || 'Empty fields: ' || gone || '.' ELSE '' END" if detail == "full" else "''"
     macros = C.MACROS.replace("'", "''")
     return f"""SELECT id, CASE WHEN body <> '' THEN 'Character name: ' || name || chr(10) || chr(10) || '{macros}' || {body} || {tail} END AS request, CASE WHEN body = '' THEN 'Card has no non-empty scorable fields' END AS rejected
-        FROM (SELECT id, name, {part(lambda f: True)} AS body, {part(lambda f: B.WEIGHTS[f] > 0)} AS weighted, {gone} AS gone FROM cards)"""
+        FROM (SELECT id, name, {part(lambda f: True)} AS body, {part(lambda f: weights.get(f, 0) != 0)} AS weighted, {gone} AS gone FROM cards)"""
 
 
 for _detail in ("full", "fast"):
     query(f"build_requests_{_detail}", request_sql(_detail), "cards")(lambda s, d, x=_detail: C.build_requests(B.cards(s, d), x))
 
+#: Weights and prompts that a user gives: only greetings count, and the instructions are blank, so that the fallback serves.
+GREETINGS = {"first_mes": 0.4, "alternate_greetings": 0.6}
+query("build_requests_weighted", f"SELECT *, 'Rate it.' || chr(10) || chr(10) || 'As JSON.' AS system, substr(sha1('Rate it.' || chr(10) || chr(10) || 'As JSON.'), 1, 10) AS prompt FROM ({request_sql('fast', GREETINGS)})", "cards")(
+    lambda s, d: C.build_requests(B.cards(s, d), "fast", GREETINGS, s.createDataFrame([("fast", " ", "Rate it.", "As JSON."), ("full", "Read it.", "", "As JSON.")], "kind string, instructions string, fallback string, form string"))
+)
+
 # Work sets
 query("work_set", f"SELECT c.id, {HASH.replace('name', 'c.name')} AS hash, {TOKENS} AS tokens FROM cards c LEFT JOIN ledger l ON c.id = l.id WHERE l.id IS NULL OR l.hash <> {HASH.replace('name', 'c.name')} OR l.error IS NOT NULL", "cards", "ledger")(
     lambda s, d: C.work_set(hashed(s, d), B.ledger(s, d))
@@ -199,8 +205,16 @@ def failed(s: SparkSession, d: str) -> DataFrame:
 
 
 query("upsert_failure", f"+ bad AS (SELECT id, {HASH} AS hash, 'failed ' || (doc_id % 4) AS message FROM cards WHERE doc_id % 3 = 1 AND doc_id % 4 IN (0, 3)) SELECT coalesce(l.id, b.id) AS id, CASE WHEN keep THEN l.hash ELSE b.hash END AS hash, CASE WHEN keep THEN l.score END AS score, CASE WHEN keep THEN l.error ELSE b.message END AS error, CASE WHEN b.id IS NOT NULL AND keep THEN b.message END AS last_error FROM (SELECT l.id AS lid, b.id AS bid, b.id IS NULL OR coalesce(l.score IS NOT NULL AND l.hash = b.hash, false) AS keep FROM ledger l FULL JOIN bad b ON l.id = b.id) k LEFT JOIN ledger l ON l.id = k.lid LEFT JOIN bad b ON b.id = k.bid", "cards", "ledger")(
-    lambda s, d: L.upsert_failure(B.ledger(s, d), failed(s, d))
+    lambda s, d: L.upsert_failure(B.ledger(s, d), failed(s, d)).select("id", "hash", "score", "error", "last_error")
 )
+_AT = "TIMESTAMP '2024-07-01 12:00:00'"
+query("upsert_failure_whole", f"""+ bad AS (SELECT id, CASE WHEN doc_id % 5 <> 0 THEN {HASH} END AS hash, 'failed ' || (doc_id % 4) AS message FROM cards WHERE doc_id % 3 = 1 AND doc_id % 4 IN (0, 3)),
+    j AS (SELECT coalesce(l.id, b.id) AS id, b.hash AS n_hash, message, message IS NULL OR coalesce(l.score IS NOT NULL AND (b.hash IS NULL OR l.hash = b.hash), false) AS keep, l.* EXCLUDE (id) FROM ledger l FULL JOIN bad b ON l.id = b.id)
+    SELECT id, library_id, name, doc_id, CASE WHEN keep THEN hash ELSE coalesce(n_hash, hash) END AS hash, tokens, CASE WHEN keep THEN score END AS score, CASE WHEN keep THEN error ELSE message END AS error, CASE WHEN keep THEN brief END AS brief,
+    CASE WHEN keep THEN prompt_hash END AS prompt_hash, CASE WHEN keep THEN scored_at ELSE {_AT} END AS scored_at, CASE WHEN keep THEN fast_score END AS fast_score, CASE WHEN keep THEN fast_stale END AS fast_stale, provider,
+    CASE WHEN keep THEN message END AS last_error, CASE WHEN keep AND message IS NOT NULL THEN {_AT} END AS last_error_at FROM j""", "cards", "ledger")(
+    lambda s, d: L.upsert_failure(B.ledger(s, d), failed(s, d).withColumn("hash", F.when(F.regexp_extract("id", r"^doc-(\d+)", 1).cast("long") % 5 != 0, F.col("hash"))), F.lit("2024-07-01 12:00:00").cast("timestamp"))
+)
 
 
 def edited(s: SparkSession, d: str) -> DataFrame:

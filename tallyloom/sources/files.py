@@ -10,21 +10,22 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.plans.bindings import FIELDS
 
+from . import commits
 from .payloads import PLAIN
 
 LEDGER_FILE = "struct<version:int,cards:map<string,struct<name:string,score:double,error:string>>>"
 
 
 def card_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, modificationTime, length and content of the PNG and JSON files of a folder."""
+    """path, name, modificationTime, length and content of the PNG and JSON files of a folder, by name."""
     name = F.element_at(F.split("path", "/"), -1)
-    return spark.read.format("binaryFile").load(folder).withColumn("name", name).where(F.col("name").rlike(r"(?i)\.(png|json)$"))
+    files = spark.read.format("binaryFile").load(folder).withColumn("name", name)
+    return files.where(F.col("name").rlike(r"(?i)\.(png|json)$")).orderBy("name")
 
 
 def png_payload(data: bytes) -> str:
@@ -145,38 +146,35 @@ def score_files(cards: DataFrame) -> DataFrame:
     return g.select(F.concat_ws("-", F.col("shape").cast("string"), F.col("part").cast("string")).alias("source"), content.alias("content"))
 
 
-def publish(df: DataFrame, root: str, generation: str | None = None) -> str:
-    """Write a generation beside the others; readers follow the manifest, which is written last."""
+def publish(df: DataFrame, root: str, generation: str | None = None, base: int | None = None) -> str:
+    """Write a generation beside the others and commit it; readers follow the commits, so that none sees half a write.
+
+    ``base`` is the number of the commit that ``df`` was made from, the newest one if none is named. If another writer has committed since,
+    ``commits.Conflict`` is raised and nothing has changed for readers.
+    """
+    spark = df.sparkSession
+    if base is None:
+        base = max(commits.numbers(spark, root), default=0)
     name = generation or uuid.uuid4().hex
-    path = f"{root.rstrip('/')}/gen={name}"
-    df.write.mode("overwrite").parquet(path)
-    stamp = df.sparkSession.range(1).select(F.lit(path).alias("path"), F.lit(name).alias("generation"), F.current_timestamp().alias("at"))
-    stamp.write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
+    path = f"{root.rstrip('/')}/gen={name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    commits.commit(spark, root, base + 1, {"generation": name, "path": path})
     return path
 
 
+def version(spark: SparkSession, root: str) -> int:
+    """The number of the newest commit, 0 before the first."""
+    return max(commits.numbers(spark, root), default=0)
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame | None:
-    """path, generation, at of the generations; None before the first."""
-    try:
-        return spark.read.parquet(f"{root.rstrip('/')}/manifest")
-    except AnalysisException:
-        return None
+    """number, generation, path of the generations; None before the first."""
+    return commits.listed(spark, root)
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
     """The newest whole generation."""
-    newest = spark.read.parquet(f"{root.rstrip('/')}/manifest").agg(F.max_by("path", "at")).first()[0]
-    return spark.read.parquet(newest)
-
-
-def published_or(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The newest whole generation, or an empty table before the first."""
-    return spark.createDataFrame([], schema) if manifest(spark, root) is None else published(spark, root)
-
-
-def has_generation(spark: SparkSession, root: str, generation: str) -> bool:
-    rows = manifest(spark, root)
-    return rows is not None and not rows.where(F.col("generation") == generation).isEmpty()
+    return spark.read.parquet(commits.newest(spark, root)["path"])
 
 
 def export_scores(ledger: DataFrame) -> DataFrame:

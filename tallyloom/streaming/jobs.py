@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallyloom.functions.failures import failure_scope
 from tallyloom.operators import cards as C
 from tallyloom.operators import ledger as L
-from tallyloom.operators import scoring, telemetry
+from tallyloom.operators import scoring
 from tallyloom.plans import bindings as B
-from tallyloom.sources import files as S
-from tallyloom.sources.store import fresh_path, written
+from tallyloom.sources import buckets as Buckets
+from tallyloom.sources import snapshots as V
+from tallyloom.sources.store import fresh_path
 
-LEDGER = "id string, hash string, score double, error string, brief boolean, prompt_hash string, fast_score double, fast_stale boolean"
-OPEN = "provider string, started timestamp, ended timestamp, failures long"
+LEDGER = "id string, hash string, score double, error string, brief boolean, prompt_hash string, fast_score double, fast_stale boolean, last_error string, last_error_at timestamp"
 
 
 def folder(spark: SparkSession) -> str:
@@ -72,66 +80,175 @@ def card_deliveries(s: SparkSession, d: str) -> DataFrame:
     return one.unionAll(one.withColumn("at", F.col("at") + F.expr("INTERVAL 30 SECONDS")))
 
 
-def score_stream(stream: DataFrame, root: str, checkpoint: str, scorer=scoring.rubric_scorer) -> None:
-    """New and changed cards of a stream of documents are scored and put into the ledger at ``root``, a generation a micro-batch.
+def landing(spark: SparkSession, at: str):
+    """Writes tables under ``at``, numbered in the order in which they are asked for. One that is whole already is read, not made again."""
+    count = itertools.count()
+
+    def land(df: DataFrame) -> DataFrame:
+        path = f"{at}/{next(count):03}"
+        if not V.exists(spark, f"{path}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return land
+
+
+def put_scores(entries: DataFrame, scores: DataFrame) -> DataFrame:
+    """Ledger entries with the scores (id, hash, overall, error) of their cards in them; a failure leaves what it may not touch."""
+    done = scores.where("error IS NULL").select("id", "hash", F.col("overall").alias("score"), F.lit(False).alias("brief"))
+    failed = scores.where("error IS NOT NULL").select("id", "hash", F.lit(None).cast("int").alias("status"), F.col("error").alias("message"))
+    return L.upsert_failure(L.upsert_success(entries, done), failed)
 
-    A micro-batch selects its work against the newest generation, lands the replies before it reads them, and publishes results
-    and failures under its number; a batch that is run again finds its generation and does nothing, so that stopping and
-    resuming loses nothing and asks for nothing twice.
+
+def score_stream(stream: DataFrame, root: str, checkpoint: str, scorer: scoring.Scorer, parallel: int | None = None, library: str = "stream", every: int = V.EVERY, keep: int = V.KEEP) -> None:
+    """New and changed cards of a stream of documents are scored and put into the ledger in buckets at ``root``.
+
+    A micro-batch selects its work against the entries of its own buckets, lands replies before it reads them, rewrites the buckets that its
+    results touch and commits under its name. A batch that is run again reads what it has landed, or finds its commit and does nothing, so
+    that stopping and resuming loses nothing and asks for nothing twice. Each time that ``every`` more results are in, the ledger as
+    committed is marked as a snapshot; the newest ``keep`` stay.
     """
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:10]
 
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        ledger = S.published_or(spark, root, LEDGER)
-        if S.has_generation(spark, root, f"batch-{number}"):
-            return
-        cards = B.cards_of(batch).withColumns({"hash": B.card_hash(), "tokens": B.token_total()})
-        work = written(C.work_set(cards, ledger))
-        scores = written(scoring.score_corpus(C.build_requests(cards.join(work.select("id"), "id", "left_semi")), scorer, land=written)).join(work.select("id", "hash"), "id")
-        done = scores.where("error IS NULL").select("id", "hash", F.col("overall").alias("score"), F.lit(False).alias("brief"))
-        failed = scores.where("error IS NOT NULL").select("id", "hash", F.lit(None).cast("int").alias("status"), F.col("error").alias("message"))
-        scored = L.upsert_success(ledger, done)
-        bad = L.upsert_failure(scored, failed)
-        rest = scored.select("id", "brief", "prompt_hash", "fast_score", "fast_stale")
-        columns = [c.split()[0] for c in LEDGER.split(", ")]
-        S.publish(bad.join(rest, "id", "left").select(*columns), root, f"batch-{number}")
+        spark, name = batch.sparkSession, f"{run}-batch-{number}"
+        done = Buckets.find(spark, root, name)
+        if done is None:
+            land = landing(spark, f"{root}/landing/{name}")
+            cards = land(B.cards_of(batch).withColumns({"hash": B.card_hash(), "tokens": B.token_total()}))
+            work = land(C.work_set(cards, Buckets.read_for(cards, root, LEDGER)))
+            asked = C.build_requests(cards.join(work.select("id"), "id", "left_semi"))
+            scores = land(scoring.score_corpus(asked, scorer, land, parallel).join(work.select("id", "hash"), "id").select("id", "hash", "overall", "error"))
+            before, results = Buckets.noted(spark, root, "results", 0), scores.count()
+            due = V.checkpoint_due(before, results, every)
+            done = Buckets.merge(scores, root, LEDGER, put_scores, name, results=before + results, due=due)
+        if done is not None and done["due"]:
+            V.mark(spark, root, library, f"{done['number']:08}", "scan-checkpoint", done["number"])
+            V.retain(spark, root, keep)
 
     stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def scored_stream(s: SparkSession, d: str) -> DataFrame:
     """The ledger after a run over all documents, and after one more, which finds nothing to do."""
+    from tallyloom.plans.stand_in import rubric_scorer
+
     at = folder(s)
     for run in ("first", "again"):
-        score_stream(table_stream(s, d, "documents", files=8), f"{at}/ledger", f"{at}/{run}")
-    return S.published(s, f"{at}/ledger").select("id", "hash", "score", "error")
+        score_stream(table_stream(s, d, "documents", files=8), f"{at}/ledger", f"{at}/{run}", rubric_scorer)
+    return Buckets.read(s, f"{at}/ledger", LEDGER).select("id", "hash", "score", "error")
+
+
+#: The log_id of a row that only tells the time.
+TICK = -1
 
 
-def live_outages(s: SparkSession, d: str, least: int = 2) -> DataFrame:
+class OutageWatch(StatefulProcessor):
+    """One provider's state: outcomes that the watermark hasn't passed, and the run of failures that it is in.
+
+    A timer at the earliest waiting outcome goes off once the watermark is past it. Then all outcomes that are due are taken in the order of their
+    own time, however they came in, and the state of each run that changed is told: open while it lasts, closed by another outcome.
+    """
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, log_id long, down boolean")
+        self.run = handle.getValueState("run", "started timestamp, ended timestamp, failures long")
+
+    def wake_at(self, rows: list) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if rows:
+            self.handle.registerTimer(int(min(r[0] for r in rows).replace(tzinfo=datetime.UTC).timestamp() * 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # What the watermark has passed is settled: a row that comes later than that is left out, and so is a tick.
+        settled = datetime.datetime.fromtimestamp(timerValues.getCurrentWatermarkInMs() / 1000, datetime.UTC).replace(tzinfo=None)
+        came = [(t.to_pydatetime(), int(i), bool(x)) for b in rows for t, i, x in zip(b["ts"], b["log_id"], b["down"], strict=True) if i != TICK and t > settled]
+        if came:
+            self.waiting.appendList(came)
+            self.wake_at([*self.waiting.get()])
+        yield pd.DataFrame(columns=["provider", "started", "ended", "failures", "open"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = datetime.datetime.fromtimestamp(timerValues.getCurrentWatermarkInMs() / 1000, datetime.UTC).replace(tzinfo=None)
+        every = sorted((r[0], r[1], r[2]) for r in self.waiting.get())
+        due, later = [r for r in every if r[0] <= now], [r for r in every if r[0] > now]
+        run = tuple(self.run.get()) if self.run.exists() else None
+        told = []
+        for ts, _, down in due:
+            if down:
+                run = (run[0], ts, run[2] + 1) if run else (ts, ts, 1)
+            elif run:
+                if run[2] >= self.least:
+                    told.append((key[0], *run, False))
+                run = None
+        if run:
+            self.run.update(run)
+            if run[2] >= self.least and due and due[-1][2]:
+                told.append((key[0], *run, True))
+        else:
+            self.run.clear()
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+        self.wake_at(later)
+        yield pd.DataFrame(told, columns=["provider", "started", "ended", "failures", "open"]).astype({"failures": "int64", "open": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+OUTAGE = "provider string, started timestamp, ended timestamp, failures long, open boolean"
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def outage_stream(log: DataFrame, late: str = "1 hour", least: int = 2) -> DataFrame:
+    """What becomes known of each provider's runs of at least ``least`` consecutive connectivity failures: OUTAGE rows, the last one of a run counts.
+
+    Outcomes may come in any order within ``late``; what comes later than that is left out. ``log`` may hold rows without a status and an
+    error whose log_id is null: they only tell the time.
+    """
+    down = F.coalesce(failure_scope(F.col("status"), F.col("error")) == "connectivity", F.lit(False))
+    rows = log.withWatermark("ts", late).select("provider", "ts", F.coalesce("log_id", F.lit(TICK)).cast("long").alias("log_id"), down.alias("down"))
+    return rows.groupBy("provider").transformWithStateInPandas(statefulProcessor=OutageWatch(least), outputStructType=OUTAGE, outputMode="Append", timeMode="EventTime")
+
+
+def latest_outages(told: DataFrame) -> DataFrame:
+    """One row a run: the last that was told of it. A run only grows until it is closed."""
+    last = F.max(F.struct(F.col("failures"), (~F.col("open")).alias("closed"), F.col("ended"))).alias("l")
+    return told.groupBy("provider", "started").agg(last).select("provider", "started", F.col("l.ended").alias("ended"), F.col("l.failures").alias("failures"), (~F.col("l.closed")).alias("open"))
+
+
+def live_outages(s: SparkSession, d: str, least: int = 2, files: int | None = 1, late: str = "1 hour") -> DataFrame:
     """Runs of consecutive connectivity failures of a provider, the ones that are still open included (``open``).
 
-    A micro-batch (one file) finds its runs as the batch operator does, by hour; a run that began before it is continued from a
-    table of one row a provider, which is all that is kept. Files are taken in the order of time.
+    The log is a stream of files beside a stream of ticks, rows that tell how late it is. When the log has been read, the stream is stopped; a
+    tick after the end comes in, and the stream goes on from its checkpoint, so that the last outcomes are due as well.
     """
     at = folder(s)
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(OPEN).parquet(f"{at}/open-{number - 1}") if number else spark.createDataFrame([], OPEN)
-        runs, last = telemetry.connectivity_runs(B.request_log_of(batch))
-        every = runs.unionByName(before, allowMissingColumns=True)
-        merged = every.groupBy("provider", "island").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("failures").alias("failures"))
-        rows = written(merged.join(last, "provider", "left").withColumn("open", F.col("island").eqNullSafe(F.col("last_up"))))
-        rows.where("open").select("provider", "started", "ended", "failures").write.mode("overwrite").parquet(f"{at}/open-{number}")
-        told = rows.where(~F.col("open") & (F.col("failures") >= least)).select("provider", "started", "ended", "failures")
-        told.withColumn("open", F.lit(False)).write.mode("overwrite").parquet(f"{at}/told/batch={number}")
-        spark.createDataFrame([(number,)], "number int").write.mode("overwrite").parquet(f"{at}/newest")
-
-    table_stream(s, d, "events", files=1).writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    newest = s.read.parquet(f"{at}/newest").first().number
-    told = s.read.schema(OPEN + ", open boolean").parquet(f"{at}/told").select("provider", "started", "ended", "failures", "open")
-    still = s.read.schema(OPEN).parquet(f"{at}/open-{newest}").where(F.col("failures") >= least).withColumn("open", F.lit(True))
-    return told.unionByName(still)
+    shape = "provider string, ts timestamp, log_id long, status int, error string"
+    columns = [c.split()[0] for c in shape.split(", ")]
+    log = B.request_log_of(table_stream(s, d, "events", files)).selectExpr("provider", "ts", "CAST(log_id AS LONG) AS log_id", "CAST(status AS INT) AS status", "error")
+    s.createDataFrame([], shape).write.mode("append").parquet(f"{at}/ticks")
+    was = s.conf.get(STATE_STORE[0], None)
+    s.conf.set(*STATE_STORE)
+    try:
+        for tick in (False, True):
+            if tick:
+                last = B.request_log(s, d).groupBy("provider").agg(F.max("ts").alias("ts"))
+                end = last.agg(F.max("ts").alias("end"))
+                ticks = last.join(end).select("provider", (F.col("end") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 SECOND")).alias("ts"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in shape.split(", ")[2:]])
+                ticks.select(*columns).coalesce(1).write.mode("append").parquet(f"{at}/ticks")
+            stream = log.unionByName(s.readStream.schema(shape).parquet(f"{at}/ticks"))
+            writer = outage_stream(stream, late, least).writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+            writer.format("parquet").option("path", f"{at}/told").start().awaitTermination()
+    finally:
+        s.conf.set(STATE_STORE[0], was) if was else s.conf.unset(STATE_STORE[0])
+    return latest_outages(s.read.schema(OUTAGE).parquet(f"{at}/told"))
 
 
 def register(query) -> None:

@@ -232,7 +232,7 @@ def test_failure_scope_of_sockets_and_bodies(spark, code, status, message, body,
 def test_sql_functions_equal_the_columns(spark):
     from tallyloom.functions import sql
 
-    assert set(sql.register(spark)) == {"token_estimate", "error_kind", "dedupe_key", "detail_terms", "weighted_overall"}
+    assert set(sql.register(spark)) == {"token_estimate", "error_kind", "dedupe_key", "detail_terms", "weighted_overall", "weighted_overall_by"}
     rows = [("Tin Lantern (1) v2.png", "HTTP 404 here"), ("Orso's 12 cm kite, 3'4″ – \"quoted\"", "timed out"), ("", None), (None, "odd")]
     df = spark.createDataFrame(rows, "name string, m string")
     cols = [text.dedupe_key(F.col("name")), failures.error_kind(F.col("m")), text.token_estimate(F.col("name")), text.detail_terms(F.col("name"))]

@@ -81,53 +81,6 @@ def test_score_file_shapes(spark):
     assert got == {("1", "a", None, 7.0), ("2", None, "b", 6.5), ("3", "x.png", None, 8.0), ("3", "y.png", None, 3.0)}
 
 
-def test_published_generation(spark, tmp_path):
-    for n in (1, 2):
-        S.publish(spark.range(n), str(tmp_path))
-    assert S.published(spark, str(tmp_path)).count() == 2
-
-
-@pytest.mark.parametrize("files", [1, 5])
-def test_live_outages_equal_the_batch(spark, tmp_path, files):
-    """However the log is cut into files, and runs across them: every run is told, open ones too."""
-    import os
-    import time
-
-    if files > 1:
-        events = B.table(spark, SF, "events").orderBy("ts").toPandas()
-        events["event_type"] = ["error" if i % 9 < 6 else t for i, t in enumerate(events["event_type"])]
-        events["props"] = ['{"k": 1}' if i % 9 < 6 else p for i, p in enumerate(events["props"])]
-        (tmp_path / "events.parquet").mkdir()
-        size = -(-len(events) // files)
-        for n in range(files):
-            path = tmp_path / "events.parquet" / f"part-{n}.parquet"
-            spark.createDataFrame(events[n * size : (n + 1) * size]).coalesce(1).write.parquet(str(tmp_path / f"made-{n}"))
-            next((tmp_path / f"made-{n}").glob("*.parquet")).rename(path)
-            os.utime(path, (time.time() + n, time.time() + n))
-        at = str(tmp_path)
-    else:
-        at = SF
-    live = {tuple(r)[:4] for r in jobs.live_outages(spark, at).collect()}
-    assert live == {tuple(r) for r in telemetry.outages(B.request_log(spark, at)).collect()} and live
-
-
-def test_stream_scoring_asks_once_and_follows_changes(spark, tmp_path):
-    """A second run asks for nothing; a changed card is asked about again; results are those of the batch."""
-    docs = B.table(spark, SF, "documents").where("doc_id < 20")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    root = str(tmp_path / "ledger")
-    stream = lambda: jobs.table_stream(spark, str(tmp_path), "documents")
-    jobs.score_stream(stream(), root, str(tmp_path / "state"))
-    first = {r.id: (r.hash, r.score, r.error) for r in S.published(spark, root).collect()}
-    generations = S.manifest(spark, root).count()
-    jobs.score_stream(stream(), root, str(tmp_path / "state"))
-    assert S.manifest(spark, root).count() == generations and len(first) == docs.count()
-    docs.where("doc_id = 3").withColumn("text", F.lit("another text entirely")).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
-    jobs.score_stream(stream(), root, str(tmp_path / "state"))
-    then = {r.id: (r.hash, r.score, r.error) for r in S.published(spark, root).collect()}
-    assert {i for i in then if then[i] != first[i]} == {"doc-00000003.json"}
-
-
 def test_written_tables_need_a_shared_folder(spark, monkeypatch):
     from tallyloom.sources import store
 
