@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.functions.plan import once
 from tallyloom.plans import bindings as B
 
 from .alignment import Likeness, common, pairing
@@ -51,7 +52,7 @@ def unit_diff(before: list[str], after: list[str]) -> list[tuple[str, str, str]]
     kept = common(*numbered([u.strip() for u in before], [u.strip() for u in after]))
     for gone, come, pair in gaps(kept, len(before), len(after)):
         old, new = [before[i] for i in gone], [after[j] for j in come]
-        became = pairing(Likeness(*bags(old, new)), len(old), len(new), ALIKE)
+        became = pairing(Likeness(*bags(old, new)), len(old), len(new), ALIKE) if old and new else []
         for left, right, both in gaps(became, len(old), len(new)):
             out += [("remove", old[i], "") for i in left] + [("add", "", new[j]) for j in right]
             out += [("change", old[both[0]], new[both[1]])] if both else []
@@ -127,6 +128,37 @@ def versions(s, d: str) -> DataFrame:
     return docs.join(after, "id")
 
 
+#: Words of a unit of a planted version.
+UNIT = 12
+
+
+def planted(s, d: str) -> DataFrame:
+    """Documents cut into numbered sentences, and what an editor made of them: of five in a row the second went, the fourth got an ending,
+    after the fifth another one came in. What differs is known beforehand, whatever a document's length."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[.!?…\s\x0B]+", " "), " "), lambda x: x != "")
+    docs = once(B.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), w=words).where(F.size("w") > 0)
+    said = lambda k: F.concat(F.lit("Part "), k.cast("string"), F.lit(" "), F.array_join(F.slice("w", k * UNIT + 1, F.lit(UNIT)), " "))
+    units = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / UNIT).cast("int") - 1), lambda k: F.struct(k.alias("k"), said(k).alias("u")))
+    end, nth = F.lit(".\n"), lambda x: x["k"] % 5
+    after = lambda x: F.when(nth(x) == 1, "").when(nth(x) == 3, F.concat(x["u"], F.lit(" zzindeed"), end)).when(nth(x) == 4, F.concat(x["u"], end, F.lit("Added "), x["k"].cast("string"), F.lit(" here"), end)).otherwise(F.concat(x["u"], end))
+    rows = once(docs.select("id", "w"), units=units)
+    return rows.select("id", F.array_join(F.transform("units", lambda x: F.concat(x["u"], end)), "").alias("before"), F.array_join(F.transform("units", after), "").alias("after"))
+
+
+PLANTED = r"""+ cut AS (SELECT doc_id AS id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[.!?…\s\x0B]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+    parts AS (SELECT id, w, unnest(range(0, CAST(ceil(len(w) / 12.0) AS BIGINT))) AS k FROM cut WHERE len(w) > 12),
+    units AS (SELECT id, k, 'Part ' || k || ' ' || array_to_string(w[12 * k + 1:12 * k + 12], ' ') AS u, w[least(12 * k + 12, len(w))] AS tail FROM parts),
+    told AS (SELECT id, CAST(k + k // 5 AS INTEGER) AS ord, CASE k % 5 WHEN 1 THEN 'remove' WHEN 3 THEN 'change' ELSE 'keep' END AS kind, u || '.' || chr(10) AS old,
+        CASE k % 5 WHEN 1 THEN '' WHEN 3 THEN u || ' zzindeed.' || chr(10) ELSE u || '.' || chr(10) END AS new, u, tail FROM units
+        UNION ALL SELECT id, CAST(k + k // 5 + 1 AS INTEGER), 'add', '', 'Added ' || k || ' here.' || chr(10), NULL, NULL FROM units WHERE k % 5 = 4) """
+
+
+def shown(marks: DataFrame) -> DataFrame:
+    """id, ord, old, new: the marked runs of each side between angle brackets."""
+    side = lambda c: F.array_join(F.transform(c, lambda m: F.when(m["changed"], F.concat(F.lit("<"), m["text"], F.lit(">"))).otherwise(m["text"])), "")
+    return marks.select("id", "ord", side("old_marks").alias("old"), side("new_marks").alias("new"))
+
+
 VERSIONS = r"""+ split AS (SELECT doc_id AS id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS u FROM documents), versions AS (SELECT id,
     t || CASE WHEN id % 3 = 0 THEN ' {{Char}} waves.' ELSE '' END || CASE WHEN id % 5 = 0 THEN ' {{user}} nods.' ELSE '' END AS before,
     CASE WHEN id % 7 = 0 THEN ' ' ELSE array_to_string(list_concat(u[1:1], list_transform(u[3:3], lambda x: x || ' indeed.'), u[4:]), chr(10)) || CASE WHEN id % 2 = 0 THEN ' Added {{user}} line with {{CHAR}}.' ELSE ' Added line.' END END AS after FROM split) """
@@ -162,3 +194,9 @@ def register(query) -> None:
 
     query("compose_versions", VERSIONS + "SELECT id, CASE WHEN id % 2 = 0 THEN before ELSE after END AS text FROM versions WHERE before <> after")(chosen)
     query("word_diff")(lambda s, d: word_diff(diff_versions(versions(s, d))))
+    query("diff_planted", PLANTED + "SELECT id, ord, kind, old, new FROM told")(lambda s, d: diff_versions(planted(s, d)))
+    every = r"regexp_replace({}, '(\S+)', '<\1>', 'g')"
+    query("word_diff_planted", PLANTED + f"""SELECT id, ord, CASE WHEN kind = 'change' THEN substr(u, 1, length(u) - length(tail)) || '<' || tail || '.>' || chr(10) ELSE {every.format('old')} END AS old,
+        CASE WHEN kind = 'change' THEN substr(u, 1, length(u) - length(tail)) || '<' || tail || '> <zzindeed.>' || chr(10) ELSE {every.format('new')} END AS new FROM told WHERE kind <> 'keep'""")(
+        lambda s, d: shown(word_diff(diff_versions(planted(s, d))))
+    )

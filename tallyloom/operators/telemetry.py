@@ -128,3 +128,13 @@ def rate_audit(log: DataFrame, seconds: int = 3600) -> DataFrame:
 def failure_scopes(log: DataFrame) -> DataFrame:
     rows = scoped(log).where("scope IS NOT NULL")
     return rows.groupBy("scope", worth_retrying(F.col("status"), F.col("error")).alias("retry")).agg(F.count("*").alias("n"))
+
+
+def token_usage(log: DataFrame) -> DataFrame:
+    """Per provider: attempts, answers, the tokens sent and received, those sent for nothing (no answer came), and tokens received a second of answers."""
+    answered = F.col("tokens_out").isNotNull()
+    rows = log.groupBy("provider").agg(
+        F.count("*").alias("attempts"), F.count_if(answered).alias("answers"), F.sum("tokens_in").alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
+        F.coalesce(F.sum(F.when(~answered, F.col("tokens_in"))), F.lit(0)).alias("wasted"), F.sum(F.when(answered, F.col("took_ms"))).alias("ms"),
+    )
+    return rows.select("provider", "attempts", "answers", "tokens_in", "tokens_out", "wasted", half_up(F.when(F.col("ms") > 0, F.col("tokens_out") * 1000 / F.col("ms"))).alias("per_second"))

@@ -90,7 +90,7 @@ def shifted(spark: SparkSession, sf_dir: str, step: int, days: int, source: int)
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per attempt; ``k`` of an error's properties picks its status."""
+    """One row per attempt; ``k`` of an error's properties picks its status. An attempt that failed has no tokens out."""
     return request_log_of(table(spark, sf_dir, "events"))
 
 
@@ -103,6 +103,7 @@ def request_log_of(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("log_id"), F.concat(F.lit("doc-"), F.col("user_id").cast("string")).alias("item"),
         F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).alias("took_ms"), status.alias("status"), error.alias("error"),
         F.when(status == 200, F.when((F.col("event_id") % 50 == 0) & (F.col("user_id") % 3 > 0), "length").otherwise("stop")).alias("finish_reason"),
+        (100 + F.col("event_id") % 900).cast("long").alias("tokens_in"), F.when(status == 200, 10 + F.col("event_id") % 350).cast("long").alias("tokens_out"),
     )
 
 

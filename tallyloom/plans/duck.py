@@ -24,7 +24,7 @@ CTES = {
     "log": """SELECT event_id AS log_id, 'doc-' || user_id AS item, 'p' || (user_id % 3) AS provider, ts, CAST(floor(value * 100) AS BIGINT) AS took_ms,
         CASE WHEN event_type <> 'error' THEN 200 WHEN k = 0 THEN 429 WHEN k = 1 THEN 503 WHEN k = 2 THEN 500 WHEN k = 4 THEN 401 END AS status,
         CASE WHEN event_type = 'error' THEN CASE k WHEN 0 THEN 'HTTP 429' WHEN 1 THEN 'HTTP 503' WHEN 2 THEN 'HTTP 500' WHEN 4 THEN 'HTTP 401' ELSE 'Request timed out' END END AS error,
-        CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 50 = 0 AND user_id % 3 > 0 THEN 'length' ELSE 'stop' END END AS finish_reason
+        CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 50 = 0 AND user_id % 3 > 0 THEN 'length' ELSE 'stop' END END AS finish_reason, CAST(100 + event_id % 900 AS BIGINT) AS tokens_in, CASE WHEN event_type <> 'error' THEN CAST(10 + event_id % 350 AS BIGINT) END AS tokens_out
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS k FROM events)""",
     "names": r"""SELECT doc_id AS id, w[1] || CASE WHEN len(w) > 1 THEN ' ' || w[2] ELSE '' END AS name, (n_chars % 100) / 10.0::DOUBLE AS score
         FROM (SELECT *, regexp_split_to_array(coalesce(text,''), '[ \n\t\r\x0B\f]+') AS w FROM documents)""",

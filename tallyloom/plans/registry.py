@@ -332,6 +332,9 @@ query("rate_audit", "SELECT provider, max(n) AS most, min(gap) AS least_gap FROM
     lambda s, d: telemetry.rate_audit(B.request_log(s, d))
 )
 
+query("token_usage", """SELECT provider, count(*) AS attempts, count(tokens_out) AS answers, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out), 0) AS BIGINT) AS tokens_out, CAST(coalesce(sum(tokens_in) FILTER (tokens_out IS NULL), 0) AS BIGINT) AS wasted,
+    floor(CAST(sum(tokens_out) AS DOUBLE) * 1000 / sum(took_ms) FILTER (tokens_out IS NOT NULL) * 10 + 0.5) / 10.0 AS per_second FROM log GROUP BY 1""", "log")(lambda s, d: telemetry.token_usage(B.request_log(s, d)))
+
 # Names
 _KEY = "lower(name)"
 for _p, _r in text.KEY_STEPS:
