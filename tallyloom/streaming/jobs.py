@@ -100,7 +100,7 @@ def put_scores(entries: DataFrame, scores: DataFrame) -> DataFrame:
     return L.upsert_failure(L.upsert_success(entries, done), failed)
 
 
-def score_stream(stream: DataFrame, root: str, checkpoint: str, scorer: scoring.Scorer, parallel: int | None = None, library: str = "stream", every: int = V.EVERY, keep: int = V.KEEP) -> None:
+def score_stream(stream: DataFrame, root: str, checkpoint: str, scorer: scoring.Scorer, parallel: int | None = None, library: str = "stream", every: int = V.EVERY, keep: int = V.KEEP, buckets: int = Buckets.BUCKETS) -> None:
     """New and changed cards of a stream of documents are scored and put into the ledger in buckets at ``root``.
 
     A micro-batch selects its work against the entries of its own buckets, lands replies before it reads them, rewrites the buckets that its
@@ -121,7 +121,7 @@ def score_stream(stream: DataFrame, root: str, checkpoint: str, scorer: scoring.
             scores = land(scoring.score_corpus(asked, scorer, land, parallel).join(work.select("id", "hash"), "id").select("id", "hash", "overall", "error"))
             before, results = Buckets.noted(spark, root, "results", 0), scores.count()
             due = V.checkpoint_due(before, results, every)
-            done = Buckets.merge(scores, root, LEDGER, put_scores, name, results=before + results, due=due)
+            done = Buckets.merge(scores, root, LEDGER, put_scores, name, buckets, results=before + results, due=due)
         if done is not None and done["due"]:
             V.mark(spark, root, library, f"{done['number']:08}", "scan-checkpoint", done["number"])
             V.retain(spark, root, keep)

@@ -83,7 +83,7 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
 
 @pytest.fixture
 def few(spark, tmp_path):
-    docs = B.table(spark, SF, "documents").where("doc_id < 24").repartition(4)
+    docs = B.table(spark, SF, "documents").where("doc_id < 9").repartition(2)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     return str(tmp_path)
 
@@ -95,7 +95,7 @@ def entries(spark, root):
 def test_stream_scoring_asks_once_and_follows_changes(spark, few):
     """A second run asks for nothing; a changed card is asked about again; results are those of the batch."""
     root, docs = f"{few}/ledger", spark.read.parquet(f"{few}/documents.parquet")
-    run = lambda: jobs.score_stream(jobs.table_stream(spark, few, "documents"), root, f"{few}/state", rubric_scorer)
+    run = lambda: jobs.score_stream(jobs.table_stream(spark, few, "documents"), root, f"{few}/state", rubric_scorer, buckets=4)
     run()
     first, made = entries(spark, root), commits.numbers(spark, root)
     run()
@@ -109,45 +109,38 @@ def test_stream_scoring_asks_once_and_follows_changes(spark, few):
 @pytest.mark.parametrize("stop", ["landed", "data", "committed"])
 def test_a_stop_after_each_write_costs_nothing(spark, few, monkeypatch, stop):
     """Stopped after replies are landed, after buckets are written or after the commit, a run that goes on ends like one that wasn't stopped."""
-    asked = f"{few}/asked"
-    os.mkdir(asked)
 
-    def counting(batches):
-        for b in rubric_scorer(batches):
-            for i in b["id"]:
-                with open(f"{asked}/{i}-{time.time_ns()}", "w"):
-                    pass
-            yield b
+    def counting(folder):
+        os.mkdir(folder)
+
+        def scorer(batches):
+            for b in rubric_scorer(batches):
+                for i in b["id"]:
+                    open(f"{folder}/{i}-{time.time_ns()}", "w").close()
+                yield b
 
-    jobs.score_stream(jobs.table_stream(spark, few, "documents", 1), f"{few}/whole", f"{few}/state-whole", rubric_scorer)
-    want = entries(spark, f"{few}/whole")
-    names = {"landed": (buckets, "merge"), "data": (commits, "commit"), "committed": (V, "checkpoint_due")}
-    if stop == "committed":
-        real = buckets.merge
+        return scorer
 
-        def merge(*a, **b):
-            real(*a, **b)
-            raise RuntimeError("stopped")
+    run = lambda name, scorer: jobs.score_stream(jobs.table_stream(spark, few, "documents", 1), f"{few}/{name}", f"{few}/state-{name}", scorer, buckets=4)
+    asked = lambda name: sorted(n.rsplit("-", 1)[0] for n in os.listdir(f"{few}/asked-{name}"))
+    run("whole", counting(f"{few}/asked-whole"))
+    real = buckets.merge
 
-        monkeypatch.setattr(buckets, "merge", merge)
-    else:
+    def merge(*a, **b):
+        real(*a, **b)
+        raise RuntimeError("stopped")
 
-        def fail(*a, **b):
-            raise RuntimeError("stopped")
+    def fail(*a, **b):
+        raise RuntimeError("stopped")
 
-        monkeypatch.setattr(*names[stop], fail)
-    stream = lambda: jobs.score_stream(jobs.table_stream(spark, few, "documents", 1), f"{few}/ledger", f"{few}/state", counting)
+    monkeypatch.setattr(*{"landed": (buckets, "merge", fail), "data": (commits, "commit", fail), "committed": (buckets, "merge", merge)}[stop])
+    scorer = counting(f"{few}/asked-stopped")
     with pytest.raises(Exception, match="stopped"):
-        stream()
+        run("stopped", scorer)
     monkeypatch.undo()
-    before = len(os.listdir(asked))
-    stream()
-    assert entries(spark, f"{few}/ledger") == want and before > 0
-    first_batch = sorted(n.rsplit("-", 1)[0] for n in os.listdir(asked))
-    os.mkdir(f"{few}/again")
-    asked = f"{few}/again"
-    jobs.score_stream(jobs.table_stream(spark, few, "documents", 1), f"{few}/third", f"{few}/state-third", counting)
-    assert first_batch == sorted(n.rsplit("-", 1)[0] for n in os.listdir(asked))
+    assert 0 < len(asked("stopped")) < len(asked("whole"))
+    run("stopped", scorer)
+    assert entries(spark, f"{few}/stopped") == entries(spark, f"{few}/whole") and asked("stopped") == asked("whole")
 
 
 def test_six_hundred_results_leave_two_checkpoints(spark, tmp_path):
@@ -159,7 +152,7 @@ def test_six_hundred_results_leave_two_checkpoints(spark, tmp_path):
         next((tmp_path / f"made-{n}").glob("*.parquet")).rename(at / f"part-{n}.parquet")
         os.utime(at / f"part-{n}.parquet", (time.time() + n, time.time() + n))
     root = str(tmp_path / "ledger")
-    jobs.score_stream(jobs.table_stream(spark, str(tmp_path), "documents", 1), root, str(tmp_path / "state"), rubric_scorer)
+    jobs.score_stream(jobs.table_stream(spark, str(tmp_path), "documents", 1), root, str(tmp_path / "state"), rubric_scorer, buckets=2)
     taken = {r.snapshot: V.read(spark, root, r.snapshot).count() for r in V.listed(spark, root).collect()}
     assert taken == {"cache-stream--00000003--scan-checkpoint": 300, "cache-stream--00000005--scan-checkpoint": 500}
     assert [V.checkpoint_due(b, 100) for b in range(0, 600, 100)] == [False, False, True, False, True, False]
