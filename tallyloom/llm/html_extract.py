@@ -303,7 +303,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per row of ``pages``: ``id_col``, ``url_col``, text, n_chars (its code points).
 
     A null or empty page has an empty text; null ids and repeated rows stay as they are; an empty table gives an
-    empty result; further columns are left out.
+    empty result; further columns are left out. ``<br>`` ends a block, as the edge of a paragraph does: what follows it is on a line of its own.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -236,6 +236,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty and gives one piece, the separator. A null id stays null. Rows that repeat an id, or an id and
     a text, are packed each on their own. Every id of a document lies in exactly one piece; the pieces of a sequence lie
     end to end from offset 0. An empty table gives an empty result; further columns are left out.
+
+    Which group a body is packed in follows its place in the input: another layout of the same files gives another packing, as good a one.
     """
     rows = materialize(document_bodies(df, id_col, text_col, vocabulary, ranks))
     bodies = rows.where("sequence_id IS NULL")
