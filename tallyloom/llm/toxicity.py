@@ -5,7 +5,7 @@ Kernel: two words are as alike as the three-character subsequences they share, e
 word's length. An insult with an inserted or changed character keeps most of its subsequences. Words carry
 end marks; runs of single characters ("i d i o t") are read as one word.
 
-Learning (driver, on a bounded sample of labelled rows): labels mark documents, not sentences, and one insult in one sentence
+Learning (one task, on a bounded sample of labelled rows): labels mark documents, not sentences, and one insult in one sentence
 makes a document toxic. So every sentence of a clean document is a clean one, and of a toxic document's sentences at least one is
 toxic, as toxic as its worst word, which multiple-instance learning calls a witness. Sentences need not be cut apart for that: a
 document's bag is the union of its sentences' words, and the kernel compares words only. Witnesses start as words that clean documents don't use. Landmarks are picked from
@@ -376,8 +376,8 @@ def spread(words: list[str], n: int) -> list[str]:
     return [pool[i] for i in picked]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[bool], float]:
-    """Toxic share of all labelled rows outside the held-out part; texts and labels of at most MAX_TOXIC and MAX_CLEAN of them, lowest hash first, as long as they have MAX_CHARACTERS in all."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+    """(id, text, toxic; toxic share of all labelled rows outside the held-out part): texts and labels of at most MAX_TOXIC and MAX_CLEAN of them, lowest hash first, as long as they have MAX_CHARACTERS in all."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64(F.col(id_col))
     picked = known.where("toxic = 1").orderBy(rank).limit(MAX_TOXIC).unionAll(known.where("toxic = 0").orderBy(rank).limit(MAX_CLEAN))
@@ -387,18 +387,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     sizes = one.select("id", F.length("text").alias("n"), F.xxhash64("id").alias("rank")).orderBy("rank", "id").collect()
     taken = [r.id for r, total in zip(sizes, itertools.accumulate(r.n for r in sizes), strict=True) if total <= MAX_CHARACTERS]
     kept = one if len(taken) == len(sizes) else one.where(F.col("id").isin(taken))
-    found = kept.orderBy("id").select("text", "toxic").toPandas()
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    return found["text"].tolist(), (found["toxic"] == 1).tolist(), share
+    return kept.select("id", "text", "toxic"), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    texts, toxic, share = training_sample(docs, labels, id_col, text_col)
-    machine = train(texts, toxic)
-    if machine.weight.any() and 0 < sum(toxic) < len(toxic):
+    """Learned in one task, which reads the bounded sample; the machine comes back as a row of a megabyte."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for b in batches for r in b.itertuples(index=False, name=None)]
+        rows.sort(key=lambda r: r[0])
+        m = train([r[1] for r in rows], [r[2] == 1 for r in rows])
+        yield pd.DataFrame({"weight": [m.weight.tobytes()], "bias": [m.bias], "slope": [list(m.slope)], "toxic": [sum(r[2] == 1 for r in rows)], "n": [len(rows)]})
+
+    sample, share = training_sample(docs, labels, id_col, text_col)
+    got = sample.coalesce(1).mapInPandas(learn, "weight binary, bias double, slope array<double>, toxic long, n long").first()
+    if got is None:
+        return train([], [])
+    machine = Machine(np.frombuffer(got.weight, np.float32), got.bias, tuple(got.slope))
+    if machine.weight.any() and 0 < got.toxic < got.n:
         # The sample holds more toxic rows than the labels do: correct the intercept for it.
         odds = lambda p: float(np.log(p / (1 - p)))
-        machine.slope = (machine.slope[0] + odds(share) - odds(sum(toxic) / len(toxic)), *machine.slope[1:])
+        machine.slope = (machine.slope[0] + odds(share) - odds(got.toxic / got.n), *machine.slope[1:])
     return machine
 
 

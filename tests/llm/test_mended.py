@@ -74,10 +74,10 @@ def test_what_is_learned_from_is_bounded(spark, monkeypatch):
     """Rows that repeat an id count once, and texts stop where they have so many characters in all."""
     docs = spark.createDataFrame([(i, f"words of document {i} " * 5) for i in range(40)] + [(7, f"another text {k}") for k in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 4 == 0)) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
-    texts, toxic, _ = toxicity.training_sample(docs, labels, "doc_id", "text")
-    assert len(texts) == len(toxic) == len({i for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 4 != 2})
+    texts = toxicity.training_sample(docs, labels, "doc_id", "text")[0].collect()
+    assert len(texts) == len({i for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 4 != 2})
     monkeypatch.setattr(toxicity, "MAX_CHARACTERS", 700)
-    assert 0 < sum(map(len, toxicity.training_sample(docs, labels, "doc_id", "text")[0])) <= 700
+    assert 0 < sum(len(r.text) for r in toxicity.training_sample(docs, labels, "doc_id", "text")[0].collect()) <= 700
     seen = []
     monkeypatch.setattr(quality_classifier, "fit", lambda rows, real=quality_classifier.fit: seen.append(len(rows)) or real(rows))
     full = docs.selectExpr("doc_id", "text", "'s' AS source", "'en' AS lang")
