@@ -24,7 +24,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 0.8 of their five-word shingles the document with the smallest id stays."""
+    """Of each group of texts whose SimHash differs in two bits at most, or that share 0.8 of their five-word shingles, the smallest id stays."""
     return near_copies.keep_one(docs)
 
 

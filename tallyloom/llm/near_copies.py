@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of word-shingle sets, each link confirmed on the sets themselves.
+"""Near copies: texts whose SimHash fingerprints differ in few bits, and those that share most of their word shingles.
 
-A 64-bit SimHash can't serve here: texts that share 0.8 of their shingles differ in some ten bits, and bit ranges narrow
-enough for that radius compare nearly everything with everything. Instead:
+Fingerprints are compared exactly (``simhash``). They alone can't serve: texts that share 0.8 of their shingles differ in some ten
+bits, and bit ranges narrow enough for that radius compare nearly everything with everything. So links by the Jaccard similarity of
+the shingle sets, each confirmed on the sets themselves, join those by fingerprint:
 
 - equal shingle sets are one node;
 - ``BANDS`` bands of ``ROWS`` MinHash values list each node. A pair of similarity s shares a band with probability
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import free_name, materialize
 from .graph import components
 
@@ -28,6 +30,8 @@ WORDS = 5
 TENTHS = 8
 BANDS = 20
 ROWS = 4
+#: Most bits in which linked fingerprints differ.
+RADIUS = 2
 #: Most sets and (about) most shingles of a tile.
 TILE = 512
 TILE_SHINGLES = 400_000
@@ -142,27 +146,41 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     return pairs.mapInPandas(compare, "u long, v long")
 
 
+def print_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): a spanning set of the links between the nodes of ``prints`` (fp, node) by fingerprint.
+
+    A fingerprint is led by the smallest of its nodes: the others link to it, and leaders link where their fingerprints do.
+    """
+    pairs = prints.distinct()
+    leaders = materialize(pairs.groupBy("fp").agg(F.min("node").alias("node")))
+    same = pairs.join(leaders.select("fp", F.col("node").alias("v")), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    return same.unionAll(simhash.links(leaders, radius))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of each component of near copies the row with its smallest id, a null id last.
 
-    Texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; texts without words link with each
-    other. Rows count singly, also where they repeat an id; rows equal in id and text stay or go together.
+    Texts link whose fingerprints (majority bits of three-word shingles) differ in two bits or fewer, and those whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more; texts without words link with each other. Rows count singly, also where they repeat an id; rows equal in id and text stay or go together.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [shingles(t) for t in b["text"]]
             yield pd.DataFrame(
-                {"id": b["id"].astype("Int64"), "row": b["row"], "node": [set_key(s) for s in found], "size": [len(s) for s in found], "bands": [bands(s) for s in found]}
-            )
+                {
+                    "id": b["id"].astype("Int64"), "row": b["row"], "node": [set_key(s) for s in found], "size": [len(s) for s in found], "bands": [bands(s) for s in found],
+                    "fp": np.array([simhash.fingerprint(t) for t in b["text"]], np.uint64).view(np.int64),
+                }
+            )
 
     def key(text):
         return F.xxhash64(F.coalesce(text, F.lit("")))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    prints = materialize(rows.mapInPandas(read, "id long, row long, node long, size long, bands array<long>"))
+    prints = materialize(rows.mapInPandas(read, "id long, row long, node long, size long, bands array<long>, fp long"))
     named = prints.select("row", "node").distinct()
-    roots = components(links(rows.join(named, "row").select("node", "text"), prints))
+    roots = components(links(rows.join(named, "row").select("node", "text"), prints).unionAll(print_links(prints.select("fp", "node"))))
     placed = prints.join(roots, "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     stay = first.select("first.id", "first.row")

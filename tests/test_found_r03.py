@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from tallyloom.llm import near_copies, simhash
 from tallyloom.operators import alignment, edits, revisions
 
 
@@ -61,3 +62,17 @@ def test_words_in_common_decide_for_a_single_pair():
     assert revisions.unit_diff(["one two three four five.\n"], ["one b c d e.\n"])[0][0] == "change"
     assert [r[0] for r in revisions.unit_diff(["one two three four five six.\n"], ["one b c d e f.\n"])] == ["remove", "add"]
     assert [r[0] for r in revisions.unit_diff(["...\n"], ["!\n"])] == ["remove", "add"]
+
+
+def test_near_copies_link_by_fingerprint(spark):
+    """A passage that recurs often outweighs the rest: fingerprints agree where few of the distinct shingles do. Both kinds of links join up."""
+    common = " ".join(f"w{k}" for k in range(41))
+    a, b = (" ".join([*[common] * 60, *[f"{x}{k}" for k in range(30)]]) for x in "ab")
+    near = b.replace("b29", "other")
+    rows = [(1, a), (2, b), (3, near), (4, "something else altogether, of a few words only")]
+    fp = [simhash.fingerprint(t) for _, t in rows]
+    assert (fp[0] ^ fp[1]).bit_count() <= 2
+    x, y = (set(near_copies.shingles(t).tolist()) for t in (a, b))
+    assert len(x & y) < 0.8 * len(x | y)
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
