@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tallyloom.llm import near_copies, simhash
-from tallyloom.operators import alignment, edits, revisions
+from tallyloom.operators import alignment, dedupe, edits, revisions
 
 
 def test_details_across_the_border_of_two_parts(spark):
@@ -76,3 +77,9 @@ def test_near_copies_link_by_fingerprint(spark):
     assert len(x & y) < 0.8 * len(x | y)
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_label_passing_sends_no_table_through_the_driver(spark):
+    few = spark.createDataFrame([("a", 1)], "key string, n int")
+    plan = dedupe.sorted_join(few, few.select("key", F.col("n").alias("m")), "key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
