@@ -120,3 +120,9 @@ def test_runs_of_slices_make_the_runs_of_the_whole():
         whole = [len(list(g)) for down, g in itertools.groupby(due["down"].tolist()) if down]
         assert told == [k for k in whole if k >= 2] and rows <= len(told) + 2 * (len(cuts) - 1)
     assert len(jobs.runs_of(due[:0], 2)) == 0
+
+
+def test_images_pass_python_in_slices(spark):
+    """Images are drawn and read as Arrow batches, which are cut to a size in bytes: no frame holds ten thousand cards."""
+    plan = more.png_cards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
