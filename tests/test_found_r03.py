@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import near_copies, simhash
 from tallyloom.operators import alignment, dedupe, edits, revisions
-from tallyloom.plans import more
+from tallyloom.plans import more, registry
 from tallyloom.sources import payloads
 from tallyloom.streaming import jobs
 
@@ -126,3 +126,10 @@ def test_images_pass_python_in_slices(spark):
     """Images are drawn and read as Arrow batches, which are cut to a size in bytes: no frame holds ten thousand cards."""
     plan = more.png_cards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_a_review_places_edits_once(spark, monkeypatch):
+    calls, real = [], edits.placed_sample
+    monkeypatch.setattr(edits, "placed_sample", lambda *a: calls.append(a) or real(*a))
+    registry.QUERIES["review_summary"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
