@@ -9,9 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.llm import near_copies, simhash
-from tallyloom.operators import alignment, dedupe, edits, ideas, revisions
+from tallyloom.operators import alignment, cards, dedupe, edits, ideas, revisions
+from tallyloom.plans import bindings as B
 from tallyloom.plans import more, registry
+from tallyloom.plans.stand_in import rubric_scorer
 from tallyloom.sources import payloads
 from tallyloom.streaming import jobs
 
@@ -144,3 +147,36 @@ def test_edit_requests_judge_ideas_once_without_texts(spark, monkeypatch):
     assert len(calls) == 1 and "Window" in plan and "whole#" not in plan[: plan.index("Window")]
     below = plan[plan.index("Window") :].splitlines()[1]
     assert "whole#" not in below
+
+
+def test_strip_looks_at_the_ends_alone(spark):
+    """It takes off what the pattern took off, for every code point, and no pattern goes through the text."""
+    points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343")
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    x = F.concat(c, F.lit(" "), c, F.lit("a"), c, F.lit("b \n "), c, c)
+    assert points.where(text.strip(x) != F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).isEmpty()
+    assert points.where((text.strip(c) == "") & (c != "")).count() == len(text.SPACES)
+    assert spark.range(1).select(text.strip(F.lit(None).cast("string")).alias("s")).first().s is None
+    assert "regexp" not in str(spark.sql("SELECT 'a' AS t").select(text.strip(F.col("t")))._jdf.queryExecution().analyzed())
+
+
+def test_requests_are_made_once_and_of_the_work_alone(spark, tmp_path, monkeypatch):
+    """A filter on requests isn't computed from the texts again; a run with nothing to do makes no request and lands no text."""
+    asked = cards.build_requests(B.cards(spark, "/root/testdata/sf0.001")).where("request IS NOT NULL")
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("### description") == 1 and "regexp" not in plan
+    spark.range(9).selectExpr("id AS doc_id", "concat('a text of some length ', id) AS text", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    real = jobs.landing
+
+    def landing(s, at):
+        land = real(s, at)
+        return lambda df: made.append(land(df)) or made[-1]
+
+    monkeypatch.setattr(jobs, "landing", landing)
+    for n in range(2):
+        made.clear()
+        jobs.score_stream(jobs.table_stream(spark, str(tmp_path), "documents"), f"{tmp_path}/ledger", f"{tmp_path}/state-{n}", rubric_scorer, buckets=2)
+        assert made[0].columns == ["id", "hash", "tokens"] and made[0].count() == 9
+        failed = jobs.Buckets.read(spark, f"{tmp_path}/ledger", jobs.LEDGER).where("error IS NOT NULL").count()
+        assert made[2].columns == ["id", "request"] and made[2].count() == made[1].count() == (failed if n else 9)
