@@ -180,3 +180,12 @@ def test_requests_are_made_once_and_of_the_work_alone(spark, tmp_path, monkeypat
         assert made[0].columns == ["id", "hash", "tokens"] and made[0].count() == 9
         failed = jobs.Buckets.read(spark, f"{tmp_path}/ledger", jobs.LEDGER).where("error IS NOT NULL").count()
         assert made[2].columns == ["id", "request"] and made[2].count() == made[1].count() == (failed if n else 9)
+
+
+def test_groups_read_texts_for_names_once(spark):
+    """Names, their keys and what they group are written; a key is made once a row, and a text isn't split beyond its second word."""
+    sf = "/root/testdata/sf0.001"
+    plan = dedupe.keyed(B.names(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(text.KEY_STEPS[0][0]) == 1 and "+, 3)" in plan
+    groups = registry.QUERIES["duplicate_groups"](spark, sf)
+    assert groups.count() and not any("documents.parquet" in f for f in groups.inputFiles())
