@@ -189,3 +189,27 @@ def test_groups_read_texts_for_names_once(spark):
     assert plan.count(text.KEY_STEPS[0][0]) == 1 and "+, 3)" in plan
     groups = registry.QUERIES["duplicate_groups"](spark, sf)
     assert groups.count() and not any("documents.parquet" in f for f in groups.inputFiles())
+
+
+def test_groups_are_joined_up_by_their_names(spark, monkeypatch):
+    """Links that a block's smallest forms miss are drawn between groups: the second pass sees groups alone, and ends where all pairs lead."""
+    rng = random.Random(16)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(5, 8))) for _ in range(120)})
+    keys = spark.createDataFrame([(n,) for n in names], "key string").coalesce(1)
+    passes, real = [], dedupe.components
+
+    def components(edges, *more):
+        passes.append(([tuple(e) for e in edges.collect()], real(edges, *more)))
+        return passes[-1][1]
+
+    monkeypatch.setattr(dedupe, "components", components)
+    got = {r.key: r.root for r in dedupe.name_roots(keys).collect()}
+    want = {n: n for n in names}
+    pairs = [tuple(p) for p in dedupe.similar_names(keys).collect()]
+    for _ in names:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and len(passes) == 2
+    within = {r.key: r.root for r in passes[0][1].collect()}
+    assert all(within.get(x, x) == x for edge in passes[1][0] for x in edge)
+    assert len(dedupe.blocks(keys.select(F.col("key").alias("s"), F.length("key").alias("n"))).inputFiles()) > 1
