@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,10 @@ QUADRATIC = 1024
 GROUP_BODIES = 10_000
 #: Groups of a task: about 64 MB of ids, whatever the number of documents.
 TASK_GROUPS = 4
-#: Entries of a worker's cache of encoded words.
+#: Entries of a worker's cache of encoded words that are not Latin.
 CACHE = 200_000
+#: Takes in more than the pre-tokenizer's white space.
+TWO_SPACES = re.compile(r"\s\s")
 SEPARATOR = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -43,9 +47,10 @@ ALONE = 1 << 62
 class WordEncoder:
     """Token ids of a text as little-endian 32-bit bytes, equal to what ``tokenizers`` gives for the vocabulary file.
 
-    The pre-tokenizer never joins text across a single blank between two other characters, so a text is encoded
-    blank by blank and frequent parts come from a bounded cache. The rank file of the same vocabulary encodes
-    plain Latin parts; any other part, and a text that spells a special token, goes through ``tokenizers``.
+    The rank file of the same vocabulary encodes plain Latin texts, whole. The pre-tokenizer never joins text across a
+    single blank between two other characters, so other texts are split at their blanks: runs of Latin words go by the
+    rank file too, any other word goes through ``tokenizers`` and comes from a bounded cache where it recurs. A text
+    that spells a special token goes through ``tokenizers``.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -55,50 +60,63 @@ class WordEncoder:
 
         with open(public_tokenizers.path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
         self.full = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        added = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
+        self.special = list(added)
+        by_pattern = lambda p: tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=table, special_tokens=added)._core_bpe
+        self.plain = by_pattern(public_tokenizers.PATTERN)
+        #: The pattern's lookahead tells where a run of white space ends. Without such runs it decides nothing and costs most of the time.
+        self.no_runs = by_pattern(public_tokenizers.PATTERN.replace(r"|\s+(?!\S)", ""))
         self.two_bytes = self.full.get_vocab_size() <= 1 << 16
         self.cache: dict[str, bytes] = {}
 
+    def by_ranks(self, text: str) -> bytes:
+        encoding = self.plain if TWO_SPACES.search(text) else self.no_runs
+        return bytes(encoding.encode_to_tiktoken_buffer(text, set()))
+
+    def by_library(self, text: str) -> bytes:
+        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def part(self, text: str) -> bytes:
-        if text.isascii() or max(text) < "ɐ":
-            return bytes(self.plain.encode_to_tiktoken_buffer(text, set()))
-        return self.by_library(text)
+        return self.by_ranks(text) if latin(text) else self.by_library(text)
+
+    def kept(self, word: str) -> bytes:
+        """A blank and a word that is not Latin."""
+        found = self.cache.get(word)
+        if found is None:
+            found = self.by_library(" " + word)
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            if len(word) < 40:
+                self.cache[word] = found
+        return found
 
     def narrow(self, ids: bytes) -> bytes:
         """32-bit ids in two bytes each, where the vocabulary allows it."""
         return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.two_bytes else ids
 
-    def by_library(self, text: str) -> bytes:
-        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.by_library(text)
+        if latin(text):
+            return self.by_ranks(text)
         parts = text.split(" ")
-        if "" in parts:  # a run of blanks, or one at an end: cut only where both neighbours are not blank
-            return self.part(text)
-        cache, out = self.cache, []
-        first = True
-        for p in parts:
-            if first:
-                out.append(self.part(p))
-                first = False
-                continue
-            found = cache.get(p)
-            if found is None:
-                if p[0].isspace():
-                    return self.part(text)
-                found = self.part(" " + p)
-                if len(cache) >= CACHE:
-                    cache.clear()
-                if len(p) < 40:
-                    cache[p] = found
-            out.append(found)
+        # A run of blanks, one at an end or before other white space: cut only where both neighbours are not blank.
+        if "" in parts or any(p[0].isspace() for p in parts[1:]):
+            return self.by_library(text)
+        out = [self.part(parts[0])]
+        for plain, run in itertools.groupby(parts[1:], latin):
+            if plain:
+                out.append(self.by_ranks(" " + " ".join(run)))
+            else:
+                out += map(self.kept, run)
         return b"".join(out)
 
 
+def latin(text: str) -> bool:
+    return text.isascii() or max(text) < "ɐ"
+
+
 class Rooms:
     """Open sequences by the room that they have left; the lowest cost among those with room enough is found in a tree of minima."""
 

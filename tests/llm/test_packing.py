@@ -97,3 +97,42 @@ def test_long_documents_stand_alone(spark):
     assert len(full) >= 8 and len({r.sequence_id for r in full}) == len(full) and all(r.offset == 0 for r in full)
     for copies in (r for r in got if r.doc_id == 1 and r.start == 0):
         assert copies.doc_tokens > 4096
+
+
+VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+
+
+class Calls:
+    """Counts the calls that go to a rank file."""
+
+    def __init__(self, ranks, seen):
+        self.ranks, self.seen = ranks, seen
+
+    def encode_to_tiktoken_buffer(self, text, allowed):
+        self.seen.append(text)
+        return self.ranks.encode_to_tiktoken_buffer(text, allowed)
+
+
+def test_latin_words_are_encoded_together():
+    """A call costs more than a word: a Latin text takes one, whatever its words and white space; others one for each run of Latin words."""
+    encode, seen = packing.WordEncoder(*VOCABULARY), []
+    for name, value in list(vars(encode).items()):
+        if hasattr(value, "encode_to_tiktoken_buffer"):
+            setattr(encode, name, Calls(value, seen))
+    words = [f"word{i}é" for i in range(300)]
+    for gap in (" ", "\n", " \n "):
+        seen.clear()
+        text = gap.join(words)
+        assert encode(text) == encode.by_library(text) and seen == [text]
+    seen.clear()
+    text = " ".join([*words, "слово", *words, "日本", "слово"])
+    assert encode(text) == encode.by_library(text) and len(seen) <= 3
+
+
+def test_ids_equal_the_library_whatever_the_white_space():
+    encode, rng = packing.WordEncoder(*VOCABULARY), random.Random(3)
+    plain = [" ", " ", "  ", "\n", " \n", "\n ", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\x00", "a", "The", "straße", "ɏ", "'s", " 'll", "12", "!?", "<|", "x" * 50]
+    wide = [" ", " ", "　", "​", "᠎", "﻿", "слово", "日本", "ɐ", "é", "😀", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for bits in (plain, plain + wide) for _ in range(8000)]
+    texts += [f"a{chr(c)}b {chr(c)}{chr(c)} {chr(c)}" for c in range(0x260)]
+    assert [x for x in texts if encode(x) != encode.by_library(x)] == []
