@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,10 +31,17 @@ QUADRATIC = 1024
 GROUP_BODIES = 10_000
 #: Groups of a task: about 64 MB of ids, whatever the number of documents.
 TASK_GROUPS = 4
-#: Entries of a worker's cache of encoded words that are not Latin.
+#: Entries of a worker's cache of encoded words.
 CACHE = 200_000
 #: Takes in more than the pre-tokenizer's white space.
 TWO_SPACES = re.compile(r"\s\s")
+#: A blank that is no word's own, but for those at the ends.
+LOOSE = re.compile(r" \s")
+NOT_LATIN = re.compile("[^\0-\u024f]")
+#: A word that is not Latin, with the blank before it.
+WIDE = re.compile("((?:^| )[^ ]*[^\0-\u024f][^ ]*)")
+#: A text has few words that are not Latin if it has so many words for each of their characters.
+FEW = 8
 SEPARATOR = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -48,9 +54,9 @@ class WordEncoder:
     """Token ids of a text as little-endian 32-bit bytes, equal to what ``tokenizers`` gives for the vocabulary file.
 
     The rank file of the same vocabulary encodes plain Latin texts, whole. The pre-tokenizer never joins text across a
-    single blank between two other characters, so other texts are split at their blanks: runs of Latin words go by the
-    rank file too, any other word goes through ``tokenizers`` and comes from a bounded cache where it recurs. A text
-    that spells a special token goes through ``tokenizers``.
+    single blank between two other characters, so other texts are split at their blanks: all words come from a bounded
+    cache or, where few are not Latin, these alone, and the rest goes by the rank file in runs. New words that are not
+    Latin, and a text that spells a special token, go through ``tokenizers``.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -80,11 +86,11 @@ class WordEncoder:
     def part(self, text: str) -> bytes:
         return self.by_ranks(text) if latin(text) else self.by_library(text)
 
-    def kept(self, word: str) -> bytes:
-        """A blank and a word that is not Latin."""
+    def word(self, word: str) -> bytes:
+        """A blank and a word, from a bounded cache."""
         found = self.cache.get(word)
         if found is None:
-            found = self.by_library(" " + word)
+            found = self.part(" " + word)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             if len(word) < 40:
@@ -102,19 +108,16 @@ class WordEncoder:
             return self.by_ranks(text)
         parts = text.split(" ")
         # A run of blanks, one at an end or before other white space: cut only where both neighbours are not blank.
-        if "" in parts or any(p[0].isspace() for p in parts[1:]):
+        if text[0] == " " or text[-1] == " " or LOOSE.search(text):
             return self.by_library(text)
-        out = [self.part(parts[0])]
-        for plain, run in itertools.groupby(parts[1:], latin):
-            if plain:
-                out.append(self.by_ranks(" " + " ".join(run)))
-            else:
-                out += map(self.kept, run)
-        return b"".join(out)
+        if FEW * (len(text) - len(text.encode("latin-1", "ignore"))) > len(parts):
+            known = self.cache.get
+            return self.part(parts[0]) + b"".join([known(p) or self.word(p) for p in parts[1:]])
+        return b"".join(self.word(p[1:]) if k % 2 and p[0] == " " else self.part(p) for k, p in enumerate(WIDE.split(text)) if p)
 
 
 def latin(text: str) -> bool:
-    return text.isascii() or max(text) < "ɐ"
+    return text.isascii() or not NOT_LATIN.search(text)
 
 
 class Rooms:

@@ -114,7 +114,7 @@ class Calls:
 
 
 def test_latin_words_are_encoded_together():
-    """A call costs more than a word: a Latin text takes one, whatever its words and white space; others one for each run of Latin words."""
+    """A call costs more than a word: a Latin text takes one, whatever its words and white space; with few other words, one for each run of Latin ones."""
     encode, seen = packing.WordEncoder(*VOCABULARY), []
     for name, value in list(vars(encode).items()):
         if hasattr(value, "encode_to_tiktoken_buffer"):
@@ -135,4 +135,5 @@ def test_ids_equal_the_library_whatever_the_white_space():
     wide = [" ", " ", "　", "​", "᠎", "﻿", "слово", "日本", "ɐ", "é", "😀", "<|endoftext|>"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for bits in (plain, plain + wide) for _ in range(8000)]
     texts += [f"a{chr(c)}b {chr(c)}{chr(c)} {chr(c)}" for c in range(0x260)]
+    texts += [" ".join(rng.choice(words) for _ in range(12)) for words in (["a", "é,\n", "x", "12"] * 5 + ["слово", "日本\n"], ["a", "слово", "дом", "—"]) for _ in range(4000)]
     assert [x for x in texts if encode(x) != encode.by_library(x)] == []
